@@ -76,7 +76,7 @@ class Buckets:
         return np.hstack(parts)
 
 
-def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, l2: float = 3e-4, rounds: int = 500) -> np.ndarray:
+def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, l2: float = 2e-2, rounds: int = 500) -> np.ndarray:
     """Weights and, last, the intercept, that minimise the non-negative PU risk (full-batch Adam)."""
     p, u = np.hstack([p, np.ones((len(p), 1))]), np.hstack([u, np.ones((len(u), 1))])
     w = np.zeros(p.shape[1])
@@ -100,14 +100,14 @@ def estimate_prior(unlabelled: np.ndarray, positive: np.ndarray, bins: int) -> f
     """The share of positives among the unlabelled, from score histograms (ascending bins).
 
     Above a threshold the unlabelled share is at least pi times the positive share, so
-    the smallest ratio bounds pi; thresholds that keep under half the positives are
-    left out, as their ratios are noise.
+    the smallest ratio bounds pi; thresholds that keep under nine tenths of the
+    positives are left out, as the least of many noisy ratios is too low.
     """
     u, p = unlabelled[::-1].cumsum(), positive[::-1].cumsum()
     if not u[-1] or not p[-1]:
         return 0.5
     u, p = u / u[-1], p / p[-1]
-    at = p >= 0.5
+    at = p >= 0.9
     return float(np.clip((u[at] / p[at]).min(), 0.05, 0.97))
 
 
