@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .tokens import Tokens
+from .tokens import held
 
 MAX_TOKENS = 1024
 END_ID = 2
@@ -71,7 +71,7 @@ def pieces_of(n: int, size: int = MAX_TOKENS) -> list[tuple[int, int]]:
 
 def _pieces(tokenizer: str, size: int, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = Tokens(tokenizer)
+        tokens = held(tokenizer)
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512]

@@ -27,7 +27,9 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
+        # two generations: what is in neither is encoded, what the older has moves up
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -37,7 +39,7 @@ class Tokens:
     def encode_bytes(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text; none for null and empty ones."""
         if len(self.words) > _CACHE_WORDS:
-            self.words.clear()
+            self.older, self.words = self.words, {}
         whole: dict[int, str] = {}
         split: dict[int, list[str]] = {}
         missing: set[str] = set()
@@ -53,7 +55,13 @@ class Tokens:
             whole[i] = first
             split[i] = rest
             missing.update(rest)
-        new = [w for w in missing if w not in self.words]
+        new = []
+        for w in missing.difference(self.words):
+            ids = self.older.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                self.words[w] = ids
         for w, ids in zip(new, self._encode([" " + w for w in new])):
             self.words[w] = ids
         for i, ids in zip(whole, self._encode(list(whole.values()))):
@@ -62,3 +70,13 @@ class Tokens:
         for i, rest in split.items():
             out[i] += b"".join(map(get, rest))
         return out
+
+
+_HELD: dict[str, Tokens] = {}
+
+
+def held(path: str) -> Tokens:
+    """The encoder of this process, whose words outlive the task (workers are reused)."""
+    if path not in _HELD:
+        _HELD[path] = Tokens(path)
+    return _HELD[path]
