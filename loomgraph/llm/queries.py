@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+from .bpe import op8_bpe
+from .chat import op6_chat
+from .imatch import op4_imatch
 from .line_dedup import op2_line_dedup
 from .packing import op5_packing
+from .quality_classifier import op3_quality_classifier
 from .quality_rules import op7_quality_rules
 from .simhash import op10_simhash
+from .toxicity import op1_toxicity
+from .warc import op9_warc
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_imatch": op4_imatch,
     "op5_packing": op5_packing,
+    "op6_chat": op6_chat,
     "op7_quality_rules": op7_quality_rules,
+    "op8_bpe": op8_bpe,
+    "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
 }
 
