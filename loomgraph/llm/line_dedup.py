@@ -60,8 +60,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     neither cut nor counted.  Rows that share an id count as one document (their
     equal chunks at one place are one occurrence).  An empty table stays empty.
     """
-    with_lines = docs.withColumn("__lines", F.split(F.col(text_col), "\n"))
-    with_chunks = with_lines.withColumn("__chunks", chunks_of(F.col("__lines"), window, divisor))
     source = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.split(F.col(text_col), "\n").alias("__lines"))
     many = source.select(
         "__id",
@@ -78,7 +76,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # joined by hash, then bytes compared: a hash shared by different texts removes nothing
     gone = found.join(groups, (F.col("h") == F.col("gh")) & (F.col("t") == F.col("gt"))).where((F.col("first.__id") != F.col("__id")) | (F.col("first.k") != F.col("k")))
     per_doc = gone.groupBy("__id").agg(F.collect_list(F.struct("k", "h")).alias("__gone"))
-    joined = with_chunks.join(per_doc, F.col(id_col) == F.col("__id"), "left")
+    # texts travel to the join as they are; lines and chunks are cut after it
+    joined = docs.join(per_doc, F.col(id_col) == F.col("__id"), "left").withColumn("__lines", F.split(F.col(text_col), "\n"))
+    joined = joined.withColumn("__chunks", chunks_of(F.col("__lines"), window, divisor))
     lines, chunks = F.col("__lines"), F.col("__chunks")
     # a row that shares its id with another text is cut only where its own chunk has the removed hash
     dropped = F.transform(F.filter("__gone", lambda g: F.xxhash64(_text(lines, F.get(chunks, g["k"]))) == g["h"]), lambda g: g["k"])
