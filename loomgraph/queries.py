@@ -265,3 +265,117 @@ def subpart_path(spark, sf_dir):
 @query("select li from {LI} l, supplier where l_suppkey=s_suppkey and s_nationkey=3")
 def incident_path(spark, sf_dir):
     return store(spark, sf_dir).incident("LineItem", ("l_suppkey", "s_nationkey"), 3).select(F.col("id").alias("li"))
+
+
+@query("select event_id, k from events join (select 'purchase' t,0 k union all select 'purchase',1 union all select 'view',0 union all select 'click',0 union all select 'signup',0) y on event_type=t")
+def pbpo_typed(spark, sf_dir):
+    """Rows typed by their event type; a type with two copies doubles them, one with none deletes them."""
+    events = store(spark, sf_dir)["Event"].select("id", F.col("event_type").alias("type"))
+    copies = F.broadcast(spark.createDataFrame([("purchase", 0), ("purchase", 1), ("view", 0), ("click", 0), ("signup", 0)], "t string, k int"))
+    return events.join(copies, F.col("type") == F.col("t")).select(F.col("id").alias("event_id"), "k")
+
+
+@query("select a.li a,b.li b from {LI} a,{LI} b where a.l_orderkey=b.l_orderkey and a.l_partkey=b.l_partkey and a.li<>b.li and (a.l_orderkey%10=0 or b.l_orderkey%10=0)")
+def delta_matches(spark, sf_dir):
+    from .streaming.incremental import delta_matches as delta
+
+    g = store(spark, sf_dir)
+    late = F.col("l_orderkey") % 10 == 0
+    old = g.replace(LineItem=g["LineItem"].where(~late))
+    return _cols(delta(_wedge(), old, {"LineItem": g["LineItem"].where(late)}, ["LineItem"]), a="LineItem_a", b="LineItem_b")
+
+
+@query("select p,event_id from (select event_id, lag(event_id) over (partition by user_id order by ts) p from events) where p is not null")
+def process_deps(spark, sf_dir):
+    """Each event uses its user's last event and makes the next one: dependencies of the history."""
+    from pyspark.sql import Window
+
+    from .operators.process import dependencies
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    prev = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts"))
+    steps = e.select(F.col("event_id").alias("step"), prev.alias("used"))
+    rows = steps.select("step", F.lit("Event").alias("ob"), F.col("step").alias("id"), F.lit("created").alias("role")).unionAll(steps.where("used is not null").select("step", F.lit("Event"), "used", F.lit("used")))
+    return dependencies(rows).select(F.col("i").alias("p"), F.col("j").alias("event_id"))
+
+
+@query("select o_orderkey id, o_custkey owner, o_orderstatus label from orders")
+def migrate_delta(spark, sf_dir):
+    from .operators.migrate import Migrate
+    from .schema import Schema
+
+    small = Schema(("Item", "Owner"), {"owner": ("Item", "Owner")}, {"label": ("Item", "string")})
+    return Migrate(small, STORE, {"Item": "Orders", "Owner": "Customer"}, {"owner": "o_custkey", "label": "o_orderstatus"}).pull(store(spark, sf_dir))["Item"]
+
+
+@query("select c_custkey id, c_nationkey, null::varchar c_mktsegment from customer")
+def migrate_sigma(spark, sf_dir):
+    from .operators.migrate import Migrate
+    from .schema import Schema
+
+    small = Schema(("C", "N"), {"of": ("C", "N")})
+    g = store(spark, sf_dir)
+    own = A.Instance(small, {"C": g["Customer"].select("id", F.col("c_nationkey").alias("of")), "N": g["Nation"].select("id")})
+    return Migrate(small, STORE, {"C": "Customer", "N": "Nation"}, {"of": "c_nationkey"}).push(own)["Customer"].select("id", "c_nationkey", "c_mktsegment")
+
+
+@query("select c_custkey l, s_suppkey r from customer, supplier where c_nationkey=s_nationkey")
+def pullback_pairs(spark, sf_dir):
+    """Customers and suppliers over nations: the pullback of the two maps."""
+    from .schema import Schema
+
+    g, dot = store(spark, sf_dir), Schema(("X",))
+    side = lambda o, h: (A.Instance(dot, {"X": g[o].select("id")}), {"X": g[o].select(F.col("id").alias("src"), F.col(h).alias("tgt"))})
+    (a, f), (b, h) = side("Customer", "c_nationkey"), side("Supplier", "s_nationkey")
+    return A.pullback(f, h, a, b)["X"].select(F.col("left").alias("l"), F.col("right").alias("r"))
+
+
+@query("select 2*c_custkey id, 2*c_nationkey n from customer union all select 2*c_custkey+1, 2*c_nationkey+1 from customer where c_mktsegment='BUILDING'")
+def coproduct_sum(spark, sf_dir):
+    g = store(spark, sf_dir)
+    return A.coproduct(g, g.where("Customer", F.col("c_mktsegment") == "BUILDING"))["Customer"].select("id", F.col("c_nationkey").alias("n"))
+
+
+@query("select o_orderkey, cast(round(v) as bigint) v from (select l_orderkey o_orderkey, sum(l_quantity) v from lineitem where l_returnflag='R' group by 1 having count(*)=1)")
+def expr_attr(spark, sf_dir):
+    """A rule with an expression: an order with exactly one returned line gets a line of that quantity (as part 0)."""
+    g, f = store(spark, sf_dir), _with_line(l_returnflag="R")
+    n = pattern(f.cod.parts, f.cod.homs, {"l_returnflag": {"l": "R"}, "l_quantity": {"l": Var("q")}})
+    n.filled = set(f.cod.filled)
+    more = pattern({**n.parts, "LineItem": ["l", "z"]}, {h: {**m, "z": m["l"]} if h in ("l_orderkey", "l_partkey", "l_suppkey") else m for h, m in n.homs.items()}, {"l_returnflag": {"z": "X"}, "l_quantity": {"z": Var("twice")}, "l_linestatus": {"z": "N"}})
+    keep = n.abstract()
+    r = Rule(Morphism(keep, n, {o: {k: k for k in ks} for o, ks in n.parts.items()}), Morphism(keep, more, {o: {k: k for k in ks} for o, ks in n.parts.items()}), exprs={"twice": lambda v: v["q"] * 1})
+    m = ExistsUnique(f).holds(match(f.dom, g), g).select("Orders_x")
+    out = r.apply(g, r.matches(g, m))
+    return out["LineItem"].where("l_returnflag = 'X'").select(F.col("l_orderkey").alias("o_orderkey"), F.round("l_quantity").cast("long").alias("v"))
+
+
+@query("select user_id, cast(sum(case when event_type='purchase' then 1 else 0 end) as bigint) state from events group by user_id")
+def mealy_fold(spark, sf_dir):
+    from .plans.mealy import fold_by_key
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_type")
+    count = lambda s, x: s + F.when(x["event_type"] == "purchase", 1).otherwise(0)
+    return fold_by_key(e, "user_id", ["ts"], count, F.lit(0).cast("long"), "state")
+
+
+@query("select a.c_custkey a, b.c_custkey b from customer a, customer b where a.c_nationkey=b.c_nationkey and a.c_mktsegment='BUILDING' and b.c_mktsegment='MACHINERY'")
+def slice_hom(spark, sf_dir):
+    """Customers typed by segment: pairs in a nation with fixed types."""
+    p = pattern({"Customer": ["a", "b"], "Nation": ["n"]}, {"c_nationkey": {"a": "n", "b": "n"}}, {"c_mktsegment": {"a": "BUILDING", "b": "MACHINERY"}})
+    return _cols(match(p, store(spark, sf_dir)), a="Customer_a", b="Customer_b")
+
+
+@query("select o_orderkey, o_custkey from orders where o_orderkey in (select min(o_orderkey) from orders group by o_custkey)")
+def rewrite_parallel(spark, sf_dir):
+    """A maximal independent set of matches: one order per customer (each match binds and deletes the customer's mark)."""
+    g = store(spark, sf_dir)
+    from .functions.ids import cut
+    from .schema import Schema
+
+    s = Schema(("O", "C", "M"), {"oc": ("O", "C"), "mc": ("M", "C")})
+    own = A.Instance(s, {"O": g["Orders"].select("id", F.col("o_custkey").alias("oc")), "C": g["Customer"].select("id"), "M": g["Customer"].select("id", F.col("id").alias("mc"))})
+    L = Pattern(s, {"C": ["c"], "M": ["m"], "O": ["o"]}, {"oc": {"o": "c"}, "mc": {"m": "c"}})
+    R = Pattern(s, {"C": ["c"], "O": ["o"]}, {"oc": {"o": "c"}})
+    r = Rule.of(L, R)
+    return cut(r.independent(r.matches(own))).select(F.col("O_o").alias("o_orderkey"), F.col("C_c").alias("o_custkey"))
