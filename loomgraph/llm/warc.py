@@ -35,6 +35,7 @@ _NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _STAMP = "1970-01-01T00:00:00Z"
 _LONGEST_HEADER = 1 << 16
+_WINDOW = 1 << 13
 
 
 def base32_sha1(raw: bytes) -> str:
@@ -102,14 +103,16 @@ def _parse(raw: bytes, at: int = 0) -> tuple[dict, int]:
 
 
 def _member(raw: memoryview, at: int) -> tuple[bytes, int]:
-    inflate = zlib.decompressobj(31)
+    inflate, parts, to = zlib.decompressobj(31), [], at
     try:
-        out = inflate.decompress(raw[at:])
+        while not inflate.eof and to < len(raw):  # by windows: what is unused gets copied
+            parts.append(inflate.decompress(raw[to : to + _WINDOW]))
+            to += _WINDOW
     except zlib.error as e:
         raise Damaged(f"gzip: {e}") from None
     if not inflate.eof:
         raise Damaged("gzip member without end")
-    return out, len(raw) - len(inflate.unused_data)
+    return b"".join(parts), min(to, len(raw)) - len(inflate.unused_data)
 
 
 def _read_at(raw: bytes, view: memoryview, at: int) -> tuple[dict, int]:
@@ -154,24 +157,31 @@ def _storage(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
 
 
-def _writer(root: str):
+def _writer(root: str, archive_bytes: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         storage, base = _storage(root)
-        name = f"{uuid.uuid4().hex}.warc.gz"
-        n = size = 0
-        out = None
+        out, name, n, size = None, "", 0, 0
+
+        def closed() -> pd.DataFrame:
+            out.close()
+            return pd.DataFrame({"archive": [name], "records": [n], "bytes": [size]}, dtype=object)
+
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 if out is None:
                     storage.create_dir(base, recursive=True)
+                    name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = storage.open_output_stream(f"{base}/{name}", compression=None)
-                payload = (r.html or "").encode("utf-8", "surrogatepass") if r.refers_to is None or pd.isna(r.refers_to) else b""
+                refers_to = _none(r.refers_to)
+                payload = (r.html or "").encode("utf-8", "surrogatepass") if refers_to is None else b""
                 digest = base64.b32encode(bytes.fromhex(r.sha1)).decode()
-                size += out.write(record_bytes(_none(r.page_id), r.url, payload, digest, int(r.size), _none(r.refers_to)) )
+                size += out.write(record_bytes(_none(r.page_id), r.url, payload, digest, int(r.size), refers_to))
                 n += 1
+                if size >= archive_bytes:
+                    yield closed()
+                    out = None
         if out is not None:
-            out.close()
-            yield pd.DataFrame({"archive": [name], "records": [n], "bytes": [size]}, dtype=object)
+            yield closed()
 
     return run
 
@@ -192,15 +202,13 @@ def write_warc(pages: DataFrame, root: str, id_col: str = "page_id", url_col: st
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     own = own.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html").cast("long"))
     latest = own.groupBy("sha1", "size").agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("copies"))
-    total = own.agg(F.sum("size")).first()[0] or 0
     # only payloads that occur more than once need the join; most do not
     shared = latest.where((F.col("copies") > 1) & (F.col("size") >= min_payload)).select(F.col("sha1").alias("s_"), F.col("size").alias("z_"), "latest")
     marked = own.join(shared, (F.col("sha1") == F.col("s_")) & (F.col("size") == F.col("z_")), "left")
     refers = F.when(F.col("latest").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("latest"))), F.col("latest"))
     rows = marked.select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "sha1", "size", refers.alias("refers_to"))
-    parts = -(-total // archive_bytes) or 1
-    dealt = rows.repartition(max(parts, 2), F.xxhash64("page_id", "sha1"))
-    return dealt.mapInPandas(_writer(root), "archive string, records long, bytes long")
+    # each task of the join writes its own archives: payloads are moved once
+    return rows.mapInPandas(_writer(root, archive_bytes), "archive string, records long, bytes long")
 
 
 RECORDS = "archive string, kind string, start long, end long, reason string, record_id string, record_type string, url string, refers_to string, payload_digest string, payload_bytes long, payload binary"
