@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterable
 
 _AWKWARD = re.compile(r" (?=\s)|\s (?!\s)| $|^ ")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 250_000
 
 
 class Tokens:

@@ -44,7 +44,7 @@ LEXICONS = {
 }
 
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 300_000
 
 
 class Voters:
@@ -95,21 +95,26 @@ def _dense(counts: list[tuple[int, dict[int, int]]], voters: int) -> np.ndarray:
 
 def mine(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> list[tuple[str, str]]:
     """``(kind, sign)`` of patterns that are much likelier in toxic texts, best first, without near-copies."""
-    seen: dict[tuple[str, str], list[int]] = {}
-    support: Counter = Counter()
-    features: list[set[str]] = []
-    for text in texts:
+
+    def signs(text: str) -> set[str]:
+        """Words (marked by ``=``) and beginnings of words in a text."""
         words = {w for t in set((text or "").split()) for w in _WORD.findall(t.lower()) if len(w) > 2}
-        features.append(words)
+        return {"=" + w for w in words} | {w[:k] for w in words for k in PREFIXES if len(w) >= k}
+
+    marks: Counter = Counter()
     for i in np.flatnonzero(toxic):
-        support.update({("word", w) for w in features[i]} | {("prefix", w[:k]) for w in features[i] for k in PREFIXES if len(w) >= k})
+        marks.update(signs(texts[i]))
     positives = int(toxic.sum())
     least = max(4, positives // 150)
-    wanted = {f for f, n in support.items() if n >= least}
-    for i, words in enumerate(features):
-        for f in {("word", w) for w in words} | {("prefix", w[:k]) for w in words for k in PREFIXES if len(w) >= k}:
-            if f in wanted:
-                seen.setdefault(f, []).append(i)
+    marks = Counter({f: n for f, n in marks.items() if n >= least})
+    rows_of: dict[str, list[int]] = {f: [] for f in marks}
+    for i, text in enumerate(texts):  # texts are cut up again: their words would take more memory than time
+        for f in signs(text):
+            if f in rows_of:
+                rows_of[f].append(i)
+    named = {f: ("word", f[1:]) if f[0] == "=" else ("prefix", f) for f in marks}
+    seen = {named[f]: rows for f, rows in rows_of.items()}
+    support = {named[f]: n for f, n in marks.items()}
     total_p, total_n = weight[toxic == 1].sum(), weight[toxic == 0].sum()
     scored = []
     for f, rows in seen.items():
