@@ -23,7 +23,7 @@ from xxhash import xxh64_intdigest
 
 from .common import table
 
-FREQUENT = 1 << 16
+FREQUENT = 1 << 17
 LONGEST = 64
 BUCKETS = 1 << 16
 _MAX = 1 << 30
@@ -74,23 +74,27 @@ class Codec:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def rank(self, raw: Column) -> Column:
+    @staticmethod
+    def rank(ranks: Column, raw: Column) -> Column:
         h = F.xxhash64(raw)
-        return F.try_element_at(F.get(self._ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")), h)
+        return F.try_element_at(F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")), h)
 
     def fold(self, word: Column) -> Column:
         """``array<int>``: the ids of one word, given as a string."""
+        return let(self._ranks, lambda ranks: self._fold(ranks, word))
+
+    def _fold(self, ranks: Column, word: Column) -> Column:
+        """``fold`` with the rank map bound to a variable: each mention of a literal would be a copy in the plan."""
 
         def of(raw: Column) -> Column:
-            whole = self.rank(raw)
-            return let(whole, lambda w: F.when(w.isNotNull(), F.array(w)).otherwise(merged(raw)))
+            return let(self.rank(ranks, raw), lambda w: F.when(w.isNotNull(), F.array(w)).otherwise(merged(raw)))
 
         def merged(raw: Column) -> Column:
             parts = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.substr(raw, i, F.lit(1)))
-            return let(parts, lambda p: F.aggregate(F.sequence(F.lit(2), F.size(p)), start(p), step, lambda a: F.transform(a["p"], self.rank)))
+            return let(parts, lambda p: F.aggregate(F.sequence(F.lit(2), F.size(p)), start(p), step, lambda a: F.transform(a["p"], lambda x: self.rank(ranks, x))))
 
         def pair(a: Column, b: Column) -> Column:
-            return F.coalesce(self.rank(F.concat(a, b)), F.lit(_MAX))
+            return let(F.concat(a, b), lambda x: F.coalesce(self.rank(ranks, x), F.lit(_MAX)))
 
         def start(p: Column) -> Column:
             n = F.size(p) - 1
@@ -129,10 +133,11 @@ class Codec:
     def encode(self, text: Column, frequent: list | None = None) -> Column:
         """``array<int>``: the ids of a text (none for null and empty ones)."""
         if frequent is None:
-            return F.flatten(F.transform(self.words(text), self.fold))
-        known = _literal(frequent, "array<map<string,array<int>>>")
-        at = lambda w: F.try_element_at(F.get(known, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")), w)
-        return F.flatten(F.transform(self.words(text), lambda w: F.coalesce(at(w), self.fold(w))))
+            return let(self._ranks, lambda ranks: F.flatten(F.transform(self.words(text), lambda w: self._fold(ranks, w))))
+        literal = _literal(frequent, "array<map<string,array<int>>>")
+        at = lambda known, w: F.try_element_at(F.get(known, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")), w)
+        ids = lambda ranks, known: F.flatten(F.transform(self.words(text), lambda w: F.coalesce(at(known, w), self._fold(ranks, w))))
+        return let(self._ranks, lambda ranks: let(literal, lambda known: ids(ranks, known)))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids; unknown ids add none."""
