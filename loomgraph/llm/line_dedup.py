@@ -3,6 +3,8 @@
 A text is cut into chunks of whole lines.  A chunk ends after a line where the
 rolling hash of the last ``window`` line hashes is 0 modulo ``divisor``, so the cuts
 depend on nearby lines only and stay put when lines are added or removed elsewhere.
+Of several such lines in a row every second one cuts, so chunks have two lines or more
+(but for the end of a text).
 Chunks of two lines or more that occur more than once over all documents are removed
 but for their first occurrence (smallest id, then place), after comparing their bytes.
 
@@ -20,6 +22,8 @@ from .common import table
 
 WINDOW = 1
 DIVISOR = 2
+#: Lines looked back over to keep cuts two lines apart.
+LOOK_BACK = 16
 
 
 def let(value: Column, use) -> Column:
@@ -31,11 +35,19 @@ def chunks_of(lines: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Co
 
     def rolled(h: Column) -> Column:
         """Places of the lines that end a chunk."""
-        def ends(i: Column) -> Column:
+        def marked(i: Column) -> Column:
             last = [F.coalesce(F.get(h, i - F.lit(k)), F.lit(0)) for k in range(window)]  # before the first line: 0
             return F.pmod(F.xxhash64(*last), F.lit(divisor)) == 0
 
-        inner = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: ends(i) & (i < F.size(h) - 1))
+        def ends(marks: Column, i: Column) -> Column:
+            """Of marks in a row, the first, third, ... cut: no chunk inside a text has one line."""
+            odd = F.lit(False)  # further into a run than is looked back over: no cut
+            for k in range(LOOK_BACK, 0, -1):
+                odd = F.when(~F.coalesce(F.get(marks, i - F.lit(k)), F.lit(False)), F.lit(k % 2 == 1)).otherwise(odd)
+            return F.get(marks, i) & odd
+
+        marks = F.transform(F.sequence(F.lit(0), F.size(h) - 1), marked)
+        inner = let(marks, lambda b: F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i < F.size(h) - 1) & ends(b, i)))
         return F.concat(inner, F.array(F.size(h) - 1))
 
     def spans(cut: Column) -> Column:
