@@ -178,7 +178,8 @@ class LabelModel:
         m = votes.shape[1]
         known = anchors >= 0
         start = (anchors == 1).astype(float)
-        self.parent = np.full(m, -1)
+        # correlations come first, from the anchors: voters taken as independent would drift to the largest group of copies
+        self.parent = self._tree(votes[known], count[known], start[known]) if known.any() else np.full(m, -1)
         self._estimate(votes[known], count[known], start[known])
         for step in range(rounds):
             q = np.where(known, start, self.posterior(votes))
