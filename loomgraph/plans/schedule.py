@@ -48,7 +48,6 @@ def alive(world: Instance, shape: Pattern, agent: DataFrame) -> bool:
 class Box:
     """``inputs`` and ``outputs``: agent shapes of the ports (None: the empty agent)."""
 
-    name = "box"
     inputs: list = [None]
     outputs: list = [None]
 
