@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words_of
+from .common import Scratch, table, words_of
 
 #: A document fails by itself below this number of words ...
 MIN_WORDS = 50
@@ -136,9 +136,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source")
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    m = measured(docs).select("doc_id", "source", "__m")
-    from .common import Scratch  # measures are read twice: by host and by document
-
+    m = measured(docs).select("doc_id", "source", "__m")  # read twice: by host and by document
     kept = Scratch(spark, "rules").keep(m, "measures")
     failed = kept.withColumn("__failed", base_failed(F.col("__m")))
     verdicts = host_verdicts(failed.select(F.col("source").alias("host"), F.col("__failed").alias("failed"))).select(F.col("host").alias("__host"), "host_kept", "host_rate")
@@ -147,5 +145,4 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("__m.n_words").alias("n_words"), F.col("__m.word_chars").alias("word_chars"), F.col("__m.n_symbols").alias("n_symbols"),
         F.col("__m.n_dup_lines").alias("n_dup_lines"), F.col("__m.n_repeat_words").alias("n_repeat_words"),
         F.col("__failed").alias("base_failed"), (~F.col("__failed") & F.coalesce(F.col("host_kept"), F.lit(True))).alias("kept"),
-        F.round("host_rate", 9).alias("host_rate"),
     )

@@ -26,4 +26,45 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP6 = """
+with rows as (select conv_id, turn, role, coalesce(text, '') as x from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized as (select *, length(role) + 10 + length(replace(replace(x, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')) as n from rows)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || x || chr(10), '' order by turn)) as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(x) else 0 end) as bigint) as loss_chars,
+  sha256(string_agg(case when role = 'assistant' then x else '' end, '' order by turn)) as loss_sha256,
+  cast(sum(n) as bigint) as formatted_chars
+from sized group by conv_id
+"""
+
+_OP7 = r"""
+with d as (select doc_id, source, coalesce(text, '') as t from documents),
+w as (select doc_id, unnest(list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as x, generate_subscripts(list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> ''), 1) as i from d),
+g as (select doc_id, i, x, case when lead(x, 2) over (partition by doc_id order by i) is not null then x || ' ' || lead(x) over (partition by doc_id order by i) || ' ' || lead(x, 2) over (partition by doc_id order by i) end as s from w),
+c as (select doc_id, i, x, case when s is not null and count(*) over (partition by doc_id, s) > 1 then 1 else 0 end as f from g),
+m as (select doc_id, i, x, max(f) over (partition by doc_id order by i rows between 2 preceding and current row) as f from c),
+words as (select doc_id, count(*) as n_words, sum(length(x)) as word_chars, sum(f) as n_repeat_words from m group by doc_id),
+l as (select doc_id, unnest(string_split(t, chr(10))) as x from d),
+lines as (select doc_id, count(*) - count(distinct x) as n_dup_lines from l where regexp_matches(x, '[^\x20\x09-\x0D]') group by doc_id),
+b as (select d.doc_id, d.source, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) as n_symbols,
+  coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words from d left join words using (doc_id) left join lines using (doc_id)),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b),
+h as (select source, count(*) as n, sum(case when base_failed then 1 else 0 end) as k from f group by source),
+tot as (select least(greatest(sum(k) / sum(n), 1e-4), 1 - 1e-4) as p, var_pop(k / n) as spread, avg(1.0 / n) as inverse from h),
+pri as (select p, greatest(p * (1 - p) / greatest(spread - p * (1 - p) * inverse, p * (1 - p) * 1e-4) - 1, 1.0) as weight from tot),
+v as (select source, (k + p * weight) / (n + weight) <= 0.6 as good from h, pri)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
+  cast(n_repeat_words as bigint) as n_repeat_words, base_failed, not base_failed and good as kept
+from f join v on f.source is not distinct from v.source
+"""
+
+_DIGIT = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + ((b{k // 8} >> {35 - 5 * (k % 8)}) & 31) as int), 1)" for k in range(32))
+_OP9 = f"""
+with p as (select page_id, coalesce(html, '') as x, sha1(coalesce(html, '')) as h from pages),
+b as (select *, {', '.join(f"cast('0x' || substr(h, {1 + 10 * i}, 10) as bigint) as b{i}" for i in range(4))}, max(page_id) over (partition by x) as latest from p)
+select page_id, cast(strlen(x) as bigint) as payload_bytes, {_DIGIT} as payload_digest,
+  case when page_id = latest then 'response' else 'revisit' end as record_type, case when page_id <> latest then latest end as refers_to from b
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_chat": _OP6, "op7_quality_rules": _OP7, "op9_warc": _OP9}
