@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import table
+from .common import Scratch, table
 
 FREQUENT = 1 << 17
 LONGEST = 64
@@ -123,11 +123,25 @@ class Codec:
 
     def frequent(self, docs: DataFrame, text_col: str, most: int = FREQUENT) -> list:
         """The most frequent distinct words with their ids, in buckets; at most ``most`` words come to the driver."""
+        spark = docs.sparkSession
         counts = docs.select(F.explode(self.words(F.col(text_col))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-        top = counts.where((F.col("n") > 1) & (F.octet_length("w") <= LONGEST)).orderBy(F.desc("n"), "w").limit(most)
+        scratch = Scratch(spark, "bpe")
+        counts = scratch.keep(counts.where((F.col("n") > 1) & (F.octet_length("w") <= LONGEST)), "counts")
+        # sizes of counts in eighths of a power of two: at most 8 * 64 rows, whatever the corpus.  The bound that
+        # keeps the most words within ``most`` is found from them; a top-k would bring k words of each partition.
+        step = F.floor(F.log2("n") * 8).cast("int")
+        sizes = {r["s"]: r["c"] for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("c")).collect()}
+        least, total = 1 << 30, 0
+        for size in sorted(sizes, reverse=True):
+            total += sizes[size]
+            if total > most:
+                break
+            least = size
+        top = counts.where(step >= least)
         buckets: list[dict[str, list[int]]] = [{} for _ in range(BUCKETS)]
         for r in top.select("w", self.fold(F.col("w")).alias("ids")).collect():
             buckets[_hash(r["w"].encode()) % BUCKETS][r["w"]] = r["ids"]
+        scratch.drop(counts)
         return buckets
 
     def encode(self, text: Column, frequent: list | None = None) -> Column:
