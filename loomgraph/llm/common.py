@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +16,25 @@ from pyspark.sql import functions as F
 SPACE = "[\\x20\\x09-\\x0D]"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, unless they find it by ``PYTHONPATH`` or the working folder."""
+    root, sc = Path(__file__).resolve().parents[2], spark.sparkContext
+    places = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    if str(root) in [os.path.realpath(p) for p in places if p] or sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    archive = os.path.join(tempfile.mkdtemp(prefix="loomgraph-"), "loomgraph.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "loomgraph").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(archive)
+
+
+_SHIPPED: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
