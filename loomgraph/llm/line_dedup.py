@@ -1,16 +1,17 @@
-"""Removal of globally repeated multi-line chunks.
-
-A text is cut into chunks of whole lines.  A chunk ends after a line where the
-rolling hash of the last ``window`` line hashes is 0 modulo ``divisor``, so the cuts
-depend on nearby lines only and stay put when lines are added or removed elsewhere.
-Of several such lines in a row every second one cuts, so chunks have two lines or more
-(but for the end of a text).
-Chunks of two lines or more that occur more than once over all documents are removed
-but for their first occurrence (smallest id, then place), after comparing their bytes.
-
-Only DataFrame operations: chunk hashes are counted first (pre-aggregated), texts of
-chunks are moved only for hashes that repeat, and the removals of a document come
-back as one short list.
+"""Removal of globally repeated multi-line passages.
+
+A rolling window of two lines with words goes over the line hashes of each text, and
+every place of it is counted (no sampling of places, so no passage is missed for where
+cuts happen to fall); a line of over ``LONG`` words counts by itself as well.  A window
+that stands earlier (smaller id, then place) in any document is repeated, and its lines
+go; a passage of several lines goes whole, since all its windows are repeated, and so
+does a copy of a document.  The first occurrence of every line stays, as no window on it
+can stand earlier.  Lines are compared by bytes: those that share a hash with another
+text are never removed.
+
+Only DataFrame operations: windows are counted first (pre-aggregated), they travel as
+hashes, texts of lines are moved once for the comparison, and the removals of a document
+come back as one short list.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: A line of more words than this is a passage by itself.
+LONG = 50
+_WORD = "[^\\x20\\x09-\\x0D]"
+#: Of ``chunks_of``, which removal doesn't use.
 WINDOW = 1
 DIVISOR = 2
 #: Lines looked back over to keep cuts two lines apart.
@@ -60,46 +65,68 @@ def chunks_of(lines: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Co
     return let(F.transform(lines, lambda x: F.xxhash64(x)), lambda h: let(rolled(h), spans))
 
 
-def _text(lines: Column, chunk: Column) -> Column:
-    return F.array_join(F.slice(lines, chunk["first"], chunk["lines"]), "\n")
+def windows_of(lines: Column) -> Column:
+    """``array<struct<first, n, a, b>>``: 0-based first line, number of lines, hashes of the first and last line.
+
+    Two neighbouring lines with words, lines without any between them included, and
+    (``n`` = 1) each line of over ``LONG`` words.
+    """
+    # over LONG words need 2 * LONG + 1 characters: shorter lines aren't searched
+    is_long = lambda x: F.when(F.length(x) > 2 * LONG, F.regexp_count(x, F.lit(_WORD + "+")) > LONG).otherwise(F.lit(False))
+    worded = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("p"), F.xxhash64(x).alias("h"), is_long(x).alias("long"), x.rlike(_WORD).alias("word"))), lambda s: s["word"])
+
+    def window(s: Column, t: Column) -> Column:
+        return F.struct(s["p"].alias("first"), (t["p"] - s["p"] + 1).alias("n"), s["h"].alias("a"), t["h"].alias("b"))
+
+    def both(w: Column) -> Column:
+        pairs = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), lambda s, k: window(s, F.get(w, k + F.lit(1))))
+        return F.concat(pairs, F.transform(F.filter(w, lambda s: s["long"]), lambda s: window(s, s)))
+
+    return let(worded, both)
+
+
+def _runs(places: Column) -> Column:
+    """Number of runs without a gap in an ascending array."""
+    return F.size(F.filter(places, lambda x, k: (k == 0) | (x - F.get(places, k - F.lit(1)) > 1)))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR, report: bool = False) -> DataFrame:
-    """``docs`` with repeated chunks cut out of ``text_col``; every row stays, columns as they were.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text_col``; every row stays, columns as they were.
 
-    ``report=True`` adds ``n_chunks`` and ``n_removed``.  Null texts stay null, empty
-    ones empty; chunks without any word are not removed.  Rows without an id are
-    neither cut nor counted.  Rows that share an id count as one document (their
-    equal chunks at one place are one occurrence).  An empty table stays empty.
+    ``report=True`` adds ``n_chunks``, the number of runs of lines that stay or go, and
+    ``n_removed``, that of those that go.  Null texts stay null, empty ones empty; a text
+    that keeps no line with a word becomes empty.  Rows without an id are neither cut nor
+    counted.  Rows that share an id count as one document (their equal windows at one
+    place are one occurrence).  An empty table stays empty.
     """
     source = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.split(F.col(text_col), "\n").alias("__lines"))
-    many = source.select(
-        "__id",
-        let(
-            chunks_of(F.col("__lines"), window, divisor),
-            lambda cs: F.filter(F.transform(cs, lambda c, k: F.struct(k.alias("k"), c["lines"].alias("n"), _text(F.col("__lines"), c).alias("t"))), lambda c: (c["n"] >= 2) & c["t"].rlike("[^\\x20\\x09-\\x0D]")),
-        ).alias("cs"),
-    )
-    hashes = many.select(F.explode(F.transform("cs", lambda c: F.xxhash64(c["t"]))).alias("__rh"))
-    repeated = hashes.groupBy("__rh").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("__rh")
-    places = many.select("__id", F.explode("cs").alias("c")).select("__id", F.col("c.k").alias("k"), F.xxhash64("c.t").alias("h"), F.col("c.t").alias("t"))
-    found = places.join(repeated, F.col("h") == F.col("__rh"), "left_semi")
-    groups = found.groupBy("h", "t").agg(F.min(F.struct("__id", "k")).alias("first"), F.count(F.lit(1)).alias("n")).where("n >= 2").select(F.col("h").alias("gh"), F.col("t").alias("gt"), "first")
-    # joined by hash, then bytes compared: a hash shared by different texts removes nothing
-    gone = found.join(groups, (F.col("h") == F.col("gh")) & (F.col("t") == F.col("gt"))).where((F.col("first.__id") != F.col("__id")) | (F.col("first.k") != F.col("k")))
-    per_doc = gone.groupBy("__id").agg(F.collect_list(F.struct("k", "h")).alias("__gone"))
-    # texts travel to the join as they are; lines and chunks are cut after it
+    key = ["a", "b", "n"]
+    places = source.select("__id", F.explode(windows_of(F.col("__lines"))).alias("w")).select("__id", "w.first", *[F.col(f"w.{k}") for k in key])
+    repeated = places.groupBy(*key).agg(F.count(F.lit(1)).alias("__c")).where("__c >= 2").select(*key)
+    found = places.join(repeated, key, "left_semi")
+    # lines are compared by bytes: hashes of repeated windows that stand for several texts
+    hashes = repeated.select(F.explode(F.array("a", "b")).alias("__rh")).distinct()
+    texts = source.select(F.explode("__lines").alias("t")).select(F.xxhash64("t").alias("h"), "t").join(hashes, F.col("h") == F.col("__rh"), "left_semi")
+    clash = texts.groupBy("h", "t").agg(F.count(F.lit(1))).groupBy("h").agg(F.count(F.lit(1)).alias("__c")).where("__c >= 2").select("h")
+    least = found.groupBy(*key).agg(F.min(F.struct("__id", "first")).alias("least"))
+    for side in ("a", "b"):
+        least = least.join(clash, F.col(side) == F.col("h"), "left_anti")
+    later = found.join(least, key).where((F.col("least.__id") != F.col("__id")) | (F.col("least.first") != F.col("first")))
+    per_doc = later.groupBy("__id").agg(F.collect_list(F.struct("first", *key)).alias("__gone"))
+    # texts travel to the join as they are; lines are cut after it
     joined = docs.join(per_doc, F.col(id_col) == F.col("__id"), "left").withColumn("__lines", F.split(F.col(text_col), "\n"))
-    joined = joined.withColumn("__chunks", chunks_of(F.col("__lines"), window, divisor))
-    lines, chunks = F.col("__lines"), F.col("__chunks")
-    # a row that shares its id with another text is cut only where its own chunk has the removed hash
-    dropped = F.transform(F.filter("__gone", lambda g: F.xxhash64(_text(lines, F.get(chunks, g["k"]))) == g["h"]), lambda g: g["k"])
-    left = let(dropped, lambda d: F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), d))
-    rebuilt = F.array_join(F.transform(left, lambda k: _text(lines, F.get(chunks, k))), "\n")
-    out = joined.withColumn("__new", F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(rebuilt))
+    lines = F.col("__lines")
+    # a row that shares its id with another text is cut only where its own lines have the removed hashes
+    own = F.filter("__gone", lambda g: (F.xxhash64(F.get(lines, g["first"])) == g["a"]) & (F.xxhash64(F.get(lines, g["first"] + g["n"] - 1)) == g["b"]))
+    cut = F.array_sort(F.array_distinct(F.flatten(F.transform(own, lambda g: F.sequence(g["first"], g["first"] + g["n"] - 1)))))
+    joined = joined.withColumn("__cut", cut).withColumn("__left", F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("__cut", F.array().cast("array<int>"))))
+    kept = F.transform("__left", lambda i: F.get(lines, i))
+    rebuilt = F.when(F.exists(kept, lambda x: x.rlike(_WORD)), F.array_join(kept, "\n")).otherwise("")
+    out = joined.withColumn("__new", F.when(F.coalesce(F.size("__cut"), F.lit(0)) > 0, rebuilt).otherwise(F.col(text_col)))
     columns = [F.col("__new").alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if report:
-        columns += [F.coalesce(F.size(chunks), F.lit(0)).alias("n_chunks"), F.coalesce(F.size(dropped), F.lit(0)).alias("n_removed")]
+        gone = F.coalesce(_runs(F.col("__cut")), F.lit(0))
+        columns += [(F.coalesce(_runs(F.col("__left")), F.lit(0)) + gone).alias("n_chunks"), gone.alias("n_removed")]
     return out.select(*columns)
 
 

@@ -82,6 +82,22 @@ def test_line_dedup_repeated_rows_and_shared_ids(spark):
     assert sorted(r["text"] for r in line_dedup.dedup_lines(d).collect()) == sorted([PASSAGE, PASSAGE, "quite\nanother\ntext\nunder\nthis id"])
 
 
+@pytest.mark.parametrize("lines", [1, 2, 3, 5])
+def test_line_dedup_removes_planted_passages_whole(spark, lines):
+    passage = "\n".join(f"planted {i}" + (" word" * 60 if lines == 1 else "") for i in range(lines))
+    texts = [f"own {i}\nmore {i * 7}\n{passage}\nend {i}\nlast {i}" for i in range(20)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), report=True).collect()}
+    assert got[0]["text"] == texts[0] and (got[0]["n_chunks"], got[0]["n_removed"]) == (1, 0)
+    for i in range(1, 20):
+        assert got[i]["text"] == f"own {i}\nmore {i * 7}\nend {i}\nlast {i}" and (got[i]["n_chunks"], got[i]["n_removed"]) == (3, 1)
+
+
+def test_line_dedup_keeps_first_lines_and_short_single_ones(spark):
+    texts = ["a b\nc d", "a b\nc d\ne f", "c d\n\ne f", "c d\ne f", "e f", "head\n\nx 1", "head\n\nx 2", "c d\n\ne f\n"]
+    got = dict(line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert got == {0: "a b\nc d", 1: "e f", 2: "c d\n\ne f", 3: "", 4: "e f", 5: "head\n\nx 1", 6: "head\n\nx 2", 7: ""}
+
+
 def test_chunks_tile_the_lines(spark):
     text = "\n".join(str(i * i) for i in range(500))
     d = spark.createDataFrame([(1, text), (2, "new\n" + text)], "doc_id long, text string")
