@@ -92,6 +92,16 @@ def test_line_dedup_removes_planted_passages_whole(spark, lines):
         assert got[i]["text"] == f"own {i}\nmore {i * 7}\nend {i}\nlast {i}" and (got[i]["n_chunks"], got[i]["n_removed"]) == (3, 1)
 
 
+def test_line_dedup_takes_equal_texts_whole(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    texts = ["\n".join(f"{n} line {i}" for i in range(n)) for n in range(2, 30)]
+    texts += ["\n".join(["same again"] * 40), "\n".join(["same again"] * 41 + ["own end"]), long, f"{long}\nend", "one short line"]
+    got = dict(line_dedup.dedup_lines(spark.createDataFrame([(k, t) for k, t in enumerate(texts + texts)], "doc_id long, text string")).collect())
+    copies = [got[len(texts) + k] for k in range(len(texts))]
+    assert copies[:-2] == [""] * (len(texts) - 2) and copies[-2:] == ["", "one short line"]
+    assert [got[k] for k in range(28)] == texts[:28] and got[28] == "same again" and got[len(texts) - 1] == "one short line"
+
+
 def test_line_dedup_keeps_first_lines_and_short_single_ones(spark):
     texts = ["a b\nc d", "a b\nc d\ne f", "c d\n\ne f", "c d\ne f", "e f", "head\n\nx 1", "head\n\nx 2", "c d\n\ne f\n"]
     got = dict(line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
