@@ -32,6 +32,8 @@ MODEL_VOTERS = 16
 MINED_VOTERS = 96
 PREFIXES = range(4, 9)
 FOLDS, HELD_OUT = 4, 2
+#: A text is called toxic from this score, by the query and by the pipeline's stage alike.
+TOXIC_FROM = 0.3
 
 #: Insults by language; each list is one voter.
 LEXICONS = {
@@ -373,7 +375,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return counts.select(F.col("id").alias(id_col), score("n", "voter", "hits").alias("score"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = TOXIC_FROM) -> DataFrame:
     """The rows of ``docs`` scored below ``threshold``; columns as they were.  Rows without an id stay."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     model, counts = train(docs, labels, scratch, id_col, text_col)
@@ -389,4 +391,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))

@@ -183,6 +183,14 @@ def test_toxicity_held_out(spark):
     assert _auc(h.score.to_numpy(), h.toxic.to_numpy()) > 0.85 and ((h.predicted == 1) & (h.toxic == 0)).mean() < 0.02
 
 
+def test_toxicity_stage_drops_what_the_query_predicts(spark):
+    import corpus_pipeline as cp
+
+    d = "/root/testdata/sf0.01"
+    clean = {r["doc_id"] for r in toxicity.op1_toxicity(spark, d).where("predicted = 0").collect()}
+    assert {r["doc_id"] for r in cp.toxicity(spark, spark.read.parquet(f"{d}/documents.parquet"), d).collect()} == clean
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet").toPandas().set_index("doc_id")["quality"]
