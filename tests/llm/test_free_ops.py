@@ -40,6 +40,31 @@ def test_simhash_components_equal_brute_force(spark, sf):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {top(i) for i in ids} | {None}
 
 
+def test_pipeline_drops_texts_of_similarity_from_four_fifths(spark):
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(40):
+        words = [f"w{k}" for k in rng.integers(0, 5000, 300)]
+        rows.append((i, " ".join(words)))
+        for at, step in ((100, 75), (200, 30)):  # 4 and 10 words changed: about 0.87 and 0.71 of the shingles stay
+            rows.append((at + i, " ".join(f"x{k}" if k % step == 7 else w for k, w in enumerate(words))))
+    rows += [(300, None), (301, " "), (302, "a b"), (303, "A  b"), (304, "a c")]
+    docs = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string")
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1)))} for i, t in rows for w in [(t or "").lower().split()]}
+    up = {i: i for i, _ in rows}
+    for i in sorted(up):
+        for j in sorted(up):
+            if j < i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and up[i] != up[j]:
+                a, b = sorted((up[i], up[j]))
+                up = {k: a if v == b else v for k, v in up.items()}
+    got = cp.simhash(spark, docs, "")
+    assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == set(up.values()) | {None}
+    assert 0 < sum(up[100 + i] == i for i in range(40)) and sum(up[200 + i] == 200 + i for i in range(40)) > 0
+    assert cp.simhash(spark, docs.limit(0), "").count() == 0
+
+
 def test_simhash_of_few_words():
     from xxhash import xxh64_intdigest
 
