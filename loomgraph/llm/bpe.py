@@ -1,32 +1,43 @@
-r"""Byte-level BPE encoding and decoding in Spark higher-order functions.
+r"""Byte-level BPE encoding and decoding.
 
 A text is split by the tokenizer's pattern.  A word is encoded by folding ranked merges
-over its array of bytes: the leftmost pair of least rank is joined until no pair has a
-rank.  Ranks are a literal map in the plan (a hash of the bytes to the rank, in buckets,
-as Spark searches a map literal from end to end).
-
-Distinct words: all words are counted, and the ``FREQUENT`` most frequent distinct ones
-are encoded once, by the same fold, into a second literal; its size is bounded by
-``FREQUENT`` words of ``LONGEST`` bytes, whatever the corpus.  Every other word is folded
-where it stands.  So no word is ever moved to be joined with its ids, and no text is
-shuffled.  Decoding looks up each id's bytes and concatenates them.
+over its array of bytes, in Spark higher-order functions: the leftmost pair of least rank
+becomes one part, until no pair has a rank.  Ranks are a literal map in the plan: by the
+left part's id, then by the right part's.  A part is one number, the rank of the pair that
+it starts and its own id, so that the least number of the array is the next merge.
+
+Each task folds its distinct words once.  The splitter numbers the words of its partition
+and hands on the byte array of a word with the first document that has it; the fold turns
+new words to ids; the assembler, next in the same task, keeps them by number and puts
+documents together.  No word or text is shuffled, nothing but the rank map passes the
+driver, and a lost executor costs its own tasks.  Both ends forget at the same row when
+``HELD`` words are known, so memory is bounded; words are then folded anew.  A word of
+over ``LONGEST`` bytes, for which an array rewritten at every merge would take quadratic
+time, is merged with a heap.  Decoding looks up each id's bytes and concatenates them.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
+from array import array
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
-from .common import Scratch, table
+from .common import ship, table
+from .tokens import AWKWARD, SPLIT
 
-FREQUENT = 1 << 17
-LONGEST = 64
-BUCKETS = 1 << 16
-_MAX = 1 << 30
+HELD = 400_000
+LONGEST = 256
+ROWS = 512
+#: A part: the id of the pair that it starts (from 1; ``NONE`` where that pair has no rank) above ``BITS``, its own id (from 1; 0: beyond the ends) below.
+BITS = 20
+NONE = 1 << 42
 
 
 def let(value: Column, use) -> Column:
@@ -38,140 +49,216 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def java_pattern(pattern: str) -> str:
-    r"""The pattern for Java: ``\s`` is Unicode white space there only if spelled out."""
-    space = "\\p{IsWhite_Space}"
-    return pattern.replace("[^\\s", "[^" + space).replace("\\S", "\\P{IsWhite_Space}").replace("\\s", space)
-
-
-def _hash(raw: bytes) -> int:
-    """Spark's ``xxhash64`` of a string or binary."""
-    h = xxh64_intdigest(raw, 42)
-    return h - (1 << 64) if h >> 63 else h
-
-
 def _literal(value, kind: str) -> Column:
     """A literal of any size in one piece: JSON that the optimizer folds."""
     return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
 
+def pair_parts(ranks: dict[bytes, int]) -> list[dict[int, int]]:
+    """By the left part's id (from 1), then the right part's: the left part as a number."""
+    pairs: list[dict[int, int]] = [{} for _ in range(max(ranks.values(), default=-1) + 2)]
+    for piece, rank in ranks.items():
+        for i in range(1, len(piece)):
+            left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if left is not None and right is not None:
+                pairs[left + 1][right + 1] = ((rank + 1) << BITS) + left + 1
+    return pairs
+
+
+def _bucketed(rights: dict[int, int]) -> list[dict[int, int]]:
+    """As many buckets as there are entries: Spark searches a map literal from end to end."""
+    out: list[dict[int, int]] = [{} for _ in range(max(1, len(rights)))]
+    for right, part in rights.items():
+        out[right % len(out)][right] = part
+    return out
+
+
+def merge_long(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges for one long word, in n log n."""
+    n = len(raw)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at i: where it ends, where the one before starts
+    heap = [(ranks[raw[i : i + 2]], i, i + 2) for i in range(n - 1) if raw[i : i + 2] in ranks]
+    heapq.heapify(heap)
+    gone = bytearray(n)
+
+    def offer(i: int) -> None:
+        if i >= 0 and end[i] < n and (rank := ranks.get(raw[i : end[end[i]]])) is not None:
+            heapq.heappush(heap, (rank, i, end[end[i]]))
+
+    while heap:
+        _, i, to = heapq.heappop(heap)
+        if gone[i] or end[i] >= n or end[end[i]] != to:  # a part of it has been merged meanwhile
+            continue
+        gone[end[i]] = 1
+        end[i] = to
+        if to < n:
+            before[to] = i
+        offer(i)
+        offer(before[i])
+    return [ranks[raw[i : end[i]]] for i in range(n) if not gone[i]]
+
+
+class Words:
+    """Splits texts into words by a pattern, and numbers them."""
+
+    def __init__(self, pattern: str):
+        import regex
+
+        # white space is Unicode's property here, whatever an engine takes for it
+        self.of = regex.compile(pattern.replace("\\s", "\\p{White_Space}").replace("\\S", "\\P{White_Space}")).findall
+        self.by_space = pattern == SPLIT
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.chunks: dict[str, bytes] = {}
+
+    def numbers(self, words: list[str], new: list[str]) -> bytes:
+        number = self.number
+        for w in words:
+            if w not in number:
+                number[w] = len(number)
+                new.append(w)
+        return array("I", map(number.__getitem__, words)).tobytes()
+
+    def text(self, text: str, new: list[str]) -> bytes:
+        """The numbers of a text's words as unsigned 32-bit integers; words met first are added to ``new``."""
+        if not self.by_space or AWKWARD.search(text):
+            return self.numbers(self.of(text), new)
+        # such texts have a word boundary before each space: a chunk between spaces is split once
+        first, *rest = text.split(" ")
+        chunks = self.chunks
+        out = [self.numbers(self.of(first), new)]
+        for c in rest:
+            got = chunks.get(c)
+            if got is None:
+                got = chunks[c] = self.numbers(self.of(" " + c), new)
+            out.append(got)
+        return b"".join(out)
+
+
+def _splitter(ranks: dict[bytes, int], pattern: str):
+    one = [ranks[bytes([b])] + 1 for b in range(256)]
+    parts = np.full((257, 257), NONE, dtype=np.int64)  # by bytes, from 1; 0 is beyond the ends
+    parts[1:, :] += np.array(one)[:, None]
+    for a in range(256):
+        for b in range(256):
+            if (rank := ranks.get(bytes([a, b]))) is not None:
+                parts[a + 1, b + 1] = ((rank + 1) << BITS) + one[a]
+
+    def arrays(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Byte arrays of words, one after the other, and where they start; long words have none but their ids."""
+        raws, long = [w.encode("utf-8", "surrogatepass") for w in words], []
+        for i, raw in enumerate(raws):
+            if len(raw) > LONGEST:
+                long.append(np.array(merge_long(raw, ranks), dtype="<u4").tobytes())
+                raws[i] = b""
+        sizes = np.array([len(r) for r in raws], dtype=np.int64)
+        offsets = np.concatenate(([0], np.cumsum(np.where(sizes > 0, sizes + 2, 0))))
+        at = np.zeros(offsets[-1] + 1, dtype=np.int64)
+        inner = np.ones(offsets[-1], dtype=bool)
+        inner[offsets[:-1][sizes > 0]] = False
+        inner[offsets[1:][sizes > 0] - 1] = False
+        at[:-1][inner] = np.frombuffer(b"".join(raws), dtype=np.uint8).astype(np.int64) + 1
+        return parts[at[:-1], at[1:]], offsets, long
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(pattern)
+        for whole in batches:
+            for begin in range(0, len(whole), ROWS):
+                batch = whole.slice(begin, ROWS)
+                fresh, numbers, counts, longs, new = [], [], [], [], []
+                for text in batch.column("text").to_pylist():
+                    fresh.append(len(words.number) > HELD or len(words.chunks) > HELD)
+                    if fresh[-1]:
+                        words.forget()
+                    before = len(new)
+                    numbers.append(words.text(text or "", new))
+                    counts.append(len(new) - before)
+                q, offsets, long = arrays(new)
+                ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                at = iter(long)
+                longs = [[next(at) for w in new[a:b] if len(w.encode("utf-8", "surrogatepass")) > LONGEST] if long else [] for a, b in zip(ends, ends[1:])]
+                inner = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(q))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), pa.array(fresh), pa.array(numbers, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), inner), pa.array(longs, pa.list_(pa.binary()))],
+                    ["id", "fresh", "numbers", "new", "long"],
+                )
+
+    return run
+
+
+def _assembler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: list[bytes] = []
+    for batch in batches:
+        new, docs = batch.column("new"), []
+        ends = new.offsets.to_pylist()
+        inner = new.values
+        at = inner.offsets.to_numpy()
+        raw = ((inner.values.to_numpy(zero_copy_only=False) & ((1 << BITS) - 1)) - 1).astype("<u4").tobytes()
+        at = (4 * at.astype(np.int64)).tolist()
+        for k, (fresh, numbers, long) in enumerate(zip(batch.column("fresh").to_pylist(), batch.column("numbers").to_pylist(), batch.column("long").to_pylist())):
+            if fresh:
+                known = []
+            rest = iter(long)
+            known += [raw[at[i] + 4 : at[i + 1] - 4] if at[i + 1] > at[i] else next(rest) for i in range(ends[k], ends[k + 1])]
+            docs.append(b"".join(map(known.__getitem__, np.frombuffer(numbers, dtype=np.uint32).tolist())))
+        offsets = np.concatenate(([0], np.cumsum([len(d) // 4 for d in docs]))).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(docs), dtype="<u4").astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), ids, pa.array(docs, pa.binary())], ["id", "ids", "packed"])
+
+
 class Codec:
-    """Encoding and decoding expressions for one rank file."""
+    """Encoding and decoding expressions for one rank file, which ranks all 256 bytes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.pattern = java_pattern(pattern)
-        buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-        for piece, rank in ranks.items():
-            h = _hash(piece)
-            buckets[h % BUCKETS][str(h)] = rank
-        self._ranks = _literal(buckets, "array<map<string,int>>").cast("array<map<bigint,int>>")
+        self.ranks, self.pattern = ranks, pattern
+        self._pairs = _literal([_bucketed(p) for p in pair_parts(ranks)], "array<array<map<string,bigint>>>").cast("array<array<map<bigint,bigint>>>")
         pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece
         self._pieces = _literal([p.hex() for p in pieces], "array<string>")
-        self._ids = _literal([i.to_bytes(4, "little").hex() for i in range(len(pieces))], "array<string>")
 
-    def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
+    def folded(self, words: Column) -> Column:
+        """An array of words, each an array of its parts between two ends, after all merges."""
+        return let(self._pairs, lambda pairs: F.transform(words, lambda w: F.aggregate(F.slice(w, F.lit(4), F.size(w)), w, lambda q, _: self._merged(pairs, q))))
 
     @staticmethod
-    def rank(ranks: Column, raw: Column) -> Column:
-        h = F.xxhash64(raw)
-        return F.try_element_at(F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")), h)
-
-    def fold(self, word: Column) -> Column:
-        """``array<int>``: the ids of one word, given as a string."""
-        return let(self._ranks, lambda ranks: self._fold(ranks, word))
-
-    def _fold(self, ranks: Column, word: Column) -> Column:
-        """``fold`` with the rank map bound to a variable: each mention of a literal would be a copy in the plan."""
-
-        def of(raw: Column) -> Column:
-            return let(self.rank(ranks, raw), lambda w: F.when(w.isNotNull(), F.array(w)).otherwise(merged(raw)))
-
-        def merged(raw: Column) -> Column:
-            parts = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.substr(raw, i, F.lit(1)))
-            return let(parts, lambda p: F.aggregate(F.sequence(F.lit(2), F.size(p)), start(p), step, lambda a: F.transform(a["p"], lambda x: self.rank(ranks, x))))
-
-        def pair(a: Column, b: Column) -> Column:
-            return let(F.concat(a, b), lambda x: F.coalesce(self.rank(ranks, x), F.lit(_MAX)))
-
-        def start(p: Column) -> Column:
-            n = F.size(p) - 1
-            return F.struct(p.alias("p"), F.zip_with(F.slice(p, 1, n), F.slice(p, 2, n), pair).alias("r"))
-
-        def step(a: Column, _) -> Column:
-            least = F.array_min(a["r"])
-            return F.when(F.coalesce(least, F.lit(_MAX)) == _MAX, a).otherwise(let(F.array_position(a["r"], least).cast("int"), lambda k: join(a, k)))
-
-        def join(a: Column, k: Column) -> Column:
-            """Parts ``k`` and ``k + 1`` (1-based) become one; the ranks beside it are looked up anew."""
-            p, r = a["p"], a["r"]
-            one = F.concat(F.get(p, k - 1), F.get(p, k))
-            none = F.array().cast("array<int>")
-            left = lambda x: F.when(k > 1, F.array(pair(F.get(p, k - 2), x))).otherwise(none)
-            right = lambda x: F.when(k + 1 < F.size(p), F.array(pair(x, F.get(p, k + 1)))).otherwise(none)
-            before = F.when(k > 2, F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0)))).otherwise(none)
-            return let(
-                one,
-                lambda x: F.struct(
-                    F.concat(F.slice(p, F.lit(1), k - 1), F.array(x), F.slice(p, k + 2, F.size(p))).alias("p"), F.concat(before, left(x), right(x), F.slice(r, k + 2, F.size(p))).alias("r")
-                ),
-            )
-
-        return let(F.encode(word, "UTF-8"), of)
-
-    def frequent(self, docs: DataFrame, text_col: str, most: int = FREQUENT) -> list:
-        """The most frequent distinct words with their ids, in buckets; at most ``most`` words come to the driver."""
-        spark = docs.sparkSession
-        counts = docs.select(F.explode(self.words(F.col(text_col))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-        scratch = Scratch(spark, "bpe")
-        counts = scratch.keep(counts.where((F.col("n") > 1) & (F.octet_length("w") <= LONGEST)), "counts")
-        # sizes of counts in eighths of a power of two: at most 8 * 64 rows, whatever the corpus.  The bound that
-        # keeps the most words within ``most`` is found from them; a top-k would bring k words of each partition.
-        step = F.floor(F.log2("n") * 8).cast("int")
-        sizes = {r["s"]: r["c"] for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("c")).collect()}
-        least, total = 1 << 30, 0
-        for size in sorted(sizes, reverse=True):
-            total += sizes[size]
-            if total > most:
-                break
-            least = size
-        top = counts.where(step >= least)
-        buckets: list[dict[str, list[int]]] = [{} for _ in range(BUCKETS)]
-        for r in top.select("w", self.fold(F.col("w")).alias("ids")).collect():
-            buckets[_hash(r["w"].encode()) % BUCKETS][r["w"]] = r["ids"]
-        scratch.drop(counts)
-        return buckets
-
-    def encode(self, text: Column, frequent: list | None = None) -> Column:
-        """``array<int>``: the ids of a text (none for null and empty ones)."""
-        if frequent is None:
-            return let(self._ranks, lambda ranks: F.flatten(F.transform(self.words(text), lambda w: self._fold(ranks, w))))
-        literal = _literal(frequent, "array<map<string,array<int>>>")
-        at = lambda known, w: F.try_element_at(F.get(known, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")), w)
-        ids = lambda ranks, known: F.flatten(F.transform(self.words(text), lambda w: F.coalesce(at(known, w), self._fold(ranks, w))))
-        return let(self._ranks, lambda ranks: let(literal, lambda known: ids(ranks, known)))
+    def _merged(pairs: Column, q: Column) -> Column:
+        """One merge: of the leftmost part with the least pair, and the part after it; parts whose pair changes are looked up."""
+
+        def own(x: Column) -> Column:
+            return x.bitwiseAND(F.lit((1 << BITS) - 1))
+
+        def part(a: Column, b: Column) -> Column:
+            rights = F.get(pairs, a.cast("int"))
+            return F.coalesce(F.try_element_at(F.get(rights, F.pmod(b, F.size(rights)).cast("int")), b), a + F.lit(NONE))
+
+        def join(least: Column, k: Column) -> Column:
+            one = F.shiftright(least, BITS)
+            return F.concat(F.slice(q, F.lit(1), k - 2), F.array(part(own(F.get(q, k - 2)), one), part(one, own(F.get(q, k + 1)))), F.slice(q, k + 2, F.size(q)))
+
+        return F.when(F.array_min(q) >= NONE, q).otherwise(let(F.array_min(q), lambda m: let(F.array_position(q, m).cast("int"), lambda k: join(m, k))))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids; unknown ids add none."""
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self._pieces, i)), ""))
 
-    def packed(self, ids: Column) -> Column:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self._ids, i)), ""))
-
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[Codec, DataFrame]:
-    """The codec, and ``(id_col, ids)`` for each row of ``docs``.
+    """The codec, and ``(id_col, ids, packed)`` for each row of ``docs``: its ids, and the same as little-endian unsigned 32-bit integers.
 
     Null texts are empty and have no ids; null ids and repeated rows are kept; an empty
     table gives none.  Texts and words of any length are encoded whole.  Other columns
     are not looked at.
     """
+    ship(docs.sparkSession)
     codec = Codec(ranks, pattern)
-    own = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text"))
-    return codec, own.select(id_col, codec.encode(F.col("__text"), codec.frequent(own, "__text")).alias("ids"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = own.schema["id"].dataType.simpleString()
+    split = own.mapInArrow(_splitter(ranks, pattern), f"id {kind}, fresh boolean, numbers binary, new array<array<bigint>>, long array<binary>")
+    folded = split.withColumn("new", codec.folded(F.col("new")))
+    return codec, folded.mapInArrow(_assembler, f"id {kind}, ids array<int>, packed binary").withColumnRenamed("id", id_col)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +266,4 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     codec, encoded = encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    # ids are used three times and computed once: bound by a lambda over a one-element array
-    used = let(F.col("ids"), lambda i: F.struct(F.size(i).cast("long").alias("n"), F.sha2(codec.packed(i), 256).alias("i"), F.sha2(codec.decode(i), 256).alias("d")))
-    out = encoded.select("doc_id", used.alias("u"))
-    return out.select("doc_id", F.col("u.n").alias("n_tokens"), F.col("u.i").alias("ids_sha256"), F.col("u.d").alias("decoded_sha256"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -17,10 +18,9 @@ SPACE = "[\\x20\\x09-\\x0D]"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a session, unless they find it by ``PYTHONPATH`` or the working folder."""
+    """Sends this package to the executors, once a session; on one machine they are the driver's own process tree."""
     root, sc = Path(__file__).resolve().parents[2], spark.sparkContext
-    places = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
-    if str(root) in [os.path.realpath(p) for p in places if p] or sc.applicationId in _SHIPPED:
+    if (sc.master.startswith("local") and not sc.master.startswith("local-cluster") and str(root) in sys.path) or sc.applicationId in _SHIPPED:
         return
     _SHIPPED.add(sc.applicationId)
     archive = os.path.join(tempfile.mkdtemp(prefix="loomgraph-"), "loomgraph.zip")
@@ -76,6 +76,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
@@ -103,6 +104,17 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def apart(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores added as it takes to differ from all of ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

@@ -16,10 +16,10 @@ import sys
 from array import array
 from collections.abc import Iterable
 
-_AWKWARD = re.compile(r" (?=\s)|\s (?!\s)| $|^ ")
+AWKWARD = re.compile(r" (?=\s)|\s (?!\s)| $|^ ")
 _CACHE_WORDS = 250_000
 #: How byte-level BPE splits text: a fixed value of that format.
-_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -54,7 +54,7 @@ def _ranked(path: str):
 
     byte, special = _byte_of(), {t["content"] for t in spec.get("added_tokens") or []}
     ranks = {bytes(byte[c] for c in w): i for w, i in vocab.items() if w not in special}
-    return tiktoken.Encoding("ranked", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
 class Tokens:
@@ -66,7 +66,9 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        # texts with an added token's string go to the library whole, as it decides where that is a token
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.fast = _ranked(path)
         # two generations: what is in neither is encoded, what the older has moves up
         self.words: dict[str, bytes] = {}
@@ -89,7 +91,10 @@ class Tokens:
             out.append(b"")
             if not isinstance(text, str) or not text:
                 continue
-            if _AWKWARD.search(text):
+            if self.added and self.added.search(text):
+                out[i] = _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+                continue
+            if AWKWARD.search(text):
                 whole[i] = text
                 continue
             first, *rest = text.split(" ")

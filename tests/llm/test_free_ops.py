@@ -136,30 +136,67 @@ def test_packing_table(spark, sf):
         assert [a for a, _ in s] == [sum(n for _, n in s[:i]) for i in range(len(s))] and sum(n for _, n in s) <= 1024
 
 
-ODD = ["", " ", "  a", "a  b", "a \n b", "a\n\n b c", "don't stop  ", "x \tb", "é à ", "a b c  d", "'s 't", "日本語 テスト 12,34", "a\n", "\x1c a\x85b", "zzqqxxjj" * 9, "😀😀 ok", " lead", "<|endoftext|> x", None]
+ODD = ["", " ", "  a", "a  b", "a \n b", "a\n\n b c", "don't stop  ", "x \tb", "é à ", "a b c  d", "'s 't", "日本語 テスト 12,34", "a\n", "\x1c a\x85b", "zzqqxxjj" * 9, "😀😀 ok", " lead", "<|endoftext|> x", "a <|endoftext|><|endoftext|>b", None]
 
 
 def test_split_cache_equals_the_library():
     from tokenizers import Tokenizer
 
     t, own = Tokenizer.from_file(P.path("byte_bpe_50k.json")), Tokens(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     for _ in range(2):
         assert own.encode_bytes(ODD) == [np.array(t.encode(x or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for x in ODD]
 
 
-def test_bpe_equals_the_library_and_decodes(spark, sf):
+@pytest.fixture(scope="module")
+def ranks():
+    return bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def _library(ranks):
     import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _same_as_the_library(spark, ranks, texts):
     from pyspark.sql import functions as F
 
-    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
-    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = ODD + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("n_chars").limit(25).collect()]
-    d = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    enc = _library(ranks)
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").coalesce(2)
     codec, e = bpe.encode_documents(d, ranks, P.PATTERN)
-    for r in e.select("doc_id", "ids", codec.decode(F.col("ids")).alias("raw"), codec.packed(F.col("ids")).alias("le")).collect():
+    rows = e.select("doc_id", "ids", codec.decode(F.col("ids")).alias("raw"), "packed").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
         want = enc.encode_ordinary(texts[r["doc_id"]] or "")
-        assert r["ids"] == want and bytes(r["raw"]).decode() == (texts[r["doc_id"]] or "") and bytes(r["le"]) == np.array(want, dtype="<u4").tobytes()
+        assert r["ids"] == want and bytes(r["raw"]).decode() == (texts[r["doc_id"]] or "") and bytes(r["packed"]) == np.array(want, dtype="<u4").tobytes()
+
+
+def test_bpe_equals_the_library_and_decodes(spark, sf, ranks, monkeypatch):
+    texts = ODD + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("n_chars").limit(25).collect()]
+    _same_as_the_library(spark, ranks, texts)
+
+
+def test_bpe_of_periodic_and_long_words(spark, ranks):
+    rng = np.random.default_rng(4)
+    periodic = ["".join(rng.choice(list(letters), n)) * k for letters in ("ab", "an", "abc", "eé") for n in range(1, 7) for k in (1, 2, 3, 5, 9)]
+    started = __import__("time").time()
+    _same_as_the_library(spark, ranks, [" ".join(periodic), "ab" * 50_000, "x" + "é" * 300 + " y", "".join(rng.choice(list("abcdefgh"), 3000)) + "\n\n" + "-" * 700])
+    assert __import__("time").time() - started < 120
+    enc = _library(ranks)
+    assert all(bpe.merge_long(w.encode(), ranks) == enc.encode_ordinary(w) for w in periodic)
+
+
+def test_bpe_words_forget_together(spark, ranks, monkeypatch):
+    from loomgraph.llm.bpe import _splitter
+
+    monkeypatch.setattr(bpe, "HELD", 3)  # workers have the module's own value: the two ends are run here
+    import pyarrow as pa
+
+    texts = ["a b c d e", "a b q", "zz a", None, "a b c d e f"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], ["id", "text"])
+    out = next(_splitter(ranks, P.PATTERN)(iter([batch])))
+    assert out.column("fresh").to_pylist() == [False, True, False, True, False]
+    assert next(bpe._assembler(iter([out]))).num_rows == 5
 
 
 def test_warc_salvage():
