@@ -10,9 +10,9 @@ Each task folds its distinct words once.  The splitter numbers the words of its
 and hands on the byte array of a word with the first document that has it; the fold turns
 new words to ids; the assembler, next in the same task, keeps them by number and puts
 documents together.  No word or text is shuffled, nothing but the rank map passes the
-driver, and a lost executor costs its own tasks.  Both ends forget at the same row when
-``HELD`` words are known, so memory is bounded; words are then folded anew.  A word of
-over ``LONGEST`` bytes, for which an array rewritten at every merge would take quadratic
+driver, and a lost executor costs its own tasks.  When ``HELD`` words are known, both ends
+keep those that came more than once, half of ``HELD`` at most, and forget the others, which
+are folded anew if they come back: memory is bounded.  A word of over ``LONGEST`` bytes, for which an array rewritten at every merge would take quadratic
 time, is merged with a heap.  Decoding looks up each id's bytes and concatenates them.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import ship, table
 from .tokens import AWKWARD, SPLIT
 
-HELD = 400_000
+HELD = 100_000
 LONGEST = 256
 ROWS = 512
 #: A part: the id of the pair that it starts (from 1; ``NONE`` where that pair has no rank) above ``BITS``, its own id (from 1; 0: beyond the ends) below.
@@ -107,11 +107,24 @@ class Words:
         # white space is Unicode's property here, whatever an engine takes for it
         self.of = regex.compile(pattern.replace("\\s", "\\p{White_Space}").replace("\\S", "\\P{White_Space}")).findall
         self.by_space = pattern == SPLIT
-        self.forget()
-
-    def forget(self) -> None:
         self.number: dict[str, int] = {}
+        self.counts = np.zeros(0, dtype=np.int64)
+        self.chunks: dict[str, bytes] = {}
+
+    def forget(self) -> np.ndarray:
+        """Keeps the words that came more than once, the most frequent ones if those are many; their numbers so far, in the order of the new ones."""
+        keep = np.flatnonzero(self.counts > 1)
+        keep = np.sort(keep[np.argsort(-self.counts[keep], kind="stable")[: HELD // 2]])
+        words = list(self.number)
+        self.number = {words[i]: k for k, i in enumerate(keep.tolist())}
+        self.counts = self.counts[keep] // 2
         self.chunks: dict[str, bytes] = {}
+        return keep.astype(np.uint32)
+
+    def seen(self, numbers: list[bytes]) -> None:
+        found = np.bincount(np.frombuffer(b"".join(numbers), dtype=np.uint32), minlength=len(self.number))
+        found[: len(self.counts)] += self.counts
+        self.counts = found
 
     def numbers(self, words: list[str], new: list[str]) -> bytes:
         number = self.number
@@ -132,7 +145,8 @@ class Words:
         for c in rest:
             got = chunks.get(c)
             if got is None:
-                got = chunks[c] = self.numbers(self.of(" " + c), new)
+                # letters alone are one word
+                got = chunks[c] = self.numbers([" " + c] if c.isalpha() else self.of(" " + c), new)
             out.append(got)
         return b"".join(out)
 
@@ -167,22 +181,23 @@ def _splitter(ranks: dict[bytes, int], pattern: str):
         for whole in batches:
             for begin in range(0, len(whole), ROWS):
                 batch = whole.slice(begin, ROWS)
-                fresh, numbers, counts, longs, new = [], [], [], [], []
+                kept: list[bytes | None] = [None] * len(batch)
+                if len(words.number) > HELD or len(words.chunks) > HELD:
+                    kept[0] = words.forget().tobytes()
+                numbers, counts, new = [], [], []
                 for text in batch.column("text").to_pylist():
-                    fresh.append(len(words.number) > HELD or len(words.chunks) > HELD)
-                    if fresh[-1]:
-                        words.forget()
                     before = len(new)
                     numbers.append(words.text(text or "", new))
                     counts.append(len(new) - before)
+                words.seen(numbers)
                 q, offsets, long = arrays(new)
                 ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 at = iter(long)
                 longs = [[next(at) for w in new[a:b] if len(w.encode("utf-8", "surrogatepass")) > LONGEST] if long else [] for a, b in zip(ends, ends[1:])]
                 inner = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(q))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(fresh), pa.array(numbers, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), inner), pa.array(longs, pa.list_(pa.binary()))],
-                    ["id", "fresh", "numbers", "new", "long"],
+                    [batch.column("id"), pa.array(kept, pa.binary()), pa.array(numbers, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), inner), pa.array(longs, pa.list_(pa.binary()))],
+                    ["id", "kept", "numbers", "new", "long"],
                 )
 
     return run
@@ -197,9 +212,9 @@ def _assembler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = inner.offsets.to_numpy()
         raw = ((inner.values.to_numpy(zero_copy_only=False) & ((1 << BITS) - 1)) - 1).astype("<u4").tobytes()
         at = (4 * at.astype(np.int64)).tolist()
-        for k, (fresh, numbers, long) in enumerate(zip(batch.column("fresh").to_pylist(), batch.column("numbers").to_pylist(), batch.column("long").to_pylist())):
-            if fresh:
-                known = []
+        for k, (kept, numbers, long) in enumerate(zip(batch.column("kept").to_pylist(), batch.column("numbers").to_pylist(), batch.column("long").to_pylist())):
+            if kept is not None:
+                known = [known[i] for i in np.frombuffer(kept, dtype=np.uint32).tolist()]
             rest = iter(long)
             known += [raw[at[i] + 4 : at[i + 1] - 4] if at[i + 1] > at[i] else next(rest) for i in range(ends[k], ends[k + 1])]
             docs.append(b"".join(map(known.__getitem__, np.frombuffer(numbers, dtype=np.uint32).tolist())))
@@ -256,7 +271,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
     codec = Codec(ranks, pattern)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    split = own.mapInArrow(_splitter(ranks, pattern), f"id {kind}, fresh boolean, numbers binary, new array<array<bigint>>, long array<binary>")
+    split = own.mapInArrow(_splitter(ranks, pattern), f"id {kind}, kept binary, numbers binary, new array<array<bigint>>, long array<binary>")
     folded = split.withColumn("new", codec.folded(F.col("new")))
     return codec, folded.mapInArrow(_assembler, f"id {kind}, ids array<int>, packed binary").withColumnRenamed("id", id_col)
 

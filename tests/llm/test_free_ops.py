@@ -186,17 +186,26 @@ def test_bpe_of_periodic_and_long_words(spark, ranks):
     assert all(bpe.merge_long(w.encode(), ranks) == enc.encode_ordinary(w) for w in periodic)
 
 
-def test_bpe_words_forget_together(spark, ranks, monkeypatch):
-    from loomgraph.llm.bpe import _splitter
-
-    monkeypatch.setattr(bpe, "HELD", 3)  # workers have the module's own value: the two ends are run here
+def test_bpe_words_are_forgotten_by_both_ends(ranks, monkeypatch):
     import pyarrow as pa
 
-    texts = ["a b c d e", "a b q", "zz a", None, "a b c d e f"]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], ["id", "text"])
-    out = next(_splitter(ranks, P.PATTERN)(iter([batch])))
-    assert out.column("fresh").to_pylist() == [False, True, False, True, False]
-    assert next(bpe._assembler(iter([out]))).num_rows == 5
+    monkeypatch.setattr(bpe, "HELD", 2)
+    monkeypatch.setattr(bpe, "ROWS", 2)
+    enc = _library(ranks)
+    texts = ["a b c d e b", "a b q", "zz a", None, "a b c d e f", "b q zz"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["id", "text"])
+    out = list(bpe._splitter(ranks, P.PATTERN)(iter([batch])))
+    assert [b.column("kept").to_pylist()[0] is None for b in out] == [True, False, False]
+    assert np.frombuffer(out[1].column("kept")[0].as_py(), dtype=np.uint32).tolist() == [1]  # " b"; "a" at the start is another word than " a"
+
+    def fold(w):  # what Spark does in between
+        raw = b"".join(bpe_bytes[x & ((1 << bpe.BITS) - 1)] for x in w[1:-1])
+        return [0, *[i + 1 for i in enc.encode_ordinary(raw.decode())], 0]
+
+    bpe_bytes = {ranks[bytes([b])] + 1: bytes([b]) for b in range(256)}
+    folded = [b.set_column(3, "new", pa.array([[fold(w) for w in ws] for ws in b.column("new").to_pylist()], pa.list_(pa.list_(pa.int64())))) for b in out]
+    got = [ids for b in bpe._assembler(iter(folded)) for ids in b.column("ids").to_pylist()]
+    assert got == [enc.encode_ordinary(t or "") for t in texts]
 
 
 def test_warc_salvage():
