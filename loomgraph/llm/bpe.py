@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import sys
 from array import array
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import ship, table
 from .tokens import AWKWARD, SPLIT
 
-HELD = 100_000
+HELD = 400_000
 LONGEST = 256
 ROWS = 512
 #: A part: the id of the pair that it starts (from 1; ``NONE`` where that pair has no rank) above ``BITS``, its own id (from 1; 0: beyond the ends) below.
@@ -140,15 +141,18 @@ class Words:
             return self.numbers(self.of(text), new)
         # such texts have a word boundary before each space: a chunk between spaces is split once
         first, *rest = text.split(" ")
-        chunks = self.chunks
-        out = [self.numbers(self.of(first), new)]
-        for c in rest:
-            got = chunks.get(c)
-            if got is None:
-                # letters alone are one word
-                got = chunks[c] = self.numbers([" " + c] if c.isalpha() else self.of(" " + c), new)
-            out.append(got)
-        return b"".join(out)
+        chunks, number = self.chunks, self.number
+        for c in [c for c in rest if c not in chunks]:
+            w = " " + c
+            if not c.isalpha():
+                chunks[c] = self.numbers(self.of(w), new)
+                continue
+            n = number.get(w)  # letters alone are one word
+            if n is None:
+                n = number[w] = len(number)
+                new.append(w)
+            chunks[c] = n.to_bytes(4, sys.byteorder)
+        return self.numbers(self.of(first), new) + b"".join(map(chunks.__getitem__, rest))
 
 
 def _splitter(ranks: dict[bytes, int], pattern: str):
@@ -205,13 +209,13 @@ def _splitter(ranks: dict[bytes, int], pattern: str):
 
 def _assembler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: list[bytes] = []
-    for batch in batches:
+    for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, len(whole), ROWS)):
         new, docs = batch.column("new"), []
-        ends = new.offsets.to_pylist()
-        inner = new.values
-        at = inner.offsets.to_numpy()
-        raw = ((inner.values.to_numpy(zero_copy_only=False) & ((1 << BITS) - 1)) - 1).astype("<u4").tobytes()
-        at = (4 * at.astype(np.int64)).tolist()
+        ends = new.offsets.to_numpy()
+        at = new.values.offsets.to_numpy()[ends[0] : ends[-1] + 1].astype(np.int64)
+        parts = new.values.values.slice(at[0], at[-1] - at[0]).to_numpy(zero_copy_only=False)
+        raw = ((parts & ((1 << BITS) - 1)) - 1).astype("<u4").tobytes()
+        at, ends = (4 * (at - at[0])).tolist(), (ends - ends[0]).tolist()
         for k, (kept, numbers, long) in enumerate(zip(batch.column("kept").to_pylist(), batch.column("numbers").to_pylist(), batch.column("long").to_pylist())):
             if kept is not None:
                 known = [known[i] for i in np.frombuffer(kept, dtype=np.uint32).tolist()]
