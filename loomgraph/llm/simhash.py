@@ -7,13 +7,13 @@ Search.  Equal fingerprints are one class, so copies are never paired.  Classes
 are dealt to shards by the pigeonhole rule: of ``blocks`` bit blocks, two linked
 fingerprints agree on ``blocks - radius`` at least, so each class goes once to the
 shard of every such choice of blocks, and every link is inside some shard.  A shard
-is served by one task, which holds BK-trees of the shard (children keyed by their
+is served by one task, which holds the shard's BK-tree (children keyed by their
 Hamming distance to the parent) and follows only the edges within the radius.  The
-trees travel to the task that owns the shard instead of to all tasks: a tree over
+tree stays in the task that owns the shard instead of going to all tasks: a tree over
 all documents would have no size bound, and at radius 4 of 64 a single BK-tree
-visits most of its nodes.  A shard keeps one group of trees per component found so
-far and stops at the first hit in each, so a dense group of near copies costs a few
-visits per member and yields a spanning set of links, not all its pairs.
+visits most of its nodes.  A subtree of one component is passed by once that
+component is hit, so a dense group of near copies costs a few visits per member and
+yields a spanning set of links, not all its pairs.
 
 ``blocks`` follows the number of classes, so that a shard of unrelated fingerprints
 stays small at every size; the links found are the same for every choice.
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, table
+from .common import Scratch, apart, table
 from .graph import components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -75,72 +75,69 @@ def fingerprint_hex(fp: Column) -> Column:
 
 
 class BKTree:
-    """A Burkhard-Keller tree over unsigned 64-bit fingerprints."""
+    """A Burkhard-Keller tree over distinct unsigned 64-bit fingerprints that links what lies within ``radius``.
 
-    __slots__ = ("root",)
+    A node is ``[value, children by distance, component, whether the subtree has only it]``.
+    """
 
-    def __init__(self, value: int):
-        self.root = (value, {})
+    __slots__ = ("radius", "root", "up")
 
-    def insert(self, value: int) -> None:
+    def __init__(self, radius: int):
+        self.radius = radius
+        self.root: list | None = None
+        self.up: list[int] = []  # union-find over components
+
+    def top(self, c: int) -> int:
+        up = self.up
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    def hits(self, value: int) -> dict[int, int]:
+        """A stored fingerprint within the radius for each component that has one."""
+        found: dict[int, int] = {}
+        stack, radius, top = [self.root] if self.root else [], self.radius, self.top
+        while stack:
+            node = stack.pop()
+            component = top(node[2])
+            if node[3] and component in found:
+                continue
+            d = (node[0] ^ value).bit_count()
+            if d <= radius:
+                found.setdefault(component, node[0])
+            children = node[1]
+            for k in range(d - radius, d + radius + 1) if len(children) > 2 * radius else list(children):
+                if abs(k - d) <= radius and (child := children.get(k)):
+                    stack.append(child)
+        return found
+
+    def add(self, value: int) -> list[int]:
+        """Stores ``value``; the fingerprints to link it with, one for each component that it joins."""
+        found = self.hits(value)
+        own, *others = list(found) or [len(self.up)]
+        if not found:
+            self.up.append(own)
+        for c in others:
+            self.up[c] = own
         node = self.root
-        while True:
+        if node is None:
+            self.root = [value, {}, own, True]
+        while node:
+            if node[3] and self.top(node[2]) != own:
+                node[3] = False
             d = (node[0] ^ value).bit_count()
             child = node[1].get(d)
             if child is None:
                 if d:
-                    node[1][d] = (value, {})
-                return
+                    node[1][d] = [value, {}, own, True]
+                break
             node = child
-
-    def first(self, value: int, radius: int) -> int | None:
-        """Any stored fingerprint within ``radius`` of ``value``."""
-        stack = [self.root]
-        while stack:
-            at, children = stack.pop()
-            d = (at ^ value).bit_count()
-            if d <= radius:
-                return at
-            for k in range(d - radius, d + radius + 1):
-                child = children.get(k)
-                if child is not None:
-                    stack.append(child)
-        return None
-
-
-class Shard:
-    """BK-trees of one shard, grouped by the component that their members are known to share."""
-
-    __slots__ = ("groups", "radius")
-
-    def __init__(self, radius: int):
-        self.radius = radius
-        self.groups: list[list[BKTree]] = []
-
-    def add(self, value: int) -> list[int]:
-        """Insert; the fingerprints to link it with, one for each group that it joins."""
-        hits, apart, joined = [], [], []
-        for group in self.groups:
-            for tree in group:
-                hit = tree.first(value, self.radius)
-                if hit is not None:
-                    hits.append(hit)
-                    joined.append(group)
-                    break
-            else:
-                apart.append(group)
-        if not joined:
-            self.groups.append([BKTree(value)])
-            return hits
-        joined[0][0].insert(value)
-        if len(joined) > 1:
-            self.groups = [*apart, [t for g in joined for t in g]]
-        return hits
+        return list(found.values())
 
 
 def _shard_links(radius: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, shard, waiting = None, None, None
+        key, tree, waiting = None, None, None
         for pdf in batches:
             keys, values = pdf["key"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
             if not len(keys):
@@ -151,17 +148,17 @@ def _shard_links(radius: int):
             b: list[int] = []
             for at, n in zip(cuts.tolist(), sizes.tolist()):
                 if keys[at] != key:
-                    key, shard, waiting = keys[at], None, None
+                    key, tree, waiting = keys[at], None, None
                     if n == 1:  # alone as far as this batch shows: no tree yet
                         waiting = int(values[at])
                         continue
-                if shard is None:
-                    shard = Shard(radius)
+                if tree is None:
+                    tree = BKTree(radius)
                     if waiting is not None:
-                        shard.add(waiting)
+                        tree.add(waiting)
                         waiting = None
                 for v in values[at : at + n].tolist():
-                    for hit in shard.add(v):
+                    for hit in tree.add(v):
                         a.append(v)
                         b.append(hit)
             yield pd.DataFrame({"a": np.array(a, dtype=np.uint64).view(np.int64), "b": np.array(b, dtype=np.uint64).view(np.int64)})
@@ -187,7 +184,7 @@ def _masks(blocks: int, radius: int) -> list[int]:
 def hamming_links(fps: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame:
     """``(a, b)``: links that connect what lies within ``radius`` bits, over distinct ``fp``."""
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(_masks(blocks, radius))])
-    dealt = fps.select("fp", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key", "fp")
+    dealt = fps.select("fp", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key", F.xxhash64("fp"))
     return dealt.mapInPandas(_shard_links(radius), "a long, b long").distinct()
 
 
@@ -221,12 +218,21 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` with the smallest id of each component; columns as they were.
 
-    Of rows that share that id, one stays.  Rows without an id stay.
+    Of rows that share that id, the one with the smallest text stays.  Rows without an id stay.
     """
     found = near_duplicates(docs, id_col, text_col, **how)
-    stays = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__stays")).distinct()
-    kept = docs.join(stays, docs[id_col] == stays["__stays"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    stays = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("stays"))
+    return first_rows(docs, stays, id_col, text_col)
+
+
+def first_rows(docs: DataFrame, stays: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of the ids that ``stays(stays)`` names, the row with the smallest text each (null first); rows without an id as they are."""
+    row, key, stay = apart(docs.columns, "__row", "__key", "__stay")
+    order = F.struct(F.col(text_col).isNotNull(), F.col(text_col))
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias(key), F.struct(*docs.columns).alias(row), order.alias(stay))
+    ids = stays.select(F.col(stays.columns[0]).alias(f"{stay}_")).distinct()
+    one = named.join(ids, F.col(key) == F.col(f"{stay}_"), "left_semi").groupBy(key).agg(F.min_by(row, stay).alias(row))
+    return one.select(*[F.col(row)[c].alias(c) for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

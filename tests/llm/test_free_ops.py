@@ -73,18 +73,46 @@ def test_simhash_of_few_words():
     assert simhash.simhash64("É") == xxh64_intdigest("É", 42)
 
 
-def test_bk_tree_and_shard():
+def test_bk_tree_links_connect_what_is_near():
     rng = np.random.default_rng(1)
-    values = [int(x) for x in rng.integers(0, 2**63, 300)]
-    near = [v ^ (1 << int(rng.integers(0, 60))) ^ (1 << int(rng.integers(0, 60))) for v in values[:80]]
-    tree = simhash.BKTree(values[0])
-    for v in values[1:]:
-        tree.insert(v)
-    assert all((tree.first(v, 2) ^ v).bit_count() <= 2 for v in near)
-    assert all((tree.first(v, 4) is None) == all((v ^ w).bit_count() > 4 for w in values) for v in (int(x) for x in rng.integers(0, 2**63, 50)))
-    shard = simhash.Shard(4)
-    links = [shard.add(v) for v in values + near]
-    assert all(x for x in links[300:])
+    far = [int(x) for x in rng.integers(0, 2**63, 300)]
+    flip = lambda v, n: v ^ sum(1 << int(k) for k in rng.choice(63, n, replace=False))
+    dense = [flip(far[0], int(k)) for k in rng.integers(1, 4, 400)]
+    values = list(dict.fromkeys(far + [flip(v, 2) for v in far[:80]] + dense))
+    rng.shuffle(values)
+    tree, up = simhash.BKTree(4), {v: v for v in values}
+
+    def top(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    seen, links = [], 0
+    for v in values:
+        near = [w for w in seen if (v ^ w).bit_count() <= 4]
+        hits = tree.add(v)
+        assert all((v ^ w).bit_count() <= 4 for w in hits) and {top(w) for w in hits} == {top(w) for w in near} and len(hits) == len({top(w) for w in near})
+        for w in hits:
+            up[top(w)] = top(v)
+        links += len(hits)
+        seen.append(v)
+    assert links == len(values) - len({top(v) for v in values})
+
+
+def test_bk_tree_prunes():
+    rng = np.random.default_rng(2)
+
+    tree = simhash.BKTree(1)
+    for v in rng.integers(0, 2**63, 2000).tolist():
+        tree.add(v)
+    visited, stack = 0, [tree.root]
+    value = int(rng.integers(0, 2**63))
+    while stack:
+        node = stack.pop()
+        visited += 1
+        d = (node[0] ^ value).bit_count()
+        stack += [c for k, c in node[1].items() if abs(k - d) <= 1]
+    assert visited < 1000 and tree.hits(value) == {}
 
 
 @pytest.mark.parametrize("blocks", [6, 7, 8])
@@ -237,6 +265,25 @@ def test_warc_round_trip_with_revisits(spark, tmp_path):
     assert by["<urn:page:None>"]["record_type"] == "revisit" and by["<urn:page:1>"]["payload_bytes"] == 4
 
 
+def test_warc_long_headers_and_members_of_several_records(spark, tmp_path):
+    import gzip
+
+    recs = [warc.record_bytes(i, "http://x/" + "y" * 70_000, b"p" * i, warc.base32_sha1(b"p" * i), i) for i in range(4)]
+    member = gzip.compress(b"".join(gzip.decompress(r) for r in recs[:3]))
+    found = list(warc.salvage(member + b"?" + recs[3]))
+    assert [(k, a, b) for k, a, b, _ in found] == [("record", 0, len(member))] * 3 + [("gap", len(member), len(member) + 1), ("record", len(member) + 1, len(member) + 1 + len(recs[3]))]
+    assert all(len(r["url"]) == 70_009 for k, *_, r in found if k == "record")
+    folder = "file://" + str(tmp_path / "w")
+    pages = spark.createDataFrame([("a b", "u" * 70_000, "x", 1), ("z", None, "x", 2), (None, "v", "y", 3)], "page_id string, url string, html string, sha1 int")
+    assert sum(r["records"] for r in warc.write_warc(pages, folder).collect()) == 3
+    got = {r["record_id"]: r for r in warc.read_warc(spark, folder).collect()}
+    assert {r["kind"] for r in got.values()} == {"record"} and got["<urn:page:a%20b>"]["refers_to"] == "<urn:page:z>" and len(got["<urn:page:a%20b>"]["url"]) == 70_000
+    (tmp_path / "w" / "broken.warc.gz").write_bytes(recs[1][:40] + recs[2])
+    rows = warc.read_warc(spark, folder, payloads=False).where("archive = 'broken.warc.gz'").collect()
+    assert sorted(r["kind"] for r in rows) == ["gap", "record"] and all(r["payload"] is None for r in rows)
+    assert warc.write_warc(pages.limit(0), "file://" + str(tmp_path / "none")).count() == 0
+
+
 def _auc(score, y):
     order = np.argsort(score)
     rank = np.empty(len(order))
