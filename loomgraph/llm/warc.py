@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, ship, table
 
 ARCHIVE_BYTES = 32 << 20
 MIN_PAYLOAD = 0
@@ -34,7 +34,6 @@ _VERSION = b"WARC/1."
 _NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _STAMP = "1970-01-01T00:00:00Z"
-_LONGEST_HEADER = 1 << 16
 _WINDOW = 1 << 13
 
 
@@ -43,7 +42,12 @@ def base32_sha1(raw: bytes) -> str:
 
 
 def _urn(page_id) -> str:
-    return f"<urn:page:{page_id}>"
+    """A null id is ``None``; in others, what can't stand in a header is percent-encoded."""
+    return f"<urn:page:{_quoted(str(page_id))}>"
+
+
+def _quoted(text: str) -> str:
+    return re.sub(r"[\x00-\x20\x7f<>%]", lambda m: f"%{ord(m[0]):02X}", text)
 
 
 def _safe(url: str | None) -> str:
@@ -76,7 +80,7 @@ def _parse(raw: bytes, at: int = 0) -> tuple[dict, int]:
     """A record that starts at ``at`` of uncompressed bytes, and the place after it."""
     if raw[at : at + len(_VERSION)] != _VERSION:
         raise Damaged("no version line")
-    end = raw.find(b"\r\n\r\n", at, at + _LONGEST_HEADER)
+    end = raw.find(b"\r\n\r\n", at)
     if end < 0:
         raise Damaged("header without end")
     fields = {}
@@ -115,45 +119,54 @@ def _member(raw: memoryview, at: int) -> tuple[bytes, int]:
     return b"".join(parts), min(to, len(raw)) - len(inflate.unused_data)
 
 
-def _read_at(raw: bytes, view: memoryview, at: int) -> tuple[dict, int]:
-    if raw[at : at + 3] == _MAGIC:
-        whole, after = _member(view, at)
-        record, used = _parse(whole)
-        if used != len(whole):
-            raise Damaged("member holds more than a record")
-        return record, after
-    return _parse(raw, at)
+def _read_at(raw: bytes, view: memoryview, at: int) -> tuple[list[dict], int]:
+    """The record that starts at ``at``, or all records of the gzip member that does, and the place after."""
+    if raw[at : at + 3] != _MAGIC:
+        record, after = _parse(raw, at)
+        return [record], after
+    whole, after = _member(view, at)
+    records, used = [], 0
+    while used < len(whole) or not records:
+        record, used = _parse(whole, used)
+        records.append(record)
+    return records, after
 
 
 def salvage(raw: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
-    """``("record", start, end, fields)`` and ``("gap", start, end, reason)`` in order; they tile ``raw``."""
+    """``("record", start, end, fields)`` and ``("gap", start, end, reason)`` in order; their spans tile ``raw``.
+
+    Records that share a gzip member share its span.
+    """
     view, at, n = memoryview(raw), 0, len(raw)
+    found: tuple[list[dict], int] | None = None
     while at < n:
         try:
-            record, after = _read_at(raw, view, at)
-            yield "record", at, after, record
-            at = after
+            records, after = found or _read_at(raw, view, at)
+            for record in records:
+                yield "record", at, after, record
+            at, found = after, None
             continue
         except Damaged as e:
             reason = str(e)
         gap, search = at, at + 1
         while True:
-            found = _NEXT.search(raw, search)
-            if not found:
+            place = _NEXT.search(raw, search)
+            if not place:
                 at = n
                 break
             try:
-                _read_at(raw, view, found.start())
-                at = found.start()
+                found, at = _read_at(raw, view, place.start()), place.start()
                 break
             except Damaged:
-                search = found.start() + 1
+                search = place.start() + 1
         yield "gap", gap, at, reason
 
 
 def _storage(uri: str):
+    """The file system of a folder; Hadoop's names of stores are spelled as Arrow has them."""
     from pyarrow import fs
 
+    uri = re.sub(r"^s3[an]://", "s3://", uri)
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
 
 
@@ -172,10 +185,10 @@ def _writer(root: str, archive_bytes: int):
                     storage.create_dir(base, recursive=True)
                     name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = storage.open_output_stream(f"{base}/{name}", compression=None)
-                refers_to = _none(r.refers_to)
+                refers_to = r.refers_to if isinstance(r.refers_to, str) else None
                 payload = (r.html or "").encode("utf-8", "surrogatepass") if refers_to is None else b""
                 digest = base64.b32encode(bytes.fromhex(r.sha1)).decode()
-                size += out.write(record_bytes(_none(r.page_id), r.url, payload, digest, int(r.size), refers_to))
+                size += out.write(record_bytes(r.page_id if isinstance(r.page_id, str) else None, r.url, payload, digest, int(r.size), refers_to))
                 n += 1
                 if size >= archive_bytes:
                     yield closed()
@@ -186,27 +199,26 @@ def _writer(root: str, archive_bytes: int):
     return run
 
 
-def _none(x):
-    return None if x is None or pd.isna(x) else int(x)
-
-
 def write_warc(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_payload: int = MIN_PAYLOAD, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes a record for each row of ``pages`` under ``root``; gives the manifest ``(archive, records, bytes)``.
 
-    The manifest must be kept (written) once: evaluating it writes the archives.  A
+    The manifest must be kept (written) once: evaluating it writes the archives.  Ids
+    may be of any type that has an order.  Urls of any length are written whole.  A
     null html is an empty payload.  Equal payloads shorter than ``min_payload`` bytes
     are each stored.  A null id is never referred to unless no equal record has one
     (all such are stored); repeated rows with the largest id are all stored.  No rows
-    make no archive.
+    make no archive.  Other columns are not looked at.  ``root`` is a folder that Spark
+    and Arrow both reach (a shared path, ``hdfs:``, ``s3a:``, ``gs:``).
     """
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    ship(pages.sparkSession)
+    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     own = own.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html").cast("long"))
     latest = own.groupBy("sha1", "size").agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("copies"))
     # only payloads that occur more than once need the join; most do not
     shared = latest.where((F.col("copies") > 1) & (F.col("size") >= min_payload)).select(F.col("sha1").alias("s_"), F.col("size").alias("z_"), "latest")
     marked = own.join(shared, (F.col("sha1") == F.col("s_")) & (F.col("size") == F.col("z_")), "left")
     refers = F.when(F.col("latest").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("latest"))), F.col("latest"))
-    rows = marked.select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "sha1", "size", refers.alias("refers_to"))
+    rows = marked.select(F.col("page_id").cast("string").alias("page_id"), "url", F.when(refers.isNull(), F.col("html")).alias("html"), "sha1", "size", refers.cast("string").alias("refers_to"))
     # each task of the join writes its own archives: payloads are moved once
     return rows.mapInPandas(_writer(root, archive_bytes), "archive string, records long, bytes long")
 
@@ -215,7 +227,13 @@ RECORDS = "archive string, kind string, start long, end long, reason string, rec
 
 
 def read_warc(spark: SparkSession, root: str, manifest: DataFrame | None = None, payloads: bool = True) -> DataFrame:
-    """Records and gaps (``kind``) of every archive under ``root``, or of those that ``manifest`` names."""
+    """Records and gaps (``kind``) of every archive under ``root``, or of those that ``manifest`` names.
+
+    A row per record or gap; ``reason`` tells why a gap's bytes are quarantined.  Damaged
+    and empty archives give what can be read of them, repeated records a row each; a
+    folder without archives gives none.  ``payloads=False`` leaves payloads out.
+    """
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(root).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
     if manifest is not None:
         files = files.join(manifest.select("archive"), "archive", "left_semi")
@@ -244,8 +262,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     root = f"{scratch.root}/archives"
     manifest = scratch.keep(write_warc(table(spark, sf_dir, "pages"), root), "manifest")
-    if manifest.isEmpty():
+    written = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    if not written:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    read = scratch.keep(read_warc(spark, root, manifest, payloads=False).drop("payload"), "read")
+    gaps, found = read.agg(F.count_if(F.col("kind") == "gap"), F.count_if(F.col("kind") == "record")).first()
+    if gaps or found != written:
+        raise RuntimeError(f"of {written} records written, {found} were read back, with {gaps} gaps between")
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(-?[0-9]+)>', 1) as bigint)")
-    read = read_warc(spark, root, manifest, payloads=False).where("kind = 'record'")
     return read.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
