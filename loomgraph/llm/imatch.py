@@ -6,12 +6,13 @@ in ``MIN_SHARE`` of them at least.  A document's lexicon terms are dealt by hash
 randomised subsets of the lexicon; the sorted terms of each subset are hashed.
 
 Subsets come in levels, each with ``SUBSETS`` subsets and each sparser than the one
-before, so that short and long texts alike have subsets of a few terms.  A text with
-fewer than ``FEWEST`` lexicon terms uses all its terms.
+before, so that short and long texts alike have subsets of a few terms.  The subsets of
+the first level cover the lexicon; a text without a lexicon term has an empty fingerprint.
 
 Size bound of the lexicon: a term counts at ``MIN_SHARE`` of the documents or more, so
 there are at most (mean number of distinct terms) / ``MIN_SHARE`` of them, whatever the
-number of documents; it reaches the executors as a literal set.
+number of documents (0.25 MB for each thousand distinct terms of a mean text, at 1 KB for
+40 terms); it reaches the executors as a literal set.
 
 Only DataFrame operations.  Equal texts have equal fingerprints.
 """
@@ -22,15 +23,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import table, words_of
+from .common import Scratch, table, words_of
 
 MIN_SHARE, MAX_SHARE = 0.004, 0.15
-FEWEST = 6
 SUBSETS = 16
 CELLS = (16, 64, 256, 1024)
-#: Documents to a bucket when neighbours in id order are found.
-BUCKET = 2000
-EMPTY = "-" * 8
+#: Stands for a subset without terms where fingerprints are written out.
+EMPTY = "-" * 16
 
 
 def let(value: Column, use) -> Column:
@@ -51,13 +50,12 @@ def lexicon(docs: DataFrame, text_col: str = "text", min_share: float = MIN_SHAR
 
 
 def fingerprint(text_col: str, terms_in_band: list[int]) -> Column:
-    """``array<string>``: a hash (8 hex digits) for each subset of each level, ``EMPTY`` without terms."""
+    """``array<bigint>``: a hash for each subset of each level, null without terms; null texts are empty."""
 
     # SQL text: one call of the parser for the whole set of literals, which becomes one hash set
     band = ",".join(f"bigint('{t}')" if t == -(1 << 63) else f"{t}L" for t in terms_in_band) or "null"
     words = f"filter(split(lower(coalesce(`{text_col}`, '')), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"
-    terms = f"transform(array(array_distinct(transform({words}, w -> xxhash64(w)))), a -> struct(a as a, filter(a, x -> x in ({band})) as k))[0]"
-    chosen = lambda s: F.when(F.size(s["k"]) >= FEWEST, s["k"]).otherwise(s["a"])
+    terms = f"filter(array_distinct(transform({words}, w -> xxhash64(w))), x -> x in ({band}))"
 
     def level(terms: Column, cells: int) -> Column:
         dealt = F.transform(terms, lambda t: F.struct(F.pmod(F.xxhash64(F.lit(cells), t), F.lit(cells)).cast("int").alias("s"), t.alias("t")))
@@ -73,23 +71,28 @@ def fingerprint(text_col: str, terms_in_band: list[int]) -> Column:
 
         def out(runs_: Column) -> Column:
             named = F.map_from_arrays(F.transform(runs_, lambda r: r["s"]), F.transform(runs_, lambda r: r["h"]))
-            return let(named, lambda m: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda s: F.coalesce(F.substr(F.lpad(F.lower(F.hex(F.try_element_at(m, s))), F.lit(16), F.lit("0")), F.lit(9), F.lit(8)), F.lit(EMPTY))))
+            return let(named, lambda m: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda s: F.try_element_at(m, s)))
 
         return let(runs, out)
 
-    return let(F.expr(terms), lambda s: let(chosen(s), lambda t: F.concat(*[level(t, c) for c in CELLS])))
+    return let(F.expr(terms), lambda t: F.concat(*[level(t, c) for c in CELLS]))
+
+
+def written(fp: Column) -> Column:
+    """A fingerprint as one string: 16 hex digits, or ``EMPTY``, for each subset."""
+    return F.array_join(F.transform(fp, lambda h: F.coalesce(F.lpad(F.lower(F.hex(h)), 16, "0"), F.lit(EMPTY))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal hashes among the subsets that either text has terms in; of the levels, the largest.
 
-    1 for equal fingerprints (also empty ones), 0 if either has no terms.  Levels on
+    1 for equal fingerprints (also empty ones), 0 if just one has no terms.  Levels on
     which fewer than 4 subsets have terms count only if no level has more.
     """
 
     def level(k: int) -> Column:
         part = lambda x: F.slice(x, k * SUBSETS + 1, SUBSETS)
-        pairs = F.zip_with(part(a), part(b), lambda x, y: F.when((x == EMPTY) & (y == EMPTY), F.lit(None)).otherwise((x == y).cast("int")))
+        pairs = F.zip_with(part(a), part(b), lambda x, y: F.when(x.isNotNull() | y.isNotNull(), x.eqNullSafe(y).cast("int")))
         return let(F.filter(pairs, lambda p: p.isNotNull()), lambda p: F.struct(F.aggregate(p, F.lit(0), lambda n, x: n + x).alias("same"), F.size(p).alias("any")))
 
     def best(levels: Column) -> Column:
@@ -100,44 +103,51 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(let(F.array(*[level(k) for k in range(len(CELLS))]), best))
 
 
-def with_next(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """``rows`` with ``next_<column>`` of the row with the next id (after the last: of the first).
+def next_ids(ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(id, next)`` for each distinct ``id``: the next one in order (null first; after the last: the first).
 
-    Ids are cut into ranges of about ``BUCKET`` rows, so that no task orders all rows;
-    the first row of each range is handed to the range before.  Equal ids go by the
-    columns.  Null ids come first.
+    Ids alone are dealt by range, so that no task orders all of them; the first id of each
+    range follows the last of the range before.
+    """
+    dealt = scratch.keep(ids.select("id").distinct().repartitionByRange("id").withColumn("p", F.spark_partition_id()), "ids")
+    first = dealt.groupBy("p").agg(F.min(F.struct(F.col("id").isNotNull(), "id"))["id"].alias("f"))
+    # a row per range: as many as there are partitions
+    order = first.select("p", F.lead(F.struct("f")).over(Window.orderBy("p")).alias("after"), F.first(F.struct("f")).over(Window.orderBy("p")).alias("start"))
+    after = F.broadcast(order.select(F.col("p").alias("q"), F.coalesce("after", "start").alias("after")))
+    here = dealt.withColumn("next", F.lead(F.struct(F.col("id").alias("f"))).over(Window.partitionBy("p").orderBy("id")))
+    return scratch.keep(here.join(after, F.col("p") == F.col("q")).select("id", F.coalesce("next", "after")["f"].alias("next")), "next")
+
+
+def with_edits(docs: DataFrame, band: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id_col, text, edited, fp, next_fp)`` for each row: its text, the same with its last half replaced by the next document's beginning, fingerprints.
+
+    A null text is empty.  Rows that share an id have the same next document; of several
+    rows with the next id, it is the one with the smallest beginning.  The next of the
+    last id is the first; a null id comes first.  Texts go by their id to one join, and
+    only the beginnings that are asked for go on to the next.  An empty table gives no rows.
     """
-    least, most, n = rows.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()
-    if least is None:
-        least = most = 0
-    buckets = max(1, -(-n // BUCKET))
-    width = max(1, -(-(most - least + 1) // buckets))
-    b = F.coalesce(F.floor((F.col(id_col) - F.lit(least)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    dealt = rows.withColumn("__b", b)
-    w = Window.partitionBy("__b").orderBy(id_col, *columns)
-    here = dealt.withColumn("__next", F.lead(F.struct(*columns)).over(w))
-    first = dealt.groupBy("__b").agg(F.min_by(F.struct(*columns), F.struct(id_col, *columns)).alias("__first"))
-    # a row per range of ids: n / BUCKET of them
-    order = first.select("__b").withColumn("__after", F.lead("__b").over(Window.orderBy("__b")))
-    start = first.agg(F.min("__b")).first()[0]
-    after = order.select("__b", F.coalesce("__after", F.lit(start)).alias("__a")).join(first.select(F.col("__b").alias("__a"), "__first"), "__a").select(F.col("__b").alias("__b2"), "__first")
-    joined = here.join(after, F.col("__b") == F.col("__b2"), "left")
-    found = F.coalesce("__next", "__first")
-    return joined.select(*rows.columns, *[found[c].alias(f"next_{c}") for c in columns])
+    scratch = Scratch(docs.sparkSession, "imatch")
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    half = lambda t: F.floor(F.length(t) / 2).cast("int")
+    longest = scratch.keep(own.groupBy("id").agg(F.max(half(F.col("text"))).alias("k")), "longest")
+    nexts = next_ids(longest, scratch).select(F.col("id").alias("i"), "next")
+    asked = longest.join(nexts, F.col("id").eqNullSafe(F.col("i"))).select(F.col("id").alias("of"), "next", "k")
+    beginning = F.substr("text", F.lit(1), F.col("k"))
+    told = own.join(asked, F.col("id").eqNullSafe(F.col("next"))).select("of", F.struct(beginning.alias("b"), F.xxhash64("text").alias("h"), fingerprint("text", band).alias("fp")).alias("t"))
+    told = told.groupBy("of").agg(F.min("t").alias("t"))
+    joined = own.join(told, F.col("id").eqNullSafe(F.col("of")))
+    k = half(F.col("text"))
+    edited = F.concat(F.substr("text", F.lit(1), F.length("text") - k), F.substr(F.col("t.b"), F.lit(1), k))
+    return joined.select(F.col("id").alias(id_col), "text", edited.alias("edited"), fingerprint("text", band).alias("fp"), F.col("t.fp").alias("next_fp"))
 
 
 def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     band = lexicon(docs)
-    printed = docs.withColumn("fp", fingerprint("text", band))
-    pairs = with_next(printed, "doc_id", ["text", "fp"])
-    n = F.length("text")
-    k = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), n - k), F.substr("next_text", F.lit(1), k))
-    out = pairs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fp", "next_fp")
-    out = out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", fingerprint("edited", band).alias("efp"))
-    flat = lambda x: F.array_join(x, "")
-    return out.select(
-        "doc_id", "n_chars", "edited_sha256", flat("fp").alias("fingerprint"), flat("efp").alias("edited_fingerprint"),
+    found = with_edits(docs, band).select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", fingerprint("edited", band).alias("efp")
+    )
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", written(F.col("fp")).alias("fingerprint"), written(F.col("efp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )
