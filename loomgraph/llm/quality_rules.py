@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, words_of
+from .common import Scratch, apart, table, words_of
 
 #: A document fails by itself below this number of words ...
 MIN_WORDS = 50
@@ -19,6 +19,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A host is rejected when its shrunk failure rate is above this.
 MAX_HOST_RATE = 0.6
+#: Up to so many rejected hosts are broadcast (names of at most 253 bytes each: 30 MB).
+FEW_HOSTS = 100_000
 
 
 #: Up to so many distinct repeated windows, their places are found by membership; beyond, by sorting.
@@ -69,12 +71,11 @@ def repeated_words(words: Column, width: int = 3) -> Column:
     return F.when(last >= 2, found).otherwise(F.lit(0)).cast("long")
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``__m`` of the measures of its whole text (null: no words)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def measures(text: Column) -> Column:
+    """A struct of the measures of a whole text (null: no words)."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     symbols = F.size(F.split(text, "[#*$%&|<>]")) - 1
-    with_arrays = docs.withColumn("__w", words_of(text))
 
     def of(w: Column) -> Column:
         return F.struct(
@@ -85,7 +86,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
             repeated_words(w).alias("n_repeat_words"),
         )
 
-    return with_arrays.withColumn("__m", let(F.col("__w"), of)).drop("__w")
+    return let(words_of(text), of)
 
 
 def base_failed(m: Column) -> Column:
@@ -114,35 +115,45 @@ def host_verdicts(failures: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataF
     return hosts.join(F.broadcast(prior)).select("host", F.col("n").alias("host_docs"), rate.alias("host_rate"), (rate <= max_rate).alias("host_kept"))
 
 
-def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """``docs`` with ``__m`` (measures), ``__failed`` (own rules) and ``__kept`` (own rules and host verdict).
+def judged(rows: DataFrame, host_col: str, failed_col: str, max_rate: float = MAX_HOST_RATE, verdict: str = "kept") -> DataFrame:
+    """``rows`` with ``verdict``: false where ``failed_col`` is, and for hosts that are rejected.
 
-    Null and empty texts have no words and fail.  Null hosts are one host.  Repeated
-    rows each count and each get their verdict.  An empty table stays empty.  Columns
-    of any other name pass through.  The host join is a plain equi-join: Spark
-    broadcasts the verdicts if they turn out small and otherwise splits hot hosts.
+    ``rows`` is read twice, so it should be stored.  Null hosts are one host.  Only
+    rejected hosts are joined: broadcast up to ``FEW_HOSTS`` of them, else by a join of
+    which Spark splits hot hosts.
     """
-    with_m = measured(docs, text_col).withColumn("__failed", base_failed(F.col("__m")))
-    failures = with_m.select(F.col(host_col).alias("host"), F.col("__failed").alias("failed"))
-    verdicts = host_verdicts(failures, max_rate).select(F.col("host").alias("__host"), F.col("host_kept").alias("__host_kept"), F.col("host_rate").alias("__host_rate"))
-    joined = with_m.join(verdicts, F.col(host_col).eqNullSafe(F.col("__host")), "left")
-    return joined.withColumn("__kept", ~F.col("__failed") & F.coalesce(F.col("__host_kept"), F.lit(True))).drop("__host", "__host_kept")
+    host, bad = apart(rows.columns, "__host", "__bad")
+    failures = rows.select(F.col(host_col).alias("host"), F.col(failed_col).alias("failed"))
+    rejected = Scratch(rows.sparkSession, "rules").keep(host_verdicts(failures, max_rate).where("not host_kept").select(F.col("host").alias(host), F.lit(True).alias(bad)), "hosts")
+    if rejected.count() <= FEW_HOSTS:
+        rejected = F.broadcast(rejected)
+    joined = rows.join(rejected, F.col(host_col).eqNullSafe(F.col(host)), "left")
+    return joined.select(*rows.columns, (~F.col(failed_col) & F.col(bad).isNull()).alias(verdict))
+
+
+def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", id_col: str = "doc_id", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """``(id_col, measures..., base_failed, kept)`` for each row of ``docs``.
+
+    Null and empty texts have no words and fail.  Null hosts are one host, null ids are
+    kept.  Repeated rows each count and each get their verdict.  Texts of any length are
+    measured whole.  An empty table stays empty.  Other columns are not looked at.
+    Writes measures (no text) to the shared folder.
+    """
+    measured = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), measures(F.col(text_col)).alias("m"))
+    kept = Scratch(docs.sparkSession, "rules").keep(measured.withColumn("base_failed", base_failed(F.col("m"))), "measures")
+    return judged(kept, "host", "base_failed", max_rate).select(F.col("id").alias(id_col), "m.*", "base_failed", "kept")
+
 
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The rows that their own rules and their host's verdict let through; columns as they were.
 
-def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows that their own rules and their host's verdict let through; columns as they were."""
-    return judge(docs, text_col, host_col).where("__kept").select(*docs.columns)
+    As ``judge`` has it for nulls, empty texts and repeated rows.  Each text is measured
+    once; rows are written to the shared folder with what their own rules say.
+    """
+    failed, verdict = apart(docs.columns, "__failed", "__kept")
+    stored = Scratch(docs.sparkSession, "rules").keep(docs.withColumn(failed, base_failed(measures(F.col(text_col)))), "rows")
+    return judged(stored, host_col, failed, max_rate, verdict).where(F.col(verdict)).select(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    m = measured(docs).select("doc_id", "source", "__m")  # read twice: by host and by document
-    kept = Scratch(spark, "rules").keep(m, "measures")
-    failed = kept.withColumn("__failed", base_failed(F.col("__m")))
-    verdicts = host_verdicts(failed.select(F.col("source").alias("host"), F.col("__failed").alias("failed"))).select(F.col("host").alias("__host"), "host_kept", "host_rate")
-    joined = failed.join(verdicts, F.col("source").eqNullSafe(F.col("__host")), "left")
-    return joined.select(
-        "doc_id", F.col("__m.n_words").alias("n_words"), F.col("__m.word_chars").alias("word_chars"), F.col("__m.n_symbols").alias("n_symbols"),
-        F.col("__m.n_dup_lines").alias("n_dup_lines"), F.col("__m.n_repeat_words").alias("n_repeat_words"),
-        F.col("__failed").alias("base_failed"), (~F.col("__failed") & F.coalesce(F.col("host_kept"), F.lit(True))).alias("kept"),
-    )
+    return judge(table(spark, sf_dir, "documents"))
