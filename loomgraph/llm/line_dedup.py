@@ -19,52 +19,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import apart, table
 
 #: A line of more words than this is a passage by itself.
 LONG = 50
 _WORD = "[^\\x20\\x09-\\x0D]"
-#: Of ``chunks_of``, which removal doesn't use.
-WINDOW = 1
-DIVISOR = 2
-#: Lines looked back over to keep cuts two lines apart.
-LOOK_BACK = 16
 
 
 def let(value: Column, use) -> Column:
     return F.try_element_at(F.transform(F.array(value), use), F.lit(1))
 
 
-def chunks_of(lines: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Column:
-    """``array<struct<first, lines>>`` (1-based first line, number of lines) of an array of lines."""
-
-    def rolled(h: Column) -> Column:
-        """Places of the lines that end a chunk."""
-        def marked(i: Column) -> Column:
-            last = [F.coalesce(F.get(h, i - F.lit(k)), F.lit(0)) for k in range(window)]  # before the first line: 0
-            return F.pmod(F.xxhash64(*last), F.lit(divisor)) == 0
-
-        def ends(marks: Column, i: Column) -> Column:
-            """Of marks in a row, the first, third, ... cut: no chunk inside a text has one line."""
-            odd = F.lit(False)  # further into a run than is looked back over: no cut
-            for k in range(LOOK_BACK, 0, -1):
-                odd = F.when(~F.coalesce(F.get(marks, i - F.lit(k)), F.lit(False)), F.lit(k % 2 == 1)).otherwise(odd)
-            return F.get(marks, i) & odd
-
-        marks = F.transform(F.sequence(F.lit(0), F.size(h) - 1), marked)
-        inner = let(marks, lambda b: F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i < F.size(h) - 1) & ends(b, i)))
-        return F.concat(inner, F.array(F.size(h) - 1))
-
-    def spans(cut: Column) -> Column:
-        def span(e: Column, k: Column) -> Column:
-            first = F.coalesce(F.get(cut, k - F.lit(1)) + F.lit(1), F.lit(0))
-            return F.struct((first + 1).alias("first"), (e - first + 1).alias("lines"))
-
-        return F.transform(cut, span)
-
-    return let(F.transform(lines, lambda x: F.xxhash64(x)), lambda h: let(rolled(h), spans))
-
-
 def windows_of(lines: Column) -> Column:
     """``array<struct<first, n, a, b>>``: 0-based first line, number of lines, hashes of the first and last line.
 
@@ -114,19 +79,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     later = found.join(least, key).where((F.col("least.__id") != F.col("__id")) | (F.col("least.first") != F.col("first")))
     per_doc = later.groupBy("__id").agg(F.collect_list(F.struct("first", *key)).alias("__gone"))
     # texts travel to the join as they are; lines are cut after it
-    joined = docs.join(per_doc, F.col(id_col) == F.col("__id"), "left").withColumn("__lines", F.split(F.col(text_col), "\n"))
-    lines = F.col("__lines")
+    of, gone_, text_lines, cut_, left_, new_ = apart(docs.columns, "__of", "__gone", "__lines", "__cut", "__left", "__new")
+    joined = docs.join(per_doc.select(F.col("__id").alias(of), F.col("__gone").alias(gone_)), F.col(id_col) == F.col(of), "left").withColumn(text_lines, F.split(F.col(text_col), "\n"))
+    lines = F.col(text_lines)
     # a row that shares its id with another text is cut only where its own lines have the removed hashes
-    own = F.filter("__gone", lambda g: (F.xxhash64(F.get(lines, g["first"])) == g["a"]) & (F.xxhash64(F.get(lines, g["first"] + g["n"] - 1)) == g["b"]))
+    own = F.filter(gone_, lambda g: (F.xxhash64(F.get(lines, g["first"])) == g["a"]) & (F.xxhash64(F.get(lines, g["first"] + g["n"] - 1)) == g["b"]))
     cut = F.array_sort(F.array_distinct(F.flatten(F.transform(own, lambda g: F.sequence(g["first"], g["first"] + g["n"] - 1)))))
-    joined = joined.withColumn("__cut", cut).withColumn("__left", F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("__cut", F.array().cast("array<int>"))))
-    kept = F.transform("__left", lambda i: F.get(lines, i))
+    joined = joined.withColumn(cut_, cut).withColumn(left_, F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(cut_, F.array().cast("array<int>"))))
+    kept = F.transform(left_, lambda i: F.get(lines, i))
     rebuilt = F.when(F.exists(kept, lambda x: x.rlike(_WORD)), F.array_join(kept, "\n")).otherwise("")
-    out = joined.withColumn("__new", F.when(F.coalesce(F.size("__cut"), F.lit(0)) > 0, rebuilt).otherwise(F.col(text_col)))
-    columns = [F.col("__new").alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    out = joined.withColumn(new_, F.when(F.coalesce(F.size(cut_), F.lit(0)) > 0, rebuilt).otherwise(F.col(text_col)))
+    columns = [F.col(new_).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if report:
-        gone = F.coalesce(_runs(F.col("__cut")), F.lit(0))
-        columns += [(F.coalesce(_runs(F.col("__left")), F.lit(0)) + gone).alias("n_chunks"), gone.alias("n_removed")]
+        gone = F.coalesce(_runs(F.col(cut_)), F.lit(0))
+        columns += [(F.coalesce(_runs(F.col(left_)), F.lit(0)) + gone).alias("n_chunks"), gone.alias("n_removed")]
     return out.select(*columns)
 
 
