@@ -128,12 +128,38 @@ def masked(formatted: Column, mask: Column) -> Column:
     return F.transform(mask, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["length"])))
 
 
+def event_log(rows: DataFrame) -> DataFrame:
+    """An event log whose folding gives back ``rows(conv_id, turn, role, text)``, ``turn`` with the row's own mark.
+
+    Each row becomes a turn: a message with a draft, a streamed delta, and then for
+    assistants a regeneration and two deltas, for others an edit and a delta; equal rows
+    are counted and become a turn each.  So only the fold's order of events and its
+    resets lead to the final text.
+    """
+    x = F.coalesce("text", F.lit(""))
+    alike = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
+    each = alike.select("conv_id", "turn", "role", x.alias("x"), F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    half = F.floor(F.length("x") / 2).cast("int")
+    head, tail = F.substr("x", F.lit(1), half), F.substr("x", half + 1)
+    event = lambda k, kind, role, text: F.struct(F.lit(k).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    none = F.lit(None).cast("string")
+    draft = [event(0, "message", F.col("role"), F.concat(F.lit("draft "), tail)), event(1, "delta", none, head)]
+    again = [event(2, "regenerate", none, none), event(3, "delta", none, head), event(4, "delta", none, tail)]
+    mended = [event(2, "edit", none, head), event(3, "delta", none, tail)]
+    events = F.explode(F.when(F.col("role") == "assistant", F.array(*draft, *again)).otherwise(F.array(*draft, *mended)))
+    slot = F.struct("turn", F.sha2(F.concat_ws("\n", F.coalesce("role", F.lit("")), "x"), 256).alias("mark"), "copy")
+    return each.select("conv_id", slot.alias("turn"), events.alias("e")).select("conv_id", "turn", "e.*")
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     own = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
-    log = rows.unionByName(extra).select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
-    pieces = render(fold_events(log))
+    return digests(render(fold_events(event_log(rows.unionByName(extra))).withColumn("turn", F.col("turn.turn"))))
+
+
+def digests(pieces: DataFrame) -> DataFrame:
+    """What is read back from rendered pieces, a row per conversation: roles, texts and trained texts as digests."""
     said = pieces.select(
         "conv_id", "piece", F.length("formatted").cast("long").alias("chars"), parse(F.col("formatted")).alias("turns"), F.array_join(masked(F.col("formatted"), F.col("mask")), "").alias("loss")
     ).select(
