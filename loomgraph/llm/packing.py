@@ -24,7 +24,7 @@ MAX_TOKENS = 1024
 END_ID = 2
 OPEN_BINS = 4096
 PACKER_TOKENS = 1 << 24
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
 class BestFit:
@@ -80,8 +80,7 @@ def _pieces(tokenizer: str, size: int, end_id: int):
                     raw += end_id.to_bytes(4, "little")
                     for k, (a, n) in enumerate(pieces_of(len(raw) // 4, size)):
                         rows.append((doc, k, a, n, zlib.crc32(raw[4 * a : 4 * (a + n)])))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                yield out.astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"], dtype=object)
 
     return run
 
@@ -89,19 +88,20 @@ def _pieces(tokenizer: str, size: int, end_id: int):
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = MAX_TOKENS, end_id: int = END_ID, open_bins: int = OPEN_BINS, packer_tokens: int = PACKER_TOKENS) -> DataFrame:
     """A row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
-    ``doc_id`` holds ``id_col``.  A null or empty text is the end id alone.  A null id
+    ``doc_id`` holds ``id_col``, of any type that has an order.  A null or empty text is the end id alone.  A null id
     gives pieces with a null id.  Repeated rows are packed each.  An empty table gives
     no pieces.  Texts of any length are cut, never dropped.  Other columns are not
     looked at.  Writes the pieces (no text) to the shared folder.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = Scratch(spark, "packing").keep(own.mapInPandas(_pieces(tokenizer, size, end_id), PIECES), "pieces")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    columns = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, {PIECES}"
+    pieces = Scratch(spark, "packing").keep(own.mapInPandas(_pieces(tokenizer, size, end_id), columns), "pieces")
     total = pieces.agg(F.sum("length")).first()[0] or 0
     packers = -(-total // packer_tokens) or 1
     dealt = pieces.withColumn("packer", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(packers)))
     fed = dealt.repartition(packers, "packer").sortWithinPartitions("packer", F.desc("length"), "doc_id", "piece", "ids_crc32")
-    return fed.mapInPandas(_packers(size, open_bins), PIECES + ", sequence_id long, offset long")
+    return fed.mapInPandas(_packers(size, open_bins), columns + ", sequence_id long, offset long")
 
 
 def _packers(size: int, open_bins: int):
