@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold_of, table
+from .common import Scratch, apart, fold_of, table
 
 #: Bounds of the labelled sample that patterns are mined from and the classifier is fitted on.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 5000
@@ -376,7 +376,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = TOXIC_FROM) -> DataFrame:
-    """The rows of ``docs`` scored below ``threshold``; columns as they were.  Rows without an id stay."""
+    """The rows of ``docs`` scored below ``threshold``; columns as they were.
+
+    Of rows that share an id all go if one is toxic; rows without an id stay.  Null and
+    empty texts stay unless a text without signs is toxic.  An empty table stays empty.
+    """
     scratch = Scratch(docs.sparkSession, "toxicity")
     model, counts = train(docs, labels, scratch, id_col, text_col)
     width = len(model.names)
@@ -385,8 +389,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def score(n: pd.Series, voter: pd.Series, hits: pd.Series) -> pd.Series:
         return pd.Series(model.score(_matrix(n, voter, hits, width)))
 
-    bad = counts.where(score("n", "voter", "hits") >= threshold).select(F.col("id").alias("__bad")).where("__bad is not null").distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
+    (bad,) = apart(docs.columns, "__bad")
+    toxic = counts.where((score("n", "voter", "hits") >= threshold) & F.col("id").isNotNull()).select(F.col("id").alias(bad)).distinct()
+    return docs.join(toxic, F.col(id_col) == F.col(bad), "left_anti")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
