@@ -3,12 +3,14 @@
 1. Voters: fixed lexicons of insults, and patterns (words and word beginnings) mined
    from a bounded sample of labelled documents of the training folds.  A voter fires
    on a document where the share of its words is above the voter's own threshold.
-2. Label model: a generative model of the votes given the hidden class.  Votes of all
-   documents are added up by vote pattern (at most 2**``MODEL_VOTERS`` rows); EM with
-   the sample's labels as anchors estimates each voter's accuracy, and a tree of
+2. Label model: a generative model of the votes of all voters given the hidden class,
+   fitted by EM.  Each round adds up, over all documents, how often each pair of voters
+   fires under the posterior so far (a matrix of voters by voters, summed on Spark), so
+   accuracies cover the whole corpus; the sample's labels are anchors.  A tree of
    conditional dependencies (Chow-Liu over conditional mutual information) holds the
    correlations between voters, so that near-copies of a voter don't count twice.
-3. Classifier: logistic regression on voter densities, trained on posterior labels.
+3. Classifier: logistic regression on voter densities, trained on the posterior labels of
+   a bounded sample of the training folds' documents, labelled or not.
 
 The text is read once for all documents, into sparse voter counts.
 """
@@ -28,7 +30,9 @@ from .common import Scratch, apart, fold_of, table
 
 #: Bounds of the labelled sample that patterns are mined from and the classifier is fitted on.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 5000
-MODEL_VOTERS = 16
+#: Bounds of the sample of documents, with a posterior from a half and below it, that the classifier is trained on.
+TRAIN_TOXIC, TRAIN_CLEAN = 5000, 15000
+ROUNDS = 2
 MINED_VOTERS = 96
 PREFIXES = range(4, 9)
 FOLDS, HELD_OUT = 4, 2
@@ -172,51 +176,83 @@ def thresholds(x: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np
     return cut, gain
 
 
+class Votes:
+    """Sums over documents: their weight, that of those on which a voter fires, and on which a pair of voters fires."""
+
+    def __init__(self, n: float, one: np.ndarray, two: np.ndarray):
+        self.n, self.one, self.two = n, one, two
+
+    @staticmethod
+    def of(votes: np.ndarray, weight: np.ndarray) -> Votes:
+        v = votes.astype(float)
+        w = v * weight[:, None]
+        return Votes(float(weight.sum()), w.sum(0), v.T @ w)
+
+    def __add__(self, other: Votes) -> Votes:
+        return Votes(self.n + other.n, self.one + other.one, self.two + other.two)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate(([self.n], self.one, self.two.ravel()))
+
+    @staticmethod
+    def unflat(x: np.ndarray, voters: int) -> Votes:
+        return Votes(float(x[0]), x[1 : voters + 1], x[voters + 1 :].reshape(voters, voters))
+
+    def joint(self) -> np.ndarray:
+        """``[a, b, i, j]``: weight where voter ``i`` says ``a`` and ``j`` says ``b``."""
+        i, j = self.one[:, None], self.one[None, :]
+        return np.array([[self.n - i - j + self.two, j - self.two], [i - self.two, self.two]])
+
+
 class LabelModel:
     """Tree-augmented generative model of binary votes given a binary class, fitted by EM."""
 
     def fit(self, votes: np.ndarray, count: np.ndarray, anchors: np.ndarray, rounds: int = 15) -> LabelModel:
         """``anchors``: the class where it is known, else -1; ``count``: documents of the row."""
-        m = votes.shape[1]
         known = anchors >= 0
-        start = (anchors == 1).astype(float)
+        rest, size = votes[~known], count[~known]
+
+        def corpus(model: LabelModel) -> tuple[Votes, Votes]:
+            q = model.posterior(rest)
+            return Votes.of(rest, size * (1 - q)), Votes.of(rest, size * q)
+
+        return self.fit_over(votes[known], count[known], anchors[known], corpus, rounds)
+
+    def fit_over(self, votes: np.ndarray, weight: np.ndarray, y: np.ndarray, corpus, rounds: int) -> LabelModel:
+        """``votes``, ``weight``, ``y``: of documents with a known class; ``corpus(model)``: votes of the others by class, under the model's posterior."""
+        known = Votes.of(votes, weight * (y == 0)), Votes.of(votes, weight * (y == 1))
         # correlations come first, from the anchors: voters taken as independent would drift to the largest group of copies
-        self.parent = self._tree(votes[known], count[known], start[known]) if known.any() else np.full(m, -1)
-        self._estimate(votes[known], count[known], start[known])
+        self.parent = self._tree(known)
+        self._estimate(known)
         for step in range(rounds):
-            q = np.where(known, start, self.posterior(votes))
+            both = tuple(a + b for a, b in zip(known, corpus(self)))
             if step == 2:
-                self.parent = self._tree(votes, count, q)
-            self._estimate(votes, count, q)
+                self.parent = self._tree(both)
+            self._estimate(both)
         return self
 
-    def _estimate(self, votes, count, q):
-        w1, w0 = count * q, count * (1 - q)
-        self.prior = (w1.sum() + 1) / (count.sum() + 2)
-        m = votes.shape[1]
+    def _estimate(self, by_class: tuple[Votes, Votes]) -> None:
+        n0, n1 = by_class[0].n, by_class[1].n
+        self.prior = (n1 + 1) / (n0 + n1 + 2)
+        m = len(self.parent)
         # p[v, parent's vote, class]
         self.p = np.zeros((m, 2, 2))
-        for v in range(m):
-            for a in (0, 1):
-                at = votes[:, self.parent[v]] == a if self.parent[v] >= 0 else np.ones(len(votes), bool)
-                for c, w in ((0, w0), (1, w1)):
-                    self.p[v, a, c] = (w[at][votes[at, v] == 1].sum() + 0.5) / (w[at].sum() + 1)
-        return self
+        own, root = np.arange(m), self.parent < 0
+        for c, votes in enumerate(by_class):
+            both, up = votes.two[own, self.parent], votes.one[self.parent]
+            self.p[:, 1, c] = (both + 0.5) / (up + 1)
+            self.p[:, 0, c] = np.where(root, (votes.one + 0.5) / (votes.n + 1), (votes.one - both + 0.5) / (votes.n - up + 1))
+        self.p = np.clip(self.p, 1e-6, 1 - 1e-6)
 
     @staticmethod
-    def _tree(votes, count, q, least: float = 2e-3):
+    def _tree(by_class: tuple[Votes, Votes], least: float = 2e-3) -> np.ndarray:
         """Chow-Liu: edges of the maximum spanning forest over conditional mutual information."""
-        m = votes.shape[1]
-        edges = []
-        for i in range(m):
-            for j in range(i):
-                info = 0.0
-                for w in (count * q, count * (1 - q)):
-                    total = w.sum() + 1e-9
-                    joint = np.array([[w[(votes[:, i] == a) & (votes[:, j] == b)].sum() for b in (0, 1)] for a in (0, 1)]) / total + 1e-9
-                    info += (total / count.sum()) * float((joint * np.log(joint / joint.sum(1, keepdims=True) / joint.sum(0, keepdims=True))).sum())
-                if info > least:
-                    edges.append((info, i, j))
+        m, total = len(by_class[0].one), by_class[0].n + by_class[1].n + 1e-9
+        info = np.zeros((m, m))
+        for votes in by_class:
+            joint = np.maximum(votes.joint(), 0) / (votes.n + 1e-9) + 1e-9
+            info += votes.n / total * (joint * np.log(joint / joint.sum(1, keepdims=True) / joint.sum(0, keepdims=True))).sum((0, 1))
+        edges = [(info[i, j], i, j) for i in range(m) for j in range(i) if info[i, j] > least]
         group, links = list(range(m)), {i: [] for i in range(m)}
 
         def top(i):
@@ -244,7 +280,7 @@ class LabelModel:
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         odds = np.full(len(votes), np.log(self.prior / (1 - self.prior)))
         for v in range(votes.shape[1]):
-            a = votes[:, self.parent[v]] if self.parent[v] >= 0 else np.zeros(len(votes), int)
+            a = votes[:, self.parent[v]].astype(int) if self.parent[v] >= 0 else np.zeros(len(votes), int)
             p1, p0 = self.p[v, a, 1], self.p[v, a, 0]
             odds += np.where(votes[:, v] == 1, np.log(p1 / p0), np.log((1 - p1) / (1 - p0)))
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
@@ -255,7 +291,7 @@ def inputs(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.log1p(x), x > 0], axis=1)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, rounds: int = 600) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 5e-3, rounds: int = 600) -> np.ndarray:
     """Weights and, last, the intercept; full-batch Adam."""
     z = np.hstack([x, np.ones((len(x), 1))])
     w, m, s = np.zeros(z.shape[1]), np.zeros(z.shape[1]), np.zeros(z.shape[1])
@@ -304,10 +340,10 @@ def voter_counts(docs: DataFrame, voters: Voters, id_col: str, text_col: str) ->
 
 
 class Model:
-    """Voters, label model and classifier; ``score`` maps sparse counts to probabilities."""
+    """Voters, label model and classifier; ``score`` maps densities to probabilities."""
 
-    def __init__(self, voters: Voters, names: list[str], cut: np.ndarray, used: np.ndarray, weights: np.ndarray | None, label_model: LabelModel | None, rate: float):
-        self.voters, self.names, self.cut, self.used, self.weights, self.label_model, self.rate = voters, names, cut, used, weights, label_model, rate
+    def __init__(self, voters: Voters, names: list[str], cut: np.ndarray, weights: np.ndarray | None, label_model: LabelModel | None, rate: float):
+        self.voters, self.names, self.cut, self.weights, self.label_model, self.rate = voters, names, cut, weights, label_model, rate
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -320,39 +356,68 @@ def _matrix(n, voter, hits, width: int) -> np.ndarray:
     return _dense([(k, dict(zip(v, h))) for k, v, h in zip(n, voter, hits)], width)
 
 
+def corpus_votes(counts: DataFrame, cut: np.ndarray):
+    """A function from a label model to the votes of all rows of ``counts`` by class, under its posterior."""
+    width = len(cut)
+
+    def of(model: LabelModel) -> tuple[Votes, Votes]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = np.zeros((2, 1 + width + width * width))
+            for pdf in batches:
+                votes = (_matrix(pdf["n"], pdf["voter"], pdf["hits"], width) > cut).astype(np.int8)
+                q = model.posterior(votes)
+                sums += np.array([Votes.of(votes, 1 - q).flat(), Votes.of(votes, q).flat()])
+            yield pd.DataFrame({"at": np.arange(sums.size), "x": sums.ravel()})
+
+        # a few numbers for each pair of voters from each task, and from all tasks to the driver
+        rows = counts.select("n", "voter", "hits").mapInPandas(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
+        sums = np.zeros(2 * (1 + width + width * width))
+        for r in rows:
+            sums[r["at"]] = r["x"]
+        return tuple(Votes.unflat(x, width) for x in sums.reshape(2, -1))
+
+    return of
+
+
+def training_rows(counts: DataFrame, model: LabelModel, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Densities, posterior labels and weights of a bounded sample of documents of the training folds, chosen by hash."""
+    width = len(cut)
+
+    @F.pandas_udf("double")
+    def posterior(n: pd.Series, voter: pd.Series, hits: pd.Series) -> pd.Series:
+        return pd.Series(model.posterior((_matrix(n, voter, hits, width) > cut).astype(np.int8)))
+
+    own = counts.where(fold_of(F.col("id"), FOLDS) != HELD_OUT).withColumn("q", posterior("n", "voter", "hits"))
+    sizes = {r["y"]: r["c"] for r in own.groupBy((F.col("q") >= 0.5).alias("y")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    most = {True: TRAIN_TOXIC, False: TRAIN_CLEAN}
+    share = {y: min(1.0, most[y] / n) for y, n in sizes.items()}
+    hashed = F.pmod(F.xxhash64(F.lit("train"), "id", "n", "voter", "hits"), F.lit(1_000_000))
+    some = own.where(hashed < F.when(F.col("q") >= 0.5, F.lit(int(share.get(True, 0) * 1_000_000))).otherwise(F.lit(int(share.get(False, 0) * 1_000_000))))
+    got = some.select("n", "voter", "hits", "q").limit(2 * (TRAIN_TOXIC + TRAIN_CLEAN)).collect()
+    got = sorted(got, key=lambda r: (r["q"], r["n"], r["voter"], r["hits"]))
+    q = np.array([r["q"] for r in got])
+    x = _dense([(r["n"], dict(zip(r["voter"], r["hits"]))) for r in got], width)
+    return x, q, np.array([1 / share[bool(v >= 0.5)] for v in q])
+
+
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The fitted model, and the voter counts of every row of ``docs`` (written to the shared folder)."""
+    """The fitted model, and the voter counts of every row of ``docs`` (written to the shared folder).
+
+    Without labels of both classes nothing can be anchored: every score is their rate.
+    """
     sample = labelled_sample(docs, labels, id_col, text_col, "toxic")
     y, weight = sample["y"].to_numpy(int), sample["weight"].to_numpy(float)
-    mined = mine(sample["text"].tolist(), y, weight) if y.any() and not y.all() else []
-    voters, names = build_voters(mined)
+    both = y.any() and not y.all()
+    voters, names = build_voters(mine(sample["text"].tolist(), y, weight) if both else [])
     counts = scratch.keep(voter_counts(docs, voters, id_col, text_col), "counts")
-    if not mined:
-        prior = float(np.average(y, weights=weight)) if len(y) else 0.0
-        return Model(voters, names, np.zeros(len(names)), np.zeros(0, int), None, None, prior), counts
+    if not both:
+        return Model(voters, names, np.zeros(len(names)), None, None, float(np.average(y, weights=weight)) if len(y) else 0.0), counts
     x = _dense([voters.count(t) for t in sample["text"]], len(names))
-    cut, gain = thresholds(x, y, weight)
-    used = np.sort(np.argsort(-gain, kind="stable")[:MODEL_VOTERS])
-    width = len(names)
-
-    @F.pandas_udf("long")
-    def pattern(n: pd.Series, voter: pd.Series, hits: pd.Series) -> pd.Series:
-        fire = _matrix(n, voter, hits, width)[:, used] > cut[used]
-        return pd.Series(fire @ (1 << np.arange(len(used))), dtype="int64")
-
-    # at most 2**MODEL_VOTERS rows come back, whatever the corpus
-    rows = counts.groupBy(pattern("n", "voter", "hits").alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()
-    masks = np.array([r["p"] for r in rows], dtype=np.int64)
-    corpus = (masks[:, None] >> np.arange(len(used))) & 1
-    own = (x[:, used] > cut[used]).astype(int)
-    model = LabelModel().fit(
-        np.vstack([corpus, own]), np.concatenate([np.array([r["c"] for r in rows], float), weight]), np.concatenate([np.full(len(rows), -1), y])
-    )
-    # posterior labels of the sample: votes and anchors together
-    posterior = model.posterior(own)
-    target = 0.5 * posterior + 0.5 * y
-    weights = fit_logistic(inputs(x), target, weight)
-    return Model(voters, names, cut, used, weights, model, model.prior), counts
+    cut, _ = thresholds(x, y, weight)
+    model = LabelModel().fit_over((x > cut).astype(np.int8), weight, y, corpus_votes(counts, cut), ROUNDS)
+    features, posterior, balance = training_rows(counts, model, cut)
+    weights = fit_logistic(inputs(features), posterior, balance) if len(posterior) else None
+    return Model(voters, names, cut, weights, model, model.prior), counts
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
