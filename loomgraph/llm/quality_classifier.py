@@ -8,12 +8,15 @@ the unlabelled share over the positive share among the highest-scored documents
 over the largest set on which it is stable, pi itself; the smallest such ratio over
 score thresholds bounds it.  Bad labels are not learned from.
 
-The text is read once, into ``FEATURES``; the model sees buckets of each feature.
+The text is read once, into ``FEATURES`` and hashed n-grams: its words, pairs of words
+and the three-letter pieces of words fall into ``GRAMS`` cells each, whose square-rooted
+shares are kept in a byte each.  The model sees buckets of each feature, and the cells.
 """
 
 from __future__ import annotations
 
 import operator
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,6 +31,9 @@ from .common import Scratch, fold_of, table
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 12000, 24000
 FOLDS, HELD_OUT = 3, 1
 BUCKETS = 12
+#: Cells for hashed words, for pairs of words and for pieces of words.
+GRAMS = 128
+_CACHE_WORDS = 200_000
 
 FEATURES = (
     "log_words", "log_mean_word", "pipes", "symbols", "bangs", "digits", "upper_words", "title_words", "repeat_next", "distinct", "top_word",
@@ -53,24 +59,54 @@ def features_of(text: str | None) -> list[float]:
     ]
 
 
+class Grams:
+    """Hashed n-grams of texts; what a word's pieces hash to is kept for the next text."""
+
+    def __init__(self):
+        self.cells: dict[str, tuple[int, np.ndarray]] = {}
+
+    def of_word(self, word: str) -> tuple[int, np.ndarray]:
+        got = self.cells.get(word)
+        if got is None:
+            if len(self.cells) > _CACHE_WORDS:
+                self.cells.clear()
+            low = f"<{word.lower()}>".encode("utf-8", "surrogatepass")
+            pieces = np.array([zlib.crc32(low[i : i + 5]) % GRAMS for i in range(0, max(1, len(low) - 4), 3)], dtype=np.int64)
+            got = self.cells[word] = (zlib.crc32(low), pieces)
+        return got
+
+    def of(self, text: str | None) -> bytes:
+        words = text.split() if isinstance(text, str) else []
+        if not words:
+            return bytes(3 * GRAMS)
+        found = list(map(self.of_word, words))
+        h = np.array([f[0] for f in found], dtype=np.int64)
+        parts = (h % GRAMS, (h[:-1] * 31 + h[1:]) % GRAMS, np.concatenate([f[1] for f in found]))
+        counts = np.concatenate([np.bincount(x, minlength=GRAMS) / max(len(x), 1) for x in parts])
+        return np.minimum(np.sqrt(counts) * 255, 255).astype(np.uint8).tobytes()
+
+
 def feature_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grams = Grams()
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "x": [features_of(t) for t in pdf["text"]]})
+            yield pd.DataFrame({"id": pdf["id"], "x": [features_of(t) for t in pdf["text"]], "g": [grams.of(t) for t in pdf["text"]]})
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return own.mapInPandas(run, f"id {own.schema['id'].dataType.simpleString()}, x array<double>")
+    return own.mapInPandas(run, f"id {own.schema['id'].dataType.simpleString()}, x array<double>, g binary")
 
 
 class Buckets:
-    """One-hot quantile buckets of each feature, plus the feature itself (standardised)."""
+    """One-hot quantile buckets of each feature, the feature itself (standardised), and the cells of n-grams."""
 
     def __init__(self, x: np.ndarray):
+        x = x[:, : len(FEATURES)]
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BUCKETS + 1)[1:-1])) for c in x.T]
         self.mean, self.spread = x.mean(0), x.std(0) + 1e-9
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        parts = [np.clip((x - self.mean) / self.spread, -4, 4) / 4]
+        x, cells = x[:, : len(FEATURES)], x[:, len(FEATURES) :]
+        parts = [np.clip((x - self.mean) / self.spread, -4, 4) / 4, cells]
         for c, e in zip(x.T, self.edges):
             parts.append(np.eye(len(e) + 1)[np.searchsorted(e, c, side="left")])
         return np.hstack(parts)
@@ -119,20 +155,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.buckets(x) @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), dtype=float).reshape(-1, len(FEATURES))
+def _stack(x, g) -> np.ndarray:
+    """Features, then cells of n-grams (0 to 1), a row per text."""
+    wide = np.array(list(x), dtype=float).reshape(-1, len(FEATURES))
+    return np.hstack([wide, np.frombuffer(b"".join(map(bytes, g)), dtype=np.uint8).reshape(-1, 3 * GRAMS) / 255])
 
 
 def _sample(df: DataFrame, size: int, salt: str) -> np.ndarray:
     """Features of about ``size`` rows at most, chosen by a hash of the id."""
     n = df.count()
     share = int(1_000_000 * min(1.0, size / max(n, 1)))
-    rows = df.where(F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.lit(1_000_000)) < share).select("id", "x").limit(2 * size).collect()
-    return np.array([r["x"] for r in sorted(rows, key=lambda r: (r["id"] is None, r["id"], r["x"]))], dtype=float).reshape(-1, len(FEATURES))
+    rows = df.where(F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.lit(1_000_000)) < share).select("id", "x", "g").limit(2 * size).collect()
+    rows = sorted(rows, key=lambda r: (r["id"] is None, r["id"], r["x"]))
+    return _stack([r["x"] for r in rows], [r["g"] for r in rows])
 
 
 def train(features: DataFrame, labels: DataFrame) -> Model | None:
-    """Fits on ``features(id, x)``; None without trusted positives."""
+    """Fits on ``features(id, x, g)``; None without trusted positives."""
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)).select(F.col("doc_id").alias("__good")).distinct()
     positives = features.join(good, F.col("id") == F.col("__good"), "left_semi")
     p, u = _sample(positives, SAMPLE_POSITIVE, "p"), _sample(features, SAMPLE_UNLABELLED, "u")
@@ -151,12 +190,12 @@ def _corpus_prior(features: DataFrame, positives: DataFrame, model: Model, bins:
     """``estimate_prior`` over all documents: two histograms of ``bins`` counts come back."""
 
     @F.pandas_udf("int")
-    def bin_of(x: pd.Series) -> pd.Series:
-        return pd.Series(np.minimum(model.score(_stack(x)) * bins, bins - 1).astype("int32"))
+    def bin_of(x: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series(np.minimum(model.score(_stack(x, g)) * bins, bins - 1).astype("int32"))
 
     def histogram(df: DataFrame) -> np.ndarray:
         out = np.zeros(bins)
-        for r in df.groupBy(bin_of("x").alias("b")).agg(F.count(F.lit(1)).alias("c")).collect():
+        for r in df.groupBy(bin_of("x", "g").alias("b")).agg(F.count(F.lit(1)).alias("c")).collect():
             out[r["b"]] = r["c"]
         return out
 
@@ -178,10 +217,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         return features.select(F.col("id").alias(id_col), F.lit(0.5).alias("score"))
 
     @F.pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
-        return pd.Series(model.score(_stack(x)))
+    def score(x: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series(model.score(_stack(x, g)))
 
-    return features.select(F.col("id").alias(id_col), score("x").alias("score"))
+    return features.select(F.col("id").alias(id_col), score("x", "g").alias("score"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
