@@ -147,7 +147,8 @@ def merge(g: Instance, pairs: dict[str, DataFrame], check_attrs: bool = True) ->
     """Glues the rows of each pair ``(a, b)``, and whatever their foreign keys point at.
 
     Each class keeps its smallest id; every foreign key into it is rewired.  Attributes
-    of glued rows must agree, or ``ValueError``.
+    of glued rows must agree, or ``ValueError``; a null agrees with any value and gives
+    way to it.
     """
     from .components import components
 
@@ -182,6 +183,10 @@ def merge(g: Instance, pairs: dict[str, DataFrame], check_attrs: bool = True) ->
                     bad = t.where(F.col("__r").isNotNull()).groupBy("__r").agg(F.count_distinct(a).alias("n")).where("n > 1")
                     if not bad.isEmpty():
                         raise ValueError(f"merged rows of {o} differ in {a}")
+            if s.attrs_of(o):
+                known = t.where(F.col("__r").isNotNull()).groupBy(F.col("__r").alias("__c")).agg(*[F.max(a).alias(f"__v_{a}") for a in s.attrs_of(o)])
+                t = t.join(known, F.col("id") == F.col("__c"), "left")
+                t = t.withColumns({a: F.coalesce(a, f"__v_{a}") for a in s.attrs_of(o)}).drop("__c", *[f"__v_{a}" for a in s.attrs_of(o)])
             t = t.where(F.col("__r").isNull() | (F.col("__r") == F.col("id"))).drop("__n", "__r")
         for h in s.homs_from(o):
             if s.homs[h][1] in roots:

@@ -1,12 +1,14 @@
 """Application conditions, set-at-a-time: quantifiers become semi and anti joins.
 
 A condition is evaluated on a DataFrame of assignments (columns named as in ``match``).
-``holds`` gives the assignments on which it is true.
+``holds`` gives the assignments on which it is true; ``mark`` adds that as a column, so that
+a condition inside others is evaluated once, however they are nested.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,18 @@ from ..instance import Instance
 from ..pattern import Morphism
 from .match import column_of, match
 
+_FLAG = "__ok"
+_NUMBERS = count()
+
+
+def _flag() -> str:
+    return f"{_FLAG}{next(_NUMBERS)}"
+
+
+def _own(rows: DataFrame) -> list[str]:
+    """The columns of an assignment, without flags."""
+    return [c for c in rows.columns if not c.startswith(_FLAG)]
+
 
 class Condition:
     def __and__(self, other):
@@ -27,79 +41,97 @@ class Condition:
         return Not(self)
 
     def holds(self, rows: DataFrame, g: Instance) -> DataFrame:
+        flag = _flag()
+        return self.mark(rows, g, flag).where(F.col(flag)).drop(flag)
+
+    def mark(self, rows: DataFrame, g: Instance, flag: str) -> DataFrame:
+        """``rows`` with a boolean column ``flag``, never null."""
         raise NotImplementedError
 
 
-def _same(rows: DataFrame, other: DataFrame, kind: str) -> DataFrame:
-    keys = rows.columns
+def _same(rows: DataFrame, other: DataFrame, kind: str, flag: str | None = None) -> DataFrame:
+    """Joins with the distinct assignments of ``other``; a left join tells in ``flag`` whether it has the row's."""
+    keys = _own(rows)
     o = other.select(*[F.col(c).alias(f"__{c}") for c in keys]).distinct()
     on = F.lit(True)
     for c in keys:
         on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return rows.join(o, on, kind)
+    if kind != "left":
+        return rows.join(o, on, kind)
+    hit = f"{flag}_"
+    return rows.join(o.withColumn(hit, F.lit(True)), on, "left").select(*rows.columns, F.col(hit).isNotNull().alias(flag))
 
 
 @dataclass
 class Const(Condition):
     value: bool
 
-    def holds(self, rows, g):
-        return rows if self.value else rows.where(F.lit(False))
+    def mark(self, rows, g, flag):
+        return rows.withColumn(flag, F.lit(self.value))
 
 
 @dataclass
-class And(Condition):
+class _Both(Condition):
     left: Condition
     right: Condition
 
-    def holds(self, rows, g):
-        return self.right.holds(self.left.holds(rows, g), g)
+    def mark(self, rows, g, flag):
+        a, b = _flag(), _flag()
+        both = self.right.mark(self.left.mark(rows, g, a), g, b)
+        return both.withColumn(flag, self.of(F.col(a), F.col(b))).drop(a, b)
 
 
-@dataclass
-class Or(Condition):
-    left: Condition
-    right: Condition
+class And(_Both):
+    of = staticmethod(lambda a, b: a & b)
 
     def holds(self, rows, g):
-        rest = _same(rows, self.left.holds(rows, g), "left_anti")
-        return self.left.holds(rows, g).unionByName(self.right.holds(rest, g))
+        return self.right.holds(self.left.holds(rows, g), g)
+
+
+class Or(_Both):
+    of = staticmethod(lambda a, b: a | b)
 
 
 @dataclass
 class Not(Condition):
     inner: Condition
 
+    def mark(self, rows, g, flag):
+        return self.inner.mark(rows, g, flag).withColumn(flag, ~F.col(flag))
+
     def holds(self, rows, g):
-        return _same(rows, self.inner.holds(rows, g), "left_anti")
+        if isinstance(self.inner, _Quantified):
+            found, true = self.inner.witness(rows, g)
+            return _same(rows, found, "left_anti" if true else "left_semi")
+        return super().holds(rows, g)
 
 
 @dataclass
 class Commutes(Condition):
     """Equalities (or, with ``commutes=False``, not all of them) between columns of the assignment.
 
-    ``paths``: pairs of ``(column, *foreign keys)``.
+    ``pairs``: pairs of ``(column, *foreign keys)``.  A path over a missing key ends in
+    null, which equals null alone.
     """
 
     pairs: list[tuple[tuple[str, ...], tuple[str, ...]]]
     obs: dict[str, str]
     commutes: bool = True
 
-    def holds(self, rows, g):
-        out, equal, drop = rows, F.lit(True), []
+    def mark(self, rows, g, flag):
+        out, equal = rows, F.lit(True)
         for i, pair in enumerate(self.pairs):
             ends = []
             for j, (start, *path) in enumerate(pair):
                 at = F.col(start)
                 if path:
-                    c = f"__p{i}_{j}"
+                    c = f"{flag}p{i}_{j}"
                     step = g.subpart(self.obs[start], *path).select(F.col("id").alias(f"{c}k"), F.col("value").alias(c))
-                    out = out.join(step, F.col(start) == F.col(f"{c}k"))
+                    out = out.join(step, F.col(start) == F.col(f"{c}k"), "left")
                     at = F.col(c)
-                    drop += [c, f"{c}k"]
                 ends.append(at)
-            equal = equal & (ends[0] == ends[1])
-        return out.where(equal if self.commutes else ~equal).drop(*drop)
+            equal = equal & ends[0].eqNullSafe(ends[1])
+        return out.select(*rows.columns, (equal if self.commutes else ~equal).alias(flag))
 
 
 @dataclass
@@ -124,40 +156,53 @@ class _Quantified(Condition):
         for own in pairs.values():
             for other in own[1:]:
                 base = base.where(F.col(own[0]) == F.col(other))
-        keys = [F.col(c).alias(f"__k_{c}") for c in rows.columns]
+        keys = [F.col(c).alias(f"__k_{c}") for c in _own(rows)]
         start = base.select(*[F.col(own[0]).alias(n) for n, own in pairs.items()], *keys).distinct()
-        return match(self.along.cod, g, self.monic, start) if pairs else match(self.along.cod, g, self.monic).crossJoin(start)
+        if pairs:
+            return match(self.along.cod, g, self.monic, start)
+        found = match(self.along.cod, g, self.monic)
+        # nothing ties them to the assignment: if nothing more is asked, whether there are none, one or more is all that counts
+        return (found if self.then or self.such else found.limit(2)).crossJoin(start)
 
     def found(self, rows: DataFrame, g: Instance) -> DataFrame:
         ext = self.extensions(rows, g)
-        ext = self.such.holds(ext, g) if self.such else ext
-        return ext
+        return self.such.holds(ext, g) if self.such else ext
 
     @staticmethod
     def back(ext: DataFrame, rows: DataFrame) -> DataFrame:
-        return ext.select(*[F.col(f"__k_{c}").alias(c) for c in rows.columns])
+        return ext.select(*[F.col(f"__k_{c}").alias(c) for c in _own(rows)])
 
+    def witness(self, rows: DataFrame, g: Instance) -> tuple[DataFrame, bool]:
+        """Assignments on which the condition is true, or (False) on which it isn't."""
+        raise NotImplementedError
 
-class Exists(_Quantified):
     def holds(self, rows, g):
+        found, true = self.witness(rows, g)
+        return _same(rows, found, "left_semi" if true else "left_anti")
+
+    def mark(self, rows, g, flag):
+        found, true = self.witness(rows, g)
+        out = _same(rows, found, "left", flag)
+        return out if true else out.withColumn(flag, ~F.col(flag))
+
+
+class Exists(_Quantified):
+    def witness(self, rows, g):
         ext = self.found(rows, g)
-        ext = self.then.holds(ext, g) if self.then else ext
-        return _same(rows, self.back(ext, rows), "left_semi")
+        return self.back(self.then.holds(ext, g) if self.then else ext, rows), True
 
 
 class Forall(_Quantified):
-    def holds(self, rows, g):
+    def witness(self, rows, g):
         ext = self.found(rows, g)
-        bad = _same(ext, self.then.holds(ext, g), "left_anti") if self.then else ext
-        return _same(rows, self.back(bad, rows), "left_anti")
+        return self.back(Not(self.then).holds(ext, g) if self.then else ext, rows), False
 
 
 class ExistsUnique(_Quantified):
-    def holds(self, rows, g):
+    def witness(self, rows, g):
         ext = self.found(rows, g)
-        ext = self.then.holds(ext, g) if self.then else ext
-        once = self.back(ext, rows).groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n")).where("__n = 1")
-        return _same(rows, once, "left_semi")
+        ext = self.back(self.then.holds(ext, g) if self.then else ext, rows)
+        return ext.groupBy(*ext.columns).agg(F.count(F.lit(1)).alias("__n")).where("__n = 1").drop("__n"), True
 
 
 def pac(along: Morphism, monic=()) -> Condition:
@@ -170,16 +215,16 @@ def nac(along: Morphism, monic=()) -> Condition:
     return Not(Exists(along, monic=monic))
 
 
-def lift(vertical: Morphism, bottom: Morphism, monic=()) -> Condition:
-    """Every extension along ``vertical: L -> N`` extends further along ``bottom: N -> M``."""
-    return Forall(vertical, Exists(bottom), monic=monic)
+def lift(vertical: Morphism, bottom: Morphism, monic=(), monic_exists=()) -> Condition:
+    """Every extension along ``vertical: L -> N`` extends further along ``bottom: N -> M``; ``monic_exists`` is of that second one."""
+    return Forall(vertical, Exists(bottom, monic=monic_exists), monic=monic)
 
 
 @dataclass
 class Where(Condition):
-    """A plain condition on columns."""
+    """A plain condition on columns; null counts as false."""
 
     condition: Column
 
-    def holds(self, rows, g):
-        return rows.where(self.condition)
+    def mark(self, rows, g, flag):
+        return rows.withColumn(flag, F.coalesce(self.condition, F.lit(False)))

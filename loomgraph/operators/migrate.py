@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..instance import Instance
 from ..pattern import Morphism, Pattern
 from ..schema import Schema
+from .constraints import And, Commutes, Condition, Const, Exists, ExistsUnique, Forall, Not, Or
+from .pbpo import TypedRule
 from .rewrite import Rule
 
 
@@ -48,11 +50,38 @@ class Migrate:
     def morphism(self, f: Morphism) -> Morphism:
         return Morphism(self.pattern(f.dom), self.pattern(f.cod), {self.obs[o]: m for o, m in f.maps.items()})
 
+    def column(self, c: str) -> str:
+        """The name that a match's column has after the renaming of tables."""
+        ob = next(o for o in sorted(self.obs, key=len, reverse=True) if c.startswith(f"{o}_"))
+        return self.obs[ob] + c[len(ob) :]
+
+    def _monic(self, monic):
+        return monic if monic is True else [self.obs[o] for o in monic or ()]
+
+    def condition(self, c: Condition | None) -> Condition | None:
+        """A condition over ``source`` as one over ``target``; plain column conditions name columns themselves and can't be translated."""
+        if c is None or isinstance(c, Const):
+            return c
+        if isinstance(c, (And, Or)):
+            return type(c)(self.condition(c.left), self.condition(c.right))
+        if isinstance(c, Not):
+            return Not(self.condition(c.inner))
+        if isinstance(c, (Exists, Forall, ExistsUnique)):
+            return type(c)(self.morphism(c.along), self.condition(c.then), self.condition(c.such), self._monic(c.monic))
+        if isinstance(c, Commutes):
+            side = lambda path: (self.column(path[0]), *(self.names[h] for h in path[1:]))
+            return Commutes([(side(x), side(y)) for x, y in c.pairs], {self.column(k): self.obs[o] for k, o in c.obs.items()}, c.commutes)
+        raise TypeError(f"{type(c).__name__} can't be migrated")
+
     def rule(self, r: Rule) -> Rule:
         left, right = self.morphism(r.left), self.morphism(r.right)
         right.dom = left.dom
-        monic = r.monic if r.monic is True else [self.obs[o] for o in r.monic]
-        return replace(r, left=left, right=right, monic=monic, conditions=[])
+        return replace(r, left=left, right=right, monic=self._monic(r.monic), conditions=[self.condition(c) for c in r.conditions])
+
+    def typed_rule(self, r: TypedRule) -> TypedRule:
+        """A rule controlled by a typing, renamed; its adherence function is the caller's to translate."""
+        l, rr, tl, tk, lp = (self.morphism(m) for m in (r.l, r.r, r.tl, r.tk, r.lp))  # noqa: E741
+        return replace(r, l=l, r=rr, tl=tl, tk=tk, lp=lp, conditions=[self.condition(c) for c in r.conditions], k_exprs={(self.names[a], k): f for (a, k), f in r.k_exprs.items()})
 
 
 def sliced(schema: Schema) -> Schema:

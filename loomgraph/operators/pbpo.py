@@ -64,7 +64,8 @@ def typings(g: Instance, types: Pattern, fixed: dict[str, DataFrame] | None = No
 class TypedRule:
     """``adherence(g, match row) -> table -> DataFrame(id, type)`` gives a typing; without it one is searched.
 
-    ``k_exprs``: (attribute, element of K') -> function of the old value's Column.
+    ``k_exprs``: (attribute, element of K') -> function of the old value's Column and a dict
+    of the match's variables (name -> Column).
     """
 
     l: Morphism  # noqa: E741
@@ -129,12 +130,15 @@ class TypedRule:
                 to = F.broadcast(spark.createDataFrame([(str(x), str(y)) for x, y in Kp.homs[h].items()] or [(None, None)], "__a string, __b string"))
                 c = copies[s.homs[h][1]].select(F.col("old").alias("__o2"), F.col("k").alias("__k2"), F.col("id").alias("__n2"))
                 t = t.join(to, F.col("k") == F.col("__a")).join(c, (F.col(h) == F.col("__o2")) & (F.col("__b") == F.col("__k2"))).withColumn(h, F.col("__n2")).drop("__a", "__b", "__o2", "__k2", "__n2")
+            bound = {c.removeprefix("var_"): F.col(f"__{c}") for c in m.columns if c.startswith("var_")}
+            if bound and any(name in s.attrs_of(o) for name, _ in self.k_exprs):
+                t = t.crossJoin(F.broadcast(m.select(*[F.col(f"var_{v}").alias(f"__var_{v}") for v in bound])))  # one row: the match
             values = []
             for a in s.attrs_of(o):
                 v: Column = F.col(a)
                 for (name, k), f in self.k_exprs.items():
                     if name == a:
-                        v = F.when(F.col("k") == str(k), f(F.col(a))).otherwise(v)
+                        v = F.when(F.col("k") == str(k), f(F.col(a), bound)).otherwise(v)
                 values.append(v.cast(s.attrs[a][1]).alias(a))
             tables[o] = t.select("id", *s.homs_from(o), *values)
         h = Instance(s, tables)
@@ -159,9 +163,9 @@ class TypedRule:
 
     def rewrite(self, g: Instance) -> Instance | None:
         """At the first match (by ids) that has a strong typing."""
-        keys = [column_of(e) for e in self.l.cod.elements()]
-        for r in self.matches(g).orderBy(*keys).toLocalIterator():
-            m = g[self.l.cod.schema.obs[0]].sparkSession.createDataFrame([r], self.matches(g).schema)
+        found = cut(self.matches(g))
+        for r in found.orderBy(*[column_of(e) for e in self.l.cod.elements()]).toLocalIterator():
+            m = found.sparkSession.createDataFrame([r], found.schema)
             typing = self.typing(g, m)
             if typing is not None:
                 return self.apply(g, m, typing)

@@ -163,11 +163,16 @@ class Rule:
             base = A.remove(g, whole)
         else:
             whole, base = None, g
-        h = self._add(base, placed, {e: F.col(column_of((e[0], self._back(e)))) for e in self.right.image()})
-        h = self._glue(h, placed)
-        if self.semantics == "SPO" and whole is not None:
-            h = A.restrict(h, A.cascade(h, A.full(h)))  # added rows that refer to deleted ones go, too
-        return h, placed
+        image = {e: F.col(column_of((e[0], self._back(e)))) for e in self.right.image()}
+        if self.semantics == "SPO" and whole is not None and self.added():
+            # deletion wins: added rows that refer to deleted ones go, too
+            own = self._add(Instance(s, {o: t.where(F.lit(False)) for o, t in g.tables.items()}), placed, image)
+            own = A.remove(own, A._deleted_closure(own, whole))
+            new = {e[0] for e in self.added()}
+            h = Instance(s, {o: t.unionByName(own[o], allowMissingColumns=True) if o in new else t for o, t in base.tables.items()})
+        else:
+            h = self._add(base, placed, image)
+        return self._glue(h, placed), placed
 
     def _back(self, e: Element) -> object:
         """Some element of L that is preserved as ``e`` of R."""

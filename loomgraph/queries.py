@@ -267,14 +267,6 @@ def incident_path(spark, sf_dir):
     return store(spark, sf_dir).incident("LineItem", ("l_suppkey", "s_nationkey"), 3).select(F.col("id").alias("li"))
 
 
-@query("select event_id, k from events join (select 'purchase' t,0 k union all select 'purchase',1 union all select 'view',0 union all select 'click',0 union all select 'signup',0) y on event_type=t")
-def pbpo_typed(spark, sf_dir):
-    """Rows typed by their event type; a type with two copies doubles them, one with none deletes them."""
-    events = store(spark, sf_dir)["Event"].select("id", F.col("event_type").alias("type"))
-    copies = F.broadcast(spark.createDataFrame([("purchase", 0), ("purchase", 1), ("view", 0), ("click", 0), ("signup", 0)], "t string, k int"))
-    return events.join(copies, F.col("type") == F.col("t")).select(F.col("id").alias("event_id"), "k")
-
-
 @query("select a.li a,b.li b from {LI} a,{LI} b where a.l_orderkey=b.l_orderkey and a.l_partkey=b.l_partkey and a.li<>b.li and (a.l_orderkey%10=0 or b.l_orderkey%10=0)")
 def delta_matches(spark, sf_dir):
     from .streaming.incremental import delta_matches as delta
@@ -359,13 +351,6 @@ def mealy_fold(spark, sf_dir):
     return fold_by_key(e, "user_id", ["ts"], count, F.lit(0).cast("long"), "state")
 
 
-@query("select a.c_custkey a, b.c_custkey b from customer a, customer b where a.c_nationkey=b.c_nationkey and a.c_mktsegment='BUILDING' and b.c_mktsegment='MACHINERY'")
-def slice_hom(spark, sf_dir):
-    """Customers typed by segment: pairs in a nation with fixed types."""
-    p = pattern({"Customer": ["a", "b"], "Nation": ["n"]}, {"c_nationkey": {"a": "n", "b": "n"}}, {"c_mktsegment": {"a": "BUILDING", "b": "MACHINERY"}})
-    return _cols(match(p, store(spark, sf_dir)), a="Customer_a", b="Customer_b")
-
-
 @query("select o_orderkey, o_custkey from orders where o_orderkey in (select min(o_orderkey) from orders group by o_custkey)")
 def rewrite_parallel(spark, sf_dir):
     """A maximal independent set of matches: one order per customer (each match binds and deletes the customer's mark)."""
@@ -379,3 +364,6 @@ def rewrite_parallel(spark, sf_dir):
     R = Pattern(s, {"C": ["c"], "O": ["o"]}, {"oc": {"o": "c"}})
     r = Rule.of(L, R)
     return cut(r.independent(r.matches(own))).select(F.col("O_o").alias("o_orderkey"), F.col("C_c").alias("o_custkey"))
+
+
+from . import cases as _cases  # noqa: E402, F401  registers its queries

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
+from ..functions.ids import number_rows, shared_dir
 from ..instance import Instance
 from ..schema import Schema
 
@@ -25,13 +28,30 @@ def bind(spark: SparkSession, folder: str, schema: Schema, bindings: dict[str, B
     tables = {}
     for o, b in bindings.items():
         df = spark.read.parquet(f"{folder}/{b.table}.parquet")
-        if b.id == "__row":
-            tables[o] = _rows(df, b)
+        if isinstance(b.id, str) and b.id == "__row":
+            tables[o] = _numbered(spark, f"{folder}/{b.table}", _rows(df, b).select("id", *_columns(schema, o, b)))
         else:
-            tables[o] = df.select(F.col(b.id).cast("long").alias("id"), *_columns(schema, o, b))
+            key = F.col(b.id) if isinstance(b.id, str) else b.id
+            tables[o] = df.select(key.cast("long").alias("id"), *_columns(schema, o, b))
     return Instance(schema, tables)
 
 
+_NUMBERED: dict[tuple[str, str, str], str] = {}
+
+
+def _numbered(spark: SparkSession, source: str, rows: DataFrame) -> DataFrame:
+    """Rows with their numbers, written to the shared folder at the first call of a session and read from there after it.
+
+    Numbering sorts a table, and would do so again for each of its mentions in a plan.
+    """
+    key = (spark.sparkContext.applicationId, source, rows.schema.simpleString())
+    if key not in _NUMBERED:
+        path = f"{shared_dir(spark).rstrip('/')}/numbered-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        _NUMBERED[key] = path
+    return spark.read.schema(rows.schema).parquet(_NUMBERED[key])
+
+
 def _columns(schema: Schema, o: str, b: Binding) -> list[Column]:
     keys = [F.col(b.columns.get(h, h)).cast("long").alias(h) for h in schema.homs_from(o)]
     return keys + [F.col(b.columns.get(a, a)).alias(a) for a in schema.attrs_of(o)]
@@ -44,6 +64,8 @@ def _rows(df: DataFrame, b: Binding) -> DataFrame:
     task orders all rows.
     """
     lead = df.columns[0]
+    if not isinstance(df.schema[lead].dataType, NumericType):
+        return number_rows(df, df.columns, "id")
     sizes = df.groupBy(F.col(lead).alias("__k")).agg(F.count(F.lit(1)).alias("__c"))
     buckets = sizes.withColumn("__g", F.floor(F.col("__k") / 1024))
     groups = buckets.groupBy("__g").agg(F.sum("__c").alias("__s"))

@@ -3,13 +3,16 @@
 For a pattern with elements a1..an and added rows per table, the new matches are the
 disjoint union over i of: elements before i old, element i new, elements after i any.
 Each branch starts at the added rows, so its cost follows the change, not the instance.
-Deletions drop the matches that bind a deleted row; merges rewrite ids first and treat
-the touched rows as changed.
+Deletions drop the matches that bind a deleted row.  A rule that deletes or merges drops
+the matches that bind a row which it removed or changed, and adds those that bind a row
+which it added or changed.  Each step appends what is new; a view is put together again
+after ``PIECES`` steps.  ``delta_rule`` tells which branch found a match.
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,55 +40,87 @@ def delta_matches(p: Pattern, old: Instance, added: dict[str, DataFrame], monic=
     return out
 
 
+PIECES = 16
+
+
 class MatchView:
     """The matches of some patterns in a changing instance."""
 
     def __init__(self, patterns: list[Pattern], g: Instance, monic=()):
         self.patterns, self.state, self.monic = list(patterns), g, monic
-        self.views = [cut(match(p, g, monic)) for p in patterns]
+        self.pieces = [[cut(match(p, g, monic).withColumn("delta_rule", F.lit("start")))] for p in patterns]
         self.step = 0
 
+    def provenance(self, i: int = 0) -> DataFrame:
+        """Matches with ``delta_rule``."""
+        return reduce(DataFrame.unionByName, self.pieces[i])
+
     def matches(self, i: int = 0) -> DataFrame:
-        return self.views[i]
+        return self.provenance(i).drop("delta_rule")
 
     def nmatches(self, i: int = 0) -> int:
-        return self.views[i].count()
+        return self.matches(i).count()
+
+    def _append(self, i: int, found: DataFrame | None) -> None:
+        if found is not None:
+            self.pieces[i].append(cut(found.select(*self.pieces[i][0].columns)))
+            if len(self.pieces[i]) > PIECES:
+                self.pieces[i] = [cut(self.provenance(i))]
 
     def insert(self, added: dict[str, DataFrame]) -> None:
         """Adds rows; ids must be unused."""
         for i, p in enumerate(self.patterns):
-            d = delta_matches(p, self.state, added, self.monic)
-            if d is not None:
-                self.views[i] = cut(self.views[i].unionByName(d.drop("delta_rule")))
+            self._append(i, delta_matches(p, self.state, added, self.monic))
         self.state = Instance(self.state.schema, {o: t.unionByName(added[o]) if o in added else t for o, t in self.state.tables.items()})
         self.step += 1
 
+    def _drop(self, gone: dict[str, DataFrame]) -> None:
+        for i, p in enumerate(self.patterns):
+            v = self.provenance(i)
+            seats = [e for e in p.elements() if e[0] in gone and column_of(e) in v.columns]
+            for e in seats:
+                ids = gone[e[0]].select(F.col(gone[e[0]].columns[0]).alias("__gone"))
+                v = v.join(ids, F.col(column_of(e)) == F.col("__gone"), "left_anti")
+            if seats:
+                self.pieces[i] = [cut(v)]
+
     def delete(self, gone: dict[str, DataFrame]) -> None:
         """Removes rows by id (nothing may refer to them)."""
-        for i, p in enumerate(self.patterns):
-            v = self.views[i]
-            for e in p.elements():
-                if e[0] in gone and column_of(e) in v.columns:
-                    ids = gone[e[0]].select(F.col(gone[e[0]].columns[0]).alias("__gone"))
-                    v = v.join(ids, F.col(column_of(e)) == F.col("__gone"), "left_anti")
-            self.views[i] = cut(v)
+        self._drop(gone)
         for o, ids in gone.items():
             self.state = self.state.rem_parts(o, ids)
         self.step += 1
 
     def rewrite(self, rule: Rule, m: DataFrame | None = None) -> None:
-        """Applies an additive rule at all of ``m`` (or at all its matches) and maintains the views."""
-        if rule.deleted() or rule.right.fibers():
-            raise ValueError("only rules that add are maintained; delete and insert otherwise")
-        m = rule.matches(self.state) if m is None else m
-        _, placed = rule.apply_with_maps(self.state, cut(m))
+        """Applies a rule at all of ``m`` (or at all its matches, which must not conflict) and maintains the views."""
+        m = cut(rule.matches(self.state) if m is None else m)
+        if rule.deleted() or rule.right.fibers() or rule.semantics == "SqPO":
+            self.replace(rule.apply(self.state, m).cut())
+            return
+        _, placed = rule.apply_with_maps(self.state, m)
         empty = Instance(self.state.schema, {o: t.where(F.lit(False)) for o, t in self.state.tables.items()})
         only = rule._add(empty, placed, {e: F.col(column_of((e[0], rule._back(e)))) for e in rule.right.image() if column_of((e[0], rule._back(e))) in placed.columns})
         self.insert({o: cut(only[o]) for o in {e[0] for e in rule.added()}})
 
+    def replace(self, after: Instance) -> None:
+        """Goes over to another state with stable ids: rows that differ count as removed and added again."""
+        old, s = self.state, self.state.schema
+        before = {o: old[o].select("id", *s.homs_from(o), *s.attrs_of(o)) for o in s.obs}
+        now = {o: after[o].select(*before[o].columns) for o in s.obs}
+        gone = {o: cut(before[o].exceptAll(now[o]).select("id")) for o in s.obs}
+        new = {o: cut(now[o].exceptAll(before[o])) for o in s.obs}
+        gone, new = {o: d for o, d in gone.items() if not d.isEmpty()}, {o: d for o, d in new.items() if not d.isEmpty()}
+        self._drop(gone)
+        # a merged row's other names are gone, and so are matches that hold them by a key alone: those rows changed
+        kept = Instance(s, {o: before[o].join(gone[o].select(F.col("id").alias("__g")), F.col("id") == F.col("__g"), "left_anti") if o in gone else before[o] for o in s.obs})
+        for i, p in enumerate(self.patterns):
+            self._append(i, delta_matches(p, kept, new, self.monic))
+        self.state = Instance(s, now)
+        self.step += 1
+
     def validate(self) -> bool:
         """Whether every view equals a search from scratch."""
-        for p, v in zip(self.patterns, self.views):
+        for p, v in zip(self.patterns, map(self.matches, range(len(self.patterns)))):
             again = match(p, self.state, self.monic).select(*v.columns)
             if not v.exceptAll(again).isEmpty() or not again.exceptAll(v).isEmpty():
                 return False
