@@ -36,6 +36,8 @@ from .tokens import AWKWARD, SPLIT
 HELD = 400_000
 LONGEST = 256
 ROWS = 512
+#: A task reads about so much, where splits are smaller.
+TASK_BYTES = 128 << 20
 #: A part: the id of the pair that it starts (from 1; ``NONE`` where that pair has no rank) above ``BITS``, its own id (from 1; 0: beyond the ends) below.
 BITS = 20
 NONE = 1 << 42
@@ -142,7 +144,10 @@ class Words:
         # such texts have a word boundary before each space: a chunk between spaces is split once
         first, *rest = text.split(" ")
         chunks, number = self.chunks, self.number
-        for c in [c for c in rest if c not in chunks]:
+        found = list(map(chunks.get, rest))
+        if None not in found:
+            return self.numbers(self.of(first), new) + b"".join(found)
+        for c in [c for c, x in zip(rest, found) if x is None]:
             w = " " + c
             if not c.isalpha():
                 chunks[c] = self.numbers(self.of(w), new)
@@ -257,7 +262,10 @@ class Codec:
             one = F.shiftright(least, BITS)
             return F.concat(F.slice(q, F.lit(1), k - 2), F.array(part(own(F.get(q, k - 2)), one), part(one, own(F.get(q, k + 1)))), F.slice(q, k + 2, F.size(q)))
 
-        return F.when(F.array_min(q) >= NONE, q).otherwise(let(F.array_min(q), lambda m: let(F.array_position(q, m).cast("int"), lambda k: join(m, k))))
+        def merged(least: Column) -> Column:
+            return F.when(least >= NONE, q).otherwise(let(F.array_position(q, least).cast("int"), lambda k: join(least, k)))
+
+        return let(F.array_min(q), merged)
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids; unknown ids add none."""
@@ -275,6 +283,10 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
     codec = Codec(ranks, pattern)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
+    # words are folded once a task: splits far smaller than a task should read are put together, as long as each core keeps two
+    least, splits = 2 * docs.sparkSession.sparkContext.defaultParallelism, own.rdd.getNumPartitions()
+    split_bytes = docs.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    own = own.coalesce(min(splits, max(least, -(-splits * split_bytes // TASK_BYTES), 1)))
     split = own.mapInArrow(_splitter(ranks, pattern), f"id {kind}, kept binary, numbers binary, new array<array<bigint>>, long array<binary>")
     folded = split.withColumn("new", codec.folded(F.col("new")))
     return codec, folded.mapInArrow(_assembler, f"id {kind}, ids array<int>, packed binary").withColumnRenamed("id", id_col)
