@@ -144,9 +144,10 @@ class Words:
         # such texts have a word boundary before each space: a chunk between spaces is split once
         first, *rest = text.split(" ")
         chunks, number = self.chunks, self.number
+        head = self.numbers(self.of(first), new)
         found = list(map(chunks.get, rest))
         if None not in found:
-            return self.numbers(self.of(first), new) + b"".join(found)
+            return head + b"".join(found)
         for c in [c for c, x in zip(rest, found) if x is None]:
             w = " " + c
             if not c.isalpha():
@@ -157,7 +158,7 @@ class Words:
                 n = number[w] = len(number)
                 new.append(w)
             chunks[c] = n.to_bytes(4, sys.byteorder)
-        return self.numbers(self.of(first), new) + b"".join(map(chunks.__getitem__, rest))
+        return head + b"".join(map(chunks.__getitem__, rest))
 
 
 def _splitter(ranks: dict[bytes, int], pattern: str):
