@@ -32,7 +32,7 @@ SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 12000, 24000
 FOLDS, HELD_OUT = 3, 1
 BUCKETS = 12
 #: Cells for hashed words, for pairs of words and for pieces of words.
-GRAMS = 128
+GRAMS = 64
 _CACHE_WORDS = 200_000
 
 FEATURES = (
@@ -108,23 +108,28 @@ class Buckets:
         x, cells = x[:, : len(FEATURES)], x[:, len(FEATURES) :]
         parts = [np.clip((x - self.mean) / self.spread, -4, 4) / 4, cells]
         for c, e in zip(x.T, self.edges):
-            parts.append(np.eye(len(e) + 1)[np.searchsorted(e, c, side="left")])
+            parts.append(np.eye(len(e) + 1, dtype=np.float32)[np.searchsorted(e, c, side="left")])
         return np.hstack(parts)
 
 
+def _dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (y.astype(np.float32) @ x).astype(float)
+
+
 def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, l2: float = 2e-2, rounds: int = 500) -> np.ndarray:
     """Weights and, last, the intercept, that minimise the non-negative PU risk (full-batch Adam)."""
-    p, u = np.hstack([p, np.ones((len(p), 1))]), np.hstack([u, np.ones((len(u), 1))])
+    p, u = (np.hstack([x, np.ones((len(x), 1))]).astype(np.float32) for x in (p, u))  # half the memory; sums are of doubles
     w = np.zeros(p.shape[1])
     w[-1] = np.log(prior / (1 - prior))
     m, s = np.zeros_like(w), np.zeros_like(w)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, rounds + 1):
-        zp, zu = p @ w, u @ w
+        near = w.astype(np.float32)
+        zp, zu = (p @ near).astype(float), (u @ near).astype(float)
         sp, su = sigmoid(zp), sigmoid(zu)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_pos = prior * (p.T @ (sp - 1)) / len(p)
-        g_neg = (u.T @ su) / len(u) - prior * (p.T @ sp) / len(p)
+        g_pos = prior * _dot(p, sp - 1) / len(p)
+        g_neg = _dot(u, su) / len(u) - prior * _dot(p, sp) / len(p)
         g = g_pos + g_neg if negative >= 0 else -g_neg  # below zero: step back on that part alone
         g = g + l2 * np.append(w[:-1], 0)
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
@@ -157,8 +162,8 @@ class Model:
 
 def _stack(x, g) -> np.ndarray:
     """Features, then cells of n-grams (0 to 1), a row per text."""
-    wide = np.array(list(x), dtype=float).reshape(-1, len(FEATURES))
-    return np.hstack([wide, np.frombuffer(b"".join(map(bytes, g)), dtype=np.uint8).reshape(-1, 3 * GRAMS) / 255])
+    wide = np.array(list(x), dtype=np.float32).reshape(-1, len(FEATURES))
+    return np.hstack([wide, np.frombuffer(b"".join(map(bytes, g)), dtype=np.uint8).reshape(-1, 3 * GRAMS) / np.float32(255)])
 
 
 def _sample(df: DataFrame, size: int, salt: str) -> np.ndarray:
@@ -166,7 +171,7 @@ def _sample(df: DataFrame, size: int, salt: str) -> np.ndarray:
     n = df.count()
     share = int(1_000_000 * min(1.0, size / max(n, 1)))
     rows = df.where(F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.lit(1_000_000)) < share).select("id", "x", "g").limit(2 * size).collect()
-    rows = sorted(rows, key=lambda r: (r["id"] is None, r["id"], r["x"]))
+    rows.sort(key=lambda r: (r["id"] is None, r["id"], r["x"]))
     return _stack([r["x"] for r in rows], [r["g"] for r in rows])
 
 
