@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import os
-import sys
 import tempfile
 import uuid
 import zipfile
@@ -18,9 +17,9 @@ SPACE = "[\\x20\\x09-\\x0D]"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a session; on one machine they are the driver's own process tree."""
+    """Sends this package to the Python workers, once a session; they don't inherit the driver's module path, on one machine neither."""
     root, sc = Path(__file__).resolve().parents[2], spark.sparkContext
-    if (sc.master.startswith("local") and not sc.master.startswith("local-cluster") and str(root) in sys.path) or sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     _SHIPPED.add(sc.applicationId)
     archive = os.path.join(tempfile.mkdtemp(prefix="loomgraph-"), "loomgraph.zip")
