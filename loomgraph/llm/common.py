@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -122,3 +123,16 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
+
+
+def blanked_blocks(data: bytes, table: bytes, size: int = 1 << 22) -> Iterator[bytes]:
+    """A text after ``bytes.translate(table)`` in blocks of about ``size`` bytes that end at blanks, so that no word is cut."""
+    at = 0
+    while at < len(data):
+        block = data[at : at + size].translate(table)
+        while at + len(block) < len(data) and (cut := block.rfind(b" ")) < 0:  # one word over a whole block
+            block += data[at + len(block) : at + len(block) + size].translate(table)
+        if at + len(block) < len(data):
+            block = block[: cut + 1]
+        yield block
+        at += len(block)
