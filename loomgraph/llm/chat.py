@@ -133,12 +133,12 @@ def event_log(rows: DataFrame) -> DataFrame:
 
     Each row becomes a turn: a message with a draft, a streamed delta, and then for
     assistants a regeneration and two deltas, for others an edit and a delta; equal rows
-    are counted and become a turn each.  So only the fold's order of events and its
-    resets lead to the final text.
+    are counted and become a turn each (a null text is an empty one).  So only the fold's
+    order of events and its resets lead to the final text.
     """
-    x = F.coalesce("text", F.lit(""))
-    alike = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
-    each = alike.select("conv_id", "turn", "role", x.alias("x"), F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    rows = rows.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("x"))
+    alike = rows.groupBy("conv_id", "turn", "role", "x").agg(F.count(F.lit(1)).alias("n"))
+    each = alike.select("conv_id", "turn", "role", "x", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
     half = F.floor(F.length("x") / 2).cast("int")
     head, tail = F.substr("x", F.lit(1), half), F.substr("x", half + 1)
     event = lambda k, kind, role, text: F.struct(F.lit(k).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
@@ -147,7 +147,7 @@ def event_log(rows: DataFrame) -> DataFrame:
     again = [event(2, "regenerate", none, none), event(3, "delta", none, head), event(4, "delta", none, tail)]
     mended = [event(2, "edit", none, head), event(3, "delta", none, tail)]
     events = F.explode(F.when(F.col("role") == "assistant", F.array(*draft, *again)).otherwise(F.array(*draft, *mended)))
-    slot = F.struct("turn", F.sha2(F.concat_ws("\n", F.coalesce("role", F.lit("")), "x"), 256).alias("mark"), "copy")
+    slot = F.struct("turn", F.col("role").alias("of"), F.sha2("x", 256).alias("mark"), "copy")
     return each.select("conv_id", slot.alias("turn"), events.alias("e")).select("conv_id", "turn", "e.*")
 
 

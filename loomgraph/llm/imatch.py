@@ -7,7 +7,8 @@ randomised subsets of the lexicon; the sorted terms of each subset are hashed.
 
 Subsets come in levels, each with ``SUBSETS`` subsets and each sparser than the one
 before, so that short and long texts alike have subsets of a few terms.  The subsets of
-the first level cover the lexicon; a text without a lexicon term has an empty fingerprint.
+the first level cover the lexicon; a text without a lexicon term is known by all its terms
+together, so it is like texts of the same terms alone (those without words are alike).
 
 Size bound of the lexicon: a term counts at ``MIN_SHARE`` of the documents or more, so
 there are at most (mean number of distinct terms) / ``MIN_SHARE`` of them, whatever the
@@ -50,12 +51,15 @@ def lexicon(docs: DataFrame, text_col: str = "text", min_share: float = MIN_SHAR
 
 
 def fingerprint(text_col: str, terms_in_band: list[int]) -> Column:
-    """``array<bigint>``: a hash for each subset of each level, null without terms; null texts are empty."""
+    """``array<bigint>``: a hash for each subset of each level, null without terms; null texts are empty.
+
+    A text without a term of the lexicon has a hash of all its terms in the first place instead.
+    """
 
     # SQL text: one call of the parser for the whole set of literals, which becomes one hash set
     band = ",".join(f"bigint('{t}')" if t == -(1 << 63) else f"{t}L" for t in terms_in_band) or "null"
     words = f"filter(split(lower(coalesce(`{text_col}`, '')), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"
-    terms = f"filter(array_distinct(transform({words}, w -> xxhash64(w))), x -> x in ({band}))"
+    terms = f"transform(array(array_distinct(transform({words}, w -> xxhash64(w)))), a -> struct(filter(a, x -> x in ({band})) as band, a as every))[0]"
 
     def level(terms: Column, cells: int) -> Column:
         dealt = F.transform(terms, lambda t: F.struct(F.pmod(F.xxhash64(F.lit(cells), t), F.lit(cells)).cast("int").alias("s"), t.alias("t")))
@@ -75,7 +79,11 @@ def fingerprint(text_col: str, terms_in_band: list[int]) -> Column:
 
         return let(runs, out)
 
-    return let(F.expr(terms), lambda t: F.concat(*[level(t, c) for c in CELLS]))
+    def alone(every: Column) -> Column:
+        """In the first place a hash of all the text's terms, which only texts of the same terms share."""
+        return F.concat(F.array(F.xxhash64(F.lit("alone"), F.sort_array(every))), F.array_repeat(F.lit(None).cast("bigint"), len(CELLS) * SUBSETS - 1))
+
+    return let(F.expr(terms), lambda t: F.when(F.size(t["band"]) == 0, alone(t["every"])).otherwise(let(t["band"], lambda b: F.concat(*[level(b, c) for c in CELLS]))))
 
 
 def written(fp: Column) -> Column:
@@ -86,7 +94,7 @@ def written(fp: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal hashes among the subsets that either text has terms in; of the levels, the largest.
 
-    1 for equal fingerprints (also empty ones), 0 if just one has no terms.  Levels on
+    1 for equal fingerprints, 0 if one of two different ones has no lexicon terms.  Levels on
     which fewer than 4 subsets have terms count only if no level has more.
     """
 

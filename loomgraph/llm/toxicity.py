@@ -32,7 +32,9 @@ from .common import Scratch, apart, fold_of, table
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 5000
 #: Bounds of the sample of documents, with a posterior from a half and below it, that the classifier is trained on.
 TRAIN_TOXIC, TRAIN_CLEAN = 5000, 15000
-ROUNDS = 2
+#: EM ends when no probability moves by more than ``TOLERANCE``, or after ``ROUNDS`` passes over the voter counts;
+#: the tree follows the documents' posteriors in the first ``TREE_ROUNDS`` of them and then stays.
+ROUNDS, TREE_ROUNDS, TOLERANCE = 25, 4, 2e-3
 MINED_VOTERS = 96
 PREFIXES = range(4, 9)
 FOLDS, HELD_OUT = 4, 2
@@ -226,9 +228,13 @@ class LabelModel:
         self._estimate(known)
         for step in range(rounds):
             both = tuple(a + b for a, b in zip(known, corpus(self)))
-            if step == 2:
+            if 1 <= step < TREE_ROUNDS:
                 self.parent = self._tree(both)
+            before = self.p
             self._estimate(both)
+            self.rounds = step + 1
+            if step >= TREE_ROUNDS and np.abs(self.p - before).max() < TOLERANCE:
+                break
         return self
 
     def _estimate(self, by_class: tuple[Votes, Votes]) -> None:
@@ -317,7 +323,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         limit = F.when(F.col("y") == y, F.lit(int(s * 1_000_000))).otherwise(limit)
     rows = train.where(hashed < limit).select(F.col("doc_id").alias("__id"), "y").limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN))
     # at most that many ids: bounded, so they may be broadcast
-    chosen = docs.join(F.broadcast(rows), docs[id_col] == rows["__id"]).groupBy("__id").agg(F.first("y").alias("y"), F.min(text_col).alias("text"))
+    own = docs.select(F.col(id_col).alias("__of"), F.col(text_col).alias("text"))
+    chosen = own.join(F.broadcast(rows), F.col("__of") == F.col("__id")).groupBy("__id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
     got = sorted(chosen.collect(), key=lambda r: r["__id"])
     pdf = pd.DataFrame({"text": [r["text"] or "" for r in got], "y": np.array([r["y"] for r in got], dtype=int)})
     pdf["weight"] = [1 / share[y] for y in pdf["y"]]

@@ -355,6 +355,36 @@ def test_label_model_discounts_copies_of_a_voter():
     assert q[0] < q[1]  # one better voter against three copies of a worse one
 
 
+def test_label_model_learns_its_tree_from_all_documents():
+    rng = np.random.default_rng(4)
+
+    def votes(n, y, pair):
+        v = (rng.random((n, 6)) < np.where(y[:, None] == 1, 0.8, 0.1)).astype(np.int8)
+        v[:, pair[1]] = v[:, pair[0]]
+        return v
+
+    y = (rng.random(400) < 0.3).astype(int)
+    anchors = votes(400, y, (0, 1))  # among the anchors voters 0 and 1 are copies, in the corpus 4 and 5 are
+    z = (rng.random(40_000) < 0.3).astype(int)
+    corpus = votes(40_000, z, (4, 5))
+    model = toxicity.LabelModel()
+    both = lambda m: (lambda q: (toxicity.Votes.of(corpus, 1 - q), toxicity.Votes.of(corpus, q)))(m.posterior(corpus))
+    model.fit_over(anchors, np.ones(400), y, both, 30)
+    first = model._tree(tuple(toxicity.Votes.of(anchors, (y == c).astype(float)) for c in (0, 1)))
+    linked = lambda tree, i, j: tree[i] == j or tree[j] == i
+    assert linked(first, 0, 1) and not linked(first, 4, 5) and linked(model.parent, 4, 5) and toxicity.TREE_ROUNDS < model.rounds < 30
+    assert ((model.posterior(corpus) > 0.5) == z).mean() > 0.95
+
+
+def test_toxicity_with_clashing_columns(spark):
+    rows = [(i, "you idiot moron" if i % 3 == 0 else f"a fine day number {i}", 5, "x", 1) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int, __id string, n int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and {r["doc_id"] % 3 for r in kept.collect()} == {1, 2}
+    assert toxicity.score_documents(docs, labels).count() == 90
+
+
 def test_nnpu_recovers_the_prior():
     rng = np.random.default_rng(6)
     p = rng.normal(2, 1, (1500, 2))

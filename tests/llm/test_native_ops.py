@@ -142,14 +142,12 @@ def test_imatch_lexicon_and_fingerprints_by_definition(spark):
     assert set(band) == {of[w] for w in terms}
     got = {r["doc_id"]: r["f"] for r in d.select("doc_id", imatch.fingerprint("text", band).alias("f")).collect()}
     for i, a in enumerate(sets):
-        assert len(got[i]) == 64 and (all(h is None for h in got[i]) == (not a & terms))
-        assert sum(h is not None for h in got[i][:16]) <= len(a & terms)
+        assert len(got[i]) == 64
+        assert sum(h is not None for h in got[i][:16]) <= max(len(a & terms), 1)
         for j, b in enumerate(sets):
-            if a & terms == b & terms:
-                assert got[i] == got[j]
-            elif a & terms:
-                assert got[i] != got[j]
-    assert got[34] == got[30] and got[35] == got[32] == got[33]  # words out of the band count nowhere
+            # without a term of the band, a text is known by all its terms
+            assert (got[i] == got[j]) == (a & terms == b & terms and bool(a & terms or a == b))
+    assert got[31] == got[30] != got[34] and got[35] == got[32] == got[33]  # words out of the band count nowhere
     from pyspark.sql import functions as F
 
     pairs = [(i, j) for i in (0, 1, 5, 30, 32) for j in (0, 2, 30, 31, 35)]
@@ -157,6 +155,17 @@ def test_imatch_lexicon_and_fingerprints_by_definition(spark):
     assert [r[0] for r in like] == pytest.approx([_likeness(got[i], got[j]) for i, j in pairs])
 
 
+def test_imatch_likeness_without_lexicon_terms(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["one two", "two  ONE one", "three", None, " \n", "w " * 100_000]
+    f = {i: r[0] for i, r in enumerate(spark.createDataFrame(list(enumerate(texts)), "i long, text string").orderBy("i").select(imatch.fingerprint("text", [])).collect())}
+    pairs = [(i, j) for i in f for j in f]
+    got = spark.createDataFrame([(f[i], f[j]) for i, j in pairs], "a array<bigint>, b array<bigint>").select(imatch.likeness(F.col("a"), F.col("b"))).collect()
+    alike = lambda t: set((t or "").lower().split())
+    assert [r[0] for r in got] == [float(alike(texts[i]) == alike(texts[j])) for i, j in pairs]
+
+
 @pytest.mark.parametrize("ids", [[3, 5, 6, 100, 101, 5000, 9000], [-(2**63), 0, 7, 2**63 - 1], [4], [None, 1, 2], [*range(3000), 10**12], []])
 def test_edits_take_the_next_document(spark, ids):
     rows = [(i, None if k == 1 else f"é{k} own text of {i} " * (k % 5)) for k, i in enumerate(ids)]
@@ -221,6 +230,14 @@ def test_chat_log_folds_back_to_every_row(spark):
     assert sorted(t for _, _, _, t in folded) != sorted(r["text"] or "" for r in log.where("kind = 'message'").collect())  # messages alone are drafts
 
 
+@pytest.mark.parametrize("rows", [[(0, "user", None), (0, "user", "")], [(0, None, "a"), (0, "", "a")], [(0, "a\nb", "c"), (0, "a", "b\nc")], [(None, None, None)] * 3 + [(None, "", "x")]])
+def test_chat_keeps_turns_that_look_alike(spark, rows):
+    d = spark.createDataFrame([(1, *r) for r in rows], "conv_id long, turn long, role string, text string")
+    got = chat.digests(chat.render(chat.fold_events(chat.event_log(d)).withColumn("turn", chat.F.col("turn.turn")))).collect()
+    told = "".join(f"{r or ''}\n{t or ''}\n" for _, r, t in sorted(rows, key=lambda x: (x[1] or "", x[2] or "")))
+    assert [r["n_turns"] for r in got] == [len(rows)] and got[0]["turns_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+
+
 def test_op6_digests(spark, sf):
     got = {r["conv_id"]: r for r in chat.op6_chat(spark, sf).collect()}
     rows = spark.read.parquet(f"{sf}/conversations.parquet").orderBy("conv_id", "turn").collect()
