@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +11,44 @@ from .pattern import Pattern, Var
 from .schema import Schema
 
 
+class Deferred:
+    """A table that is made when it is first asked for, and once."""
+
+    def __init__(self, make: Callable[[], DataFrame]):
+        self._make, self._made = make, None
+
+    def get(self) -> DataFrame:
+        if self._made is None:
+            self._made = self._make()
+        return self._made
+
+
+class Tables(Mapping):
+    """Tables by name; deferred ones are made on access, not when an instance is copied."""
+
+    def __init__(self, tables: Mapping[str, DataFrame | Deferred]):
+        self._held = dict(tables._held if isinstance(tables, Tables) else tables)
+
+    def __getitem__(self, ob: str) -> DataFrame:
+        t = self._held[ob]
+        return t.get() if isinstance(t, Deferred) else t
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._held)
+
+    def __len__(self) -> int:
+        return len(self._held)
+
+    def but(self, tables: Mapping[str, DataFrame | Deferred]) -> Tables:
+        return Tables({**self._held, **tables})
+
+
 class Instance:
     """Immutable: every operation gives a new instance.  Tables have ``id``, a column per
     foreign key and per attribute; ids are stable (never renumbered)."""
 
-    def __init__(self, schema: Schema, tables: dict[str, DataFrame]):
-        self.schema, self.tables = schema, dict(tables)
+    def __init__(self, schema: Schema, tables: Mapping[str, DataFrame | Deferred]):
+        self.schema, self.tables = schema, Tables(tables)
 
     @staticmethod
     def of_pattern(spark: SparkSession, p: Pattern) -> tuple[Instance, dict]:
@@ -40,7 +74,11 @@ class Instance:
         return self.tables[ob]
 
     def replace(self, **tables: DataFrame) -> Instance:
-        return Instance(self.schema, {**self.tables, **tables})
+        return Instance(self.schema, self.tables.but(tables))
+
+    def empty(self) -> Instance:
+        """No rows in any table; columns as they are."""
+        return Instance(self.schema, {o: Deferred(lambda o=o: self[o].where(F.lit(False))) for o in self.schema.obs})
 
     def parts(self, ob: str) -> DataFrame:
         return self[ob].select("id")

@@ -126,7 +126,7 @@ def restrict(g: Instance, sub: Sub) -> Instance:
 
 
 def remove(g: Instance, gone: Sub) -> Instance:
-    return Instance(g.schema, {o: g[o].join(gone[o].select(F.col("id").alias("__i")), F.col("id") == F.col("__i"), "left_anti") if o in gone else g[o] for o in g.schema.obs})
+    return g.replace(**{o: g[o].join(d.select(F.col("id").alias("__i")), F.col("id") == F.col("__i"), "left_anti") for o, d in gone.items()})
 
 
 def next_ids(g: Instance, ob: str) -> DataFrame:

@@ -166,10 +166,10 @@ class Rule:
         image = {e: F.col(column_of((e[0], self._back(e)))) for e in self.right.image()}
         if self.semantics == "SPO" and whole is not None and self.added():
             # deletion wins: added rows that refer to deleted ones go, too
-            own = self._add(Instance(s, {o: t.where(F.lit(False)) for o, t in g.tables.items()}), placed, image)
-            own = A.remove(own, A._deleted_closure(own, whole))
             new = {e[0] for e in self.added()}
-            h = Instance(s, {o: t.unionByName(own[o], allowMissingColumns=True) if o in new else t for o, t in base.tables.items()})
+            own = self._add(g.empty(), placed, image)
+            own = A.remove(own, A._deleted_closure(own, whole))
+            h = base.replace(**{o: base[o].unionByName(own[o], allowMissingColumns=True) for o in new})
         else:
             h = self._add(base, placed, image)
         return self._glue(h, placed), placed
@@ -203,15 +203,15 @@ class Rule:
         return have[str(v.name)].cast(kind) if str(v.name) in have else F.lit(None).cast(kind)
 
     def _add(self, base: Instance, m: DataFrame, image: dict[Element, Column]) -> Instance:
-        s, tables = base.schema, dict(base.tables)
+        s, tables = base.schema, {}
         for e in self.added():
             cols = [F.col(f"new_{column_of(e)}").alias("id")]
             for h in s.homs_from(e[0]):
                 t = (s.homs[h][1], self.R.homs[h][e[1]])
                 cols.append((image[t] if t in image else F.col(f"new_{column_of(t)}")).alias(h))
             cols += [self._value(a, e, m).alias(a) for a in s.attrs_of(e[0])]
-            tables[e[0]] = tables[e[0]].unionByName(m.select(*cols), allowMissingColumns=True)
-        return Instance(s, tables)
+            tables[e[0]] = tables.get(e[0], base[e[0]]).unionByName(m.select(*cols), allowMissingColumns=True)
+        return base.replace(**tables)
 
     def _glue(self, h: Instance, m: DataFrame, columns: dict[Element, str] | None = None) -> Instance:
         """Merges what R merges."""

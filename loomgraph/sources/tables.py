@@ -5,12 +5,11 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from ..functions.ids import number_rows, shared_dir
-from ..instance import Instance
+from ..instance import Deferred, Instance
 from ..schema import Schema
 
 
@@ -24,32 +23,47 @@ class Binding:
 
 
 def bind(spark: SparkSession, folder: str, schema: Schema, bindings: dict[str, Binding]) -> Instance:
-    """An instance over ``<folder>/<table>.parquet``; columns are pruned to those that the schema names."""
-    tables = {}
-    for o, b in bindings.items():
-        df = spark.read.parquet(f"{folder}/{b.table}.parquet")
+    """An instance over ``<folder>/<table>.parquet``; columns are pruned to those that the schema names.
+
+    A table is read when it is first asked for; what a query doesn't use costs nothing.
+    """
+    return Instance(schema, {o: _lazy(spark, f"{folder}/{b.table}.parquet", schema, o, b) for o, b in bindings.items()})
+
+
+def _lazy(spark: SparkSession, path: str, schema: Schema, o: str, b: Binding) -> Deferred:
+    def read_() -> DataFrame:
+        df = spark.read.parquet(path)
         if isinstance(b.id, str) and b.id == "__row":
-            tables[o] = _numbered(spark, f"{folder}/{b.table}", _rows(df, b).select("id", *_columns(schema, o, b)))
-        else:
-            key = F.col(b.id) if isinstance(b.id, str) else b.id
-            tables[o] = df.select(key.cast("long").alias("id"), *_columns(schema, o, b))
-    return Instance(schema, tables)
+            return _numbered(spark, path, df, _columns(schema, o, b))
+        key = F.col(b.id) if isinstance(b.id, str) else b.id
+        return df.select(key.cast("long").alias("id"), *_columns(schema, o, b))
+
+    return Deferred(read_)
+
 
+_NUMBERED: dict[tuple, str] = {}
 
-_NUMBERED: dict[tuple[str, str, str], str] = {}
 
+def _version(df: DataFrame) -> tuple:
+    """Tells the files of a table, by path, size and time, from what they are after any change; reads no columns."""
+    files = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"), F.col("_metadata.file_modification_time").alias("t")).distinct()
+    return tuple(files.agg(F.count(F.lit(1)), F.sum("s"), F.sum(F.xxhash64("p", "s", "t").cast("decimal(38,0)"))).first())
 
-def _numbered(spark: SparkSession, source: str, rows: DataFrame) -> DataFrame:
-    """Rows with their numbers, written to the shared folder at the first call of a session and read from there after it.
 
-    Numbering sorts a table, and would do so again for each of its mentions in a plan.
+def _numbered(spark: SparkSession, path: str, df: DataFrame, columns: list[Column]) -> DataFrame:
+    """A table without a key: a row's id is its number in the order of all its columns (nulls first).
+
+    Numbered by ranges, so no task orders all rows, and written to the shared folder at
+    the first call of a session: numbering sorts a table, and would do so again for each
+    of its mentions in a plan.  Files that have changed since are numbered anew.
     """
-    key = (spark.sparkContext.applicationId, source, rows.schema.simpleString())
+    wanted = df.select(F.lit(0).cast("long").alias("id"), *columns).schema
+    key = (spark.sparkContext.applicationId, path, _version(df), wanted.simpleString())
     if key not in _NUMBERED:
-        path = f"{shared_dir(spark).rstrip('/')}/numbered-{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        _NUMBERED[key] = path
-    return spark.read.schema(rows.schema).parquet(_NUMBERED[key])
+        to = f"{shared_dir(spark).rstrip('/')}/numbered-{uuid.uuid4().hex}"
+        number_rows(df, df.columns, "__number").select(F.col("__number").cast("long").alias("id"), *columns).write.parquet(to)
+        _NUMBERED[key] = to
+    return spark.read.schema(wanted).parquet(_NUMBERED[key])
 
 
 def _columns(schema: Schema, o: str, b: Binding) -> list[Column]:
@@ -57,25 +71,6 @@ def _columns(schema: Schema, o: str, b: Binding) -> list[Column]:
     return keys + [F.col(b.columns.get(a, a)).alias(a) for a in schema.attrs_of(o)]
 
 
-def _rows(df: DataFrame, b: Binding) -> DataFrame:
-    """Tables without a key: the number of a row in the order of all its columns.
-
-    Numbered by ranges of the first column: counts per value of it come first, so no
-    task orders all rows.
-    """
-    lead = df.columns[0]
-    if not isinstance(df.schema[lead].dataType, NumericType):
-        return number_rows(df, df.columns, "id")
-    sizes = df.groupBy(F.col(lead).alias("__k")).agg(F.count(F.lit(1)).alias("__c"))
-    buckets = sizes.withColumn("__g", F.floor(F.col("__k") / 1024))
-    groups = buckets.groupBy("__g").agg(F.sum("__c").alias("__s"))
-    # a row per 1024 values of the first column
-    starts = groups.select(F.col("__g").alias("__h"), (F.sum("__s").over(Window.orderBy("__g")) - F.col("__s")).alias("__b"))
-    numbered = df.withColumn("__g", F.floor(F.col(lead) / 1024)).join(starts, F.col("__g") == F.col("__h"))
-    n = F.row_number().over(Window.partitionBy("__g").orderBy(*df.columns)) - 1 + F.col("__b")
-    return numbered.withColumn("id", n.cast("long")).drop("__g", "__h", "__b")
-
-
 STORE = Schema(
     ("Region", "Nation", "Customer", "Supplier", "Part", "Orders", "LineItem", "Event"),
     {

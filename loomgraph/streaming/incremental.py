@@ -26,7 +26,7 @@ from ..pattern import Pattern
 
 def delta_matches(p: Pattern, old: Instance, added: dict[str, DataFrame], monic=()) -> DataFrame | None:
     """Matches in ``old`` plus ``added`` that bind an added row; ``delta_rule`` names the branch."""
-    new = Instance(old.schema, {o: old[o].unionByName(added[o]) if o in added else old[o] for o in old.schema.obs})
+    new = old.replace(**{o: old[o].unionByName(rows) for o, rows in added.items()})
     out = None
     seats = [e for e in p.elements() if e[0] in added and e not in p.filled]
     for i, e in enumerate(seats):
@@ -71,7 +71,7 @@ class MatchView:
         """Adds rows; ids must be unused."""
         for i, p in enumerate(self.patterns):
             self._append(i, delta_matches(p, self.state, added, self.monic))
-        self.state = Instance(self.state.schema, {o: t.unionByName(added[o]) if o in added else t for o, t in self.state.tables.items()})
+        self.state = self.state.replace(**{o: self.state[o].unionByName(rows) for o, rows in added.items()})
         self.step += 1
 
     def _drop(self, gone: dict[str, DataFrame]) -> None:
@@ -98,8 +98,7 @@ class MatchView:
             self.replace(rule.apply(self.state, m).cut())
             return
         _, placed = rule.apply_with_maps(self.state, m)
-        empty = Instance(self.state.schema, {o: t.where(F.lit(False)) for o, t in self.state.tables.items()})
-        only = rule._add(empty, placed, {e: F.col(column_of((e[0], rule._back(e)))) for e in rule.right.image() if column_of((e[0], rule._back(e))) in placed.columns})
+        only = rule._add(self.state.empty(), placed, {e: F.col(column_of((e[0], rule._back(e)))) for e in rule.right.image() if column_of((e[0], rule._back(e))) in placed.columns})
         self.insert({o: cut(only[o]) for o in {e[0] for e in rule.added()}})
 
     def replace(self, after: Instance) -> None:
