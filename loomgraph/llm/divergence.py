@@ -29,49 +29,63 @@ SMOOTHING = 5
 SCALE = 1_000_000_000
 #: Ranks of terms that are reported.
 TOP_TERMS = 50
-#: Terms that a task holds before it hands its counts on.
-HELD = 200_000
+#: Terms of sources that a task holds before it hands its counts on.
+HELD = 600_000
 
 #: Lower-cases A-Z and blanks what is no letter: of ASCII only letters stay, of other characters all do.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[tuple[str, str], Counter] = {}
-    in_docs: dict[str, Counter] = {}
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
-        rows = [(g, s, t, n, 0) for (g, s), c in counts.items() for t, n in c.items()]
-        rows += [(g, None, t, 0, n) for g, c in in_docs.items() for t, n in c.items()]
-        counts.clear()
-        in_docs.clear()
-        for i in range(0, len(rows), 50_000):
-            g, s, t, n, d = zip(*rows[i : i + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(s, pa.string()), pa.array([x.decode() for x in t], pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=["part", "source", "term", "n", "docs"])
-
-    held = 0
+        for (part, source), (n, docs) in held.items():
+            terms = list(n)
+            for i in range(0, len(terms), 50_000):
+                some = terms[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(pa.scalar(part, pa.string()), len(some)), pa.repeat(pa.scalar(source, pa.string()), len(some)), pa.array(some, pa.string()), pa.array([n[t] for t in some], pa.int64()), pa.array([docs[t] for t in some], pa.int64())],
+                    names=["part", "source", "term", "n", "docs"],
+                )
+        held.clear()
+
+    size = 0
     for batch in batches:
         for part, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            own: Counter = Counter()
+            n, docs = held.setdefault((part, source), (Counter(), Counter()))
+            before, own = len(n), set()
             for block in blanked_blocks(text.as_buffer().to_pybytes() if text.is_valid else b"", _LETTERS):
-                own.update(block.split())
-            into, docs = counts.setdefault((part, source), Counter()), in_docs.setdefault(part, Counter())
-            before = len(into) + len(docs)
-            into.update(own)
-            docs.update(dict.fromkeys(own, 1))
-            held += len(into) + len(docs) - before
-            if held > HELD:
+                words = block.split()
+                n.update(words)
+                own.update(words)
+            docs.update(own)
+            size += len(n) - before
+            if size > HELD:
                 yield from out()
-                held = 0
+                size = 0
     yield from out()
 
 
 def term_counts(docs: DataFrame, part_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``(part, source, term, n, docs)``, summed within tasks: occurrences by source (``docs`` 0) and documents by part (``source`` null, ``n`` 0)."""
+    """``(part, source, term, n, docs)``: occurrences of terms, and documents that they are in, summed within tasks."""
     own = docs.select(F.coalesce(F.col(part_col), F.lit("")).alias("part"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.col(text_col).alias("text"))
     return own.mapInArrow(_tally, "part string, source string, term string, n long, docs long")
 
 
+def kept_counts(raw: DataFrame, min_docs: int) -> DataFrame:
+    """``(part, source, term, n, q_n)``: occurrences of kept terms by source, and in the whole part.
+
+    One shuffle, by part and term: sources, documents of the part and the part's own counts
+    are all added up where it has put them (rows of a term: one from each task and source
+    at most).
+    """
+    counted = raw.repartition("part", "term").groupBy("part", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    term = Window.partitionBy("part", "term")
+    whole = counted.select("part", "source", "term", "n", F.sum("n").over(term).alias("q_n"), F.sum("docs").over(term).alias("d"))
+    return whole.where(F.col("d") >= min_docs).drop("d")
+
+
 def share(count: Column, total: Column, kept: Column) -> Column:
     """``1 + floor(10^9 (count + 5) / (total + 5 kept))``, exactly."""
     exact = lambda c: c.cast("decimal(20,0)")
@@ -92,14 +106,10 @@ def source_divergence(docs: DataFrame, part_col: str = "lang", source_col: str =
     no rows; other columns are not looked at.  Writes counts to the shared folder.
     """
     scratch = Scratch(docs.sparkSession, "divergence")
-    raw = scratch.keep(term_counts(docs, part_col, source_col, text_col), "raw")
     groups = docs.select(F.coalesce(F.col(part_col), F.lit("")).alias("part"), F.coalesce(F.col(source_col), F.lit("")).alias("source")).distinct()
-    kept = raw.where("source is null").groupBy("part", "term").agg(F.sum("docs").alias("d")).where(F.col("d") >= min_docs).select(F.col("part").alias("kp"), F.col("term").alias("kt"))
     # counts of kept terms above zero, by source
-    counted = raw.where("source is not null").groupBy("part", "source", "term").agg(F.sum("n").alias("n"))
-    counts = scratch.keep(counted.join(kept, (F.col("part") == F.col("kp")) & (F.col("term") == F.col("kt"))).drop("kp", "kt"), "counts")
-    of_part = counts.groupBy("part", "term").agg(F.sum("n").alias("q_n"))
-    parts = of_part.groupBy("part").agg(F.count(F.lit(1)).alias("kept"), F.sum("q_n").alias("q_total"))
+    counts = scratch.keep(kept_counts(term_counts(docs, part_col, source_col, text_col), min_docs), "counts")
+    parts = counts.select("part", "term", "q_n").groupBy("part", "term").agg(F.max("q_n").alias("q_n")).groupBy("part").agg(F.count(F.lit(1)).alias("kept"), F.sum("q_n").alias("q_total"))
     # each source with its total and its language's figures
     totals = counts.groupBy(F.col("part").alias("p_"), F.col("source").alias("s_")).agg(F.sum("n").alias("total"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -107,7 +117,7 @@ def source_divergence(docs: DataFrame, part_col: str = "lang", source_col: str =
     sources = sources.join(parts.withColumnRenamed("part", "p_"), F.col("part") == F.col("p_"), "left").select("part", "source", zero("total"), zero("kept"), zero("q_total"))
     sources = scratch.keep(sources, "sources")
     pairs = _pairs(counts, sources, scratch)
-    return pairs.unionByName(_terms(counts, of_part, sources, top)).select(F.col("part").alias("lang"), "source", F.col("kind").alias("part"), "item", "value", "rank")
+    return pairs.unionByName(_terms(counts, sources, top)).select(F.col("part").alias("lang"), "source", F.col("kind").alias("part"), "item", "value", "rank")
 
 
 def _pairs(counts: DataFrame, sources: DataFrame, scratch: Scratch) -> DataFrame:
@@ -146,12 +156,10 @@ def _pairs(counts: DataFrame, sources: DataFrame, scratch: Scratch) -> DataFrame
     return ways.withColumn("rank", F.row_number().over(Window.partitionBy("part", "source").orderBy(F.desc("value"), "item")))
 
 
-def _terms(counts: DataFrame, of_part: DataFrame, sources: DataFrame, top: int) -> DataFrame:
+def _terms(counts: DataFrame, sources: DataFrame, top: int) -> DataFrame:
     """A source's terms whose share is above their language's."""
-    q = of_part.select(F.col("part").alias("p_"), F.col("term").alias("t_"), "q_n")
-    rows = counts.join(q, (F.col("part") == F.col("p_")) & (F.col("term") == F.col("t_"))).drop("p_", "t_")
     own = sources.select(F.col("part").alias("p_"), F.col("source").alias("s_"), "total", "kept", "q_total")
-    rows = rows.join(own, (F.col("part") == F.col("p_")) & (F.col("source") == F.col("s_"))).drop("p_", "s_")
+    rows = counts.join(own, (F.col("part") == F.col("p_")) & (F.col("source") == F.col("s_"))).drop("p_", "s_")
     p, q_ = share(F.col("n"), F.col("total"), F.col("kept")), share(F.col("q_n"), F.col("q_total"), F.col("kept"))
     above = rows.select("part", "source", F.lit("term").alias("kind"), F.col("term").alias("item"), (p - q_).alias("value")).where("value > 0")
     # a rank limit over a window: Spark keeps the first rows of each group before the shuffle already
