@@ -483,20 +483,6 @@ def view_after_changes(spark, sf_dir):
     return _cols(view.matches(), a="LineItem_a", b="LineItem_b")
 
 
-@query("select * from (values ('add', true), ('delete', true), ('merge', true)) t(rule, same)")
-def view_after_rules(spark, sf_dir):
-    """A view of paths, loops and edges after rules that add, delete and merge equals a search from scratch."""
-    g, _ = Instance.of_pattern(spark, graph(4, (1, 2), (2, 3), (3, 3), (3, 4)))
-    view, edge = MatchView([graph(3, (1, 2), (2, 3)), graph(1, (1, 1)), graph(2, (1, 2))], g), graph(2, (1, 2))
-    triangle = Rule(identity(edge), Morphism(edge, graph(3, (1, 2), (2, 3), (3, 1)), {"V": {1: 1, 2: 2}, "E": {1: 1}}))
-    contract = Rule(identity(edge), Morphism(edge, graph(1, (1, 1)), {"V": {1: 1, 2: 1}, "E": {1: 1}}))
-    rows = []
-    for name, r, e in (("add", triangle, 1), ("delete", _cut_edge(), 2), ("merge", contract, 4)):
-        view.rewrite(r, r.matches(view.state, {("E", 1): e}))
-        rows.append((name, view.validate()))
-    return _facts(spark, rows, "rule string, same boolean")
-
-
 @query("with c as (select a.i x, b.i y, (a.i * 7 + b.i * 3 + a.i * b.i) % 5 < 2 live from range(0, 12) a(i), range(0, 12) b(i)), n as (select c.x, c.y, c.live, count(*) filter (where d.live) k from c left join c d on abs(c.x - d.x) <= 1 and abs(c.y - d.y) <= 1 and (c.x, c.y) <> (d.x, d.y) group by 1, 2, 3) select cast(12 * x + y as bigint) id from n where k = 3 or (live and k = 2)")
 def game_of_life(spark, sf_dir):
     """A generation on a 12 x 12 board: who lives next is asked by conditions on numbers of living neighbours."""

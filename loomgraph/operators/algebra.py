@@ -6,6 +6,8 @@ of rewriting: the one glues rows (and what they refer to), the other makes copie
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,12 +145,10 @@ def coproduct(a: Instance, b: Instance) -> Instance:
     return Instance(a.schema, {o: moved(a, o, 0).unionByName(moved(b, o, 1)) for o in a.schema.obs})
 
 
-def merge(g: Instance, pairs: dict[str, DataFrame], check_attrs: bool = True) -> Instance:
-    """Glues the rows of each pair ``(a, b)``, and whatever their foreign keys point at.
+def merge_roots(g: Instance, pairs: dict[str, DataFrame]) -> Sub:
+    """``(node, root)`` per table for the rows that gluing the pairs ``(a, b)`` makes one, roots included.
 
-    Each class keeps its smallest id; every foreign key into it is rewired.  Attributes
-    of glued rows must agree, or ``ValueError``; a null agrees with any value and gives
-    way to it.
+    What glued rows refer to is glued as well; the root is the smallest id of its class.
     """
     from .components import components
 
@@ -166,14 +166,32 @@ def merge(g: Instance, pairs: dict[str, DataFrame], check_attrs: bool = True) ->
                 if t in roots:
                     rt = roots[t].select(F.col("node").alias("__n"), F.col("root").alias("__r"))
                     ends = ends.join(rt, F.col("k") == F.col("__n"), "left").select("root", F.coalesce("__r", "k").alias("k"))
-                new = cut(ends.groupBy("root").agg(F.min("k").alias("a"), F.max("k").alias("c"), F.collect_set("k").alias("ks")).where("a <> c").select("a", F.explode("ks").alias("b")).where("a <> b"))
+                # each target is linked to the smallest of its class, so no class is gathered in one row
+                least = ends.groupBy("root").agg(F.min("k").alias("a"), F.max("k").alias("c")).where("a <> c").select(F.col("root").alias("__root"), "a")
+                new = cut(ends.join(least, F.col("root") == F.col("__root")).select("a", F.col("k").alias("b")).where("a <> b").distinct())
                 if not new.isEmpty():
                     links[t] = links[t].unionAll(new) if t in links else new
                     more = True
         if not more:
-            break
-    out = {}
+            return roots
+
+
+def merge(g: Instance, pairs: dict[str, DataFrame], check_attrs: bool = True) -> Instance:
+    """Glues the rows of each pair ``(a, b)``, and whatever their foreign keys point at.
+
+    Each class keeps its smallest id; every foreign key into it is rewired.  Attributes
+    of glued rows must agree, or ``ValueError``; a null agrees with any value and gives
+    way to it.
+    """
+    return glue(g, merge_roots(g, pairs), check_attrs)
+
+
+def glue(g: Instance, roots: Sub, check_attrs: bool = True) -> Instance:
+    """``merge`` with classes that are known already."""
+    s, out = g.schema, {}
     for o in s.obs:
+        if o not in roots and not any(s.homs[h][1] in roots for h in s.homs_from(o)):
+            continue
         t = g[o]
         if o in roots:
             r = roots[o].select(F.col("node").alias("__n"), F.col("root").alias("__r"))
@@ -193,7 +211,24 @@ def merge(g: Instance, pairs: dict[str, DataFrame], check_attrs: bool = True) ->
                 r = roots[s.homs[h][1]].select(F.col("node").alias("__n"), F.col("root").alias("__r"))
                 t = t.join(r, F.col(h) == F.col("__n"), "left").withColumn(h, F.coalesce("__r", h)).drop("__n", "__r")
         out[o] = t.select(*g[o].columns)
-    return Instance(s, out)
+    return g.replace(**out)
+
+
+def touched_by_merge(g: Instance, roots: Sub) -> Sub:
+    """Ids of the rows that ``glue`` takes away or changes: glued rows, and those that refer to one under a name that it loses.
+
+    Tables are joined with the classes alone, so the work follows what refers to them.
+    """
+    s, out = g.schema, {}
+    for o in s.obs:
+        parts = [roots[o].select(F.col("node").alias("id"))] if o in roots else []
+        for h in s.homs_from(o):
+            if s.homs[h][1] in roots:
+                lost = roots[s.homs[h][1]].where("node <> root").select(F.col("node").alias("__n"))
+                parts.append(g[o].select("id", h).join(lost, F.col(h) == F.col("__n"), "left_semi").select("id"))
+        if parts:
+            out[o] = reduce(DataFrame.union, parts).distinct()
+    return out
 
 
 def pullback(f: dict[str, DataFrame], h: dict[str, DataFrame], a: Instance, b: Instance) -> Instance:

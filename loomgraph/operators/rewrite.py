@@ -34,6 +34,31 @@ from .match import column_of, first, match, shuffled, var_column
 SEMANTICS = ("DPO", "SPO", "SqPO", "CoNeg")
 
 
+@dataclass
+class Change:
+    """What an application does: ids removed and added per table, and ids of the rows that merging takes away or changes.
+
+    ``touched`` has ids of the state between addition and merging; those that are left in
+    ``after`` are rows that merging changed (or the one that a class is left as).
+    """
+
+    before: Instance
+    after: Instance
+    placed: DataFrame
+    removed: A.Sub
+    added: A.Sub
+    touched: A.Sub
+
+    def lost(self) -> A.Sub:
+        """Ids whose rows before are no longer there as they were."""
+        return {o: reduce(DataFrame.union, [d[o].select("id") for d in (self.removed, self.touched) if o in d]) for o in {*self.removed, *self.touched}}
+
+    def fresh(self) -> dict[str, DataFrame]:
+        """Rows of ``after`` that are new or changed."""
+        ids = {o: reduce(DataFrame.union, [d[o].select("id") for d in (self.added, self.touched) if o in d]) for o in {*self.added, *self.touched}}
+        return {o: self.after[o].join(i.select(F.col("id").alias("__f")), F.col("id") == F.col("__f"), "left_semi") for o, i in ids.items()}
+
+
 @dataclass
 class Rule:
     """``exprs``: attribute variable name of R -> function of a dict of L's variable columns to a Column."""
@@ -149,9 +174,18 @@ class Rule:
         """The result, and for each match its columns plus ``new_<table>_<element>`` for added elements."""
         if self.semantics == "SqPO":
             return self._sesqui(g, m)
+        d = self.change(g, m)
+        return d.after, d.placed
+
+    def change(self, g: Instance, m: DataFrame) -> Change:
+        """The result together with what it does to each table; not for SqPO, which renames rows everywhere."""
+        if self.semantics == "SqPO":
+            raise ValueError("a SqPO rule has no change by rows")
         s = g.schema
         placed = self._numbered(g, m)
         gone = {o: reduce(DataFrame.union, [placed.select(F.col(column_of(e)).alias("id")) for e in self.deleted() if e[0] == o]).distinct() for o in {e[0] for e in self.deleted()}}
+        removed: A.Sub = {}
+        base = g
         if gone:
             whole = A.subobject(g, gone)
             if self.semantics == "SPO":
@@ -160,19 +194,18 @@ class Rule:
                 bound = {o: [e for e in self.L.elements() if e[0] == o] for o in s.obs}
                 matched = A.subobject(g, {o: reduce(DataFrame.union, [placed.select(F.col(column_of(e)).alias("id")) for e in es]) for o, es in bound.items() if es})
                 whole = A.minus(whole, A.conegate(g, matched))
-            base = A.remove(g, whole)
-        else:
-            whole, base = None, g
+            removed = gone if self.semantics == "DPO" else whole
+            base = A.remove(g, removed)
         image = {e: F.col(column_of((e[0], self._back(e)))) for e in self.right.image()}
-        if self.semantics == "SPO" and whole is not None and self.added():
+        new = {e[0] for e in self.added()}
+        own = self._add(g.empty(), placed, image)
+        if self.semantics == "SPO" and removed and new:
             # deletion wins: added rows that refer to deleted ones go, too
-            new = {e[0] for e in self.added()}
-            own = self._add(g.empty(), placed, image)
-            own = A.remove(own, A._deleted_closure(own, whole))
-            h = base.replace(**{o: base[o].unionByName(own[o], allowMissingColumns=True) for o in new})
-        else:
-            h = self._add(base, placed, image)
-        return self._glue(h, placed), placed
+            own = A.remove(own, A._deleted_closure(own, removed))
+        h = base.replace(**{o: base[o].unionByName(own[o], allowMissingColumns=True) for o in new})
+        pairs = self._glue_pairs(placed)
+        roots = A.merge_roots(h, pairs) if pairs else {}
+        return Change(g, A.glue(h, roots) if roots else h, placed, removed, {o: own[o].select("id") for o in new}, A.touched_by_merge(h, roots) if roots else {})
 
     def _back(self, e: Element) -> object:
         """Some element of L that is preserved as ``e`` of R."""
@@ -213,14 +246,19 @@ class Rule:
             tables[e[0]] = tables.get(e[0], base[e[0]]).unionByName(m.select(*cols), allowMissingColumns=True)
         return base.replace(**tables)
 
-    def _glue(self, h: Instance, m: DataFrame, columns: dict[Element, str] | None = None) -> Instance:
-        """Merges what R merges."""
+    def _glue_pairs(self, m: DataFrame, columns: dict[Element, str] | None = None) -> dict[str, DataFrame]:
+        """Pairs of ids that R merges."""
         at = columns or {(o, k): column_of((o, self.left(o, k))) for o, k in self.I.elements()}
         pairs: dict[str, DataFrame] = {}
         for (o, _), ks in self.right.fibers().items():
             for k in ks[1:]:
                 p = m.select(F.col(at[(o, ks[0])]).alias("a"), F.col(at[(o, k)]).alias("b"))
                 pairs[o] = pairs[o].union(p) if o in pairs else p
+        return pairs
+
+    def _glue(self, h: Instance, m: DataFrame, columns: dict[Element, str] | None = None) -> Instance:
+        """Merges what R merges."""
+        pairs = self._glue_pairs(m, columns)
         return A.merge(h, pairs) if pairs else h
 
     def _sesqui(self, g: Instance, m: DataFrame) -> tuple[Instance, DataFrame]:

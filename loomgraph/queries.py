@@ -364,6 +364,3 @@ def rewrite_parallel(spark, sf_dir):
     R = Pattern(s, {"C": ["c"], "O": ["o"]}, {"oc": {"o": "c"}})
     r = Rule.of(L, R)
     return cut(r.independent(r.matches(own))).select(F.col("O_o").alias("o_orderkey"), F.col("C_c").alias("o_custkey"))
-
-
-from . import cases as _cases  # noqa: E402, F401  registers its queries

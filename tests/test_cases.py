@@ -5,12 +5,12 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from loomgraph import cases
-from loomgraph.queries import QUERIES, SQL
+from loomgraph import cases, cases_views
+from loomgraph.catalogue import QUERIES, SQL
 
-NAMES = [n for n, f in QUERIES.items() if f.__module__ == cases.__name__ and n in SQL]
+NAMES = [n for n, f in QUERIES.items() if f.__module__ in (cases.__name__, cases_views.__name__) and n in SQL]
 #: Small, and between them through most modules; all of them run in the driver's comparison.
-SOME = ["set_subpart", "hom_iso", "merge_values", "pullback_attrs", "ac_nested", "lift_monic", "commutes_paths", "migrate_rule", "spo_conflict", "pbpo_typed", "pbpo_values", "slice_hom", "merge_rule", "open_systems", "dist_weights", "view_after_changes"]
+SOME = ["set_subpart", "hom_iso", "merge_values", "pullback_attrs", "ac_nested", "lift_monic", "commutes_paths", "migrate_rule", "spo_conflict", "pbpo_typed", "pbpo_values", "slice_hom", "merge_rule", "open_systems", "dist_weights", "view_after_changes", *(n for n, f in QUERIES.items() if f.__module__ == cases_views.__name__)]
 
 
 @pytest.mark.parametrize("name", SOME)
