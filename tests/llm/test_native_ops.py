@@ -96,7 +96,7 @@ def test_line_dedup_repeated_rows_and_shared_ids(spark):
 
 @pytest.mark.parametrize("lines", [1, 2, 3, 5])
 def test_line_dedup_removes_planted_passages_whole(spark, lines):
-    passage = "\n".join(f"planted {i}" + (" word" * 60 if lines == 1 else "") for i in range(lines))
+    passage = "\n".join(f"planted {i}" + " word" * (60 // lines) for i in range(lines))
     texts = [f"own {i}\nmore {i * 7}\n{passage}\nend {i}\nlast {i}" for i in range(20)]
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), report=True).collect()}
     assert got[0]["text"] == texts[0] and (got[0]["n_chunks"], got[0]["n_removed"]) == (1, 0)
@@ -104,20 +104,63 @@ def test_line_dedup_removes_planted_passages_whole(spark, lines):
         assert got[i]["text"] == f"own {i}\nmore {i * 7}\nend {i}\nlast {i}" and (got[i]["n_chunks"], got[i]["n_removed"]) == (3, 1)
 
 
-def test_line_dedup_takes_equal_texts_whole(spark):
-    long = " ".join(f"w{i}" for i in range(60))
-    texts = ["\n".join(f"{n} line {i}" for i in range(n)) for n in range(2, 30)]
-    texts += ["\n".join(["same again"] * 40), "\n".join(["same again"] * 41 + ["own end"]), long, f"{long}\nend", "one short line"]
-    got = dict(line_dedup.dedup_lines(spark.createDataFrame([(k, t) for k, t in enumerate(texts + texts)], "doc_id long, text string")).collect())
-    copies = [got[len(texts) + k] for k in range(len(texts))]
-    assert copies[:-2] == [""] * (len(texts) - 2) and copies[-2:] == ["", "one short line"]
-    assert [got[k] for k in range(28)] == texts[:28] and got[28] == "same again" and got[len(texts) - 1] == "one short line"
-
-
-def test_line_dedup_keeps_first_lines_and_short_single_ones(spark):
-    texts = ["a b\nc d", "a b\nc d\ne f", "c d\n\ne f", "c d\ne f", "e f", "head\n\nx 1", "head\n\nx 2", "c d\n\ne f\n"]
+def deduped(docs, least=50):
+    """Lines in a run of over ``least`` words that stands earlier, in the texts of ``docs(id, text)``, by comparing every pair of places."""
+    lines = {i: t.split("\n") for i, t in docs}
+    places = sorted((i, k) for i, ls in lines.items() for k in range(len(ls)))
+    count = {x: len(WORD.findall(x)) for ls in lines.values() for x in ls}
+    at, gone = {}, set()
+    for i, k in places:
+        for j, m in at.get(lines[i][k], []):
+            n = 0
+            while k + n < len(lines[i]) and m + n < len(lines[j]) and lines[i][k + n] == lines[j][m + n]:
+                n += 1
+            run = list(range(k, k + n))
+            while run and not count[lines[i][run[-1]]]:  # a run begins and ends at lines with words
+                run.pop()
+            while run and not count[lines[i][run[0]]]:
+                run.pop(0)
+            if sum(count[lines[i][x]] for x in run) > least:
+                gone |= {(i, x) for x in run}
+        at.setdefault(lines[i][k], []).append((i, k))
+    out = {}
+    for i, ls in lines.items():
+        kept = [x for k, x in enumerate(ls) if (i, k) not in gone]
+        out[i] = "\n".join(ls) if len(kept) == len(ls) else "\n".join(kept) if any(count[x] for x in kept) else ""
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_dedup_equals_brute_force(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    sizes = [0, 1, 2, 5, 9, 20, 26, 49, 50, 51, 70]
+    pool = [" ".join(f"w{k}x{j}" for j in range(rng.choice(sizes))) + rng.choice(["", " ", "\t"]) for k in range(14)] + ["", " "]
+    docs = []
+    for i in range(60):
+        text = []
+        for _ in range(rng.randrange(6)):
+            a, n = rng.randrange(len(pool)), rng.randrange(1, 6)
+            text += pool[a : a + n] + [f"own {i} {rng.random()}"] * rng.randrange(2)
+        docs.append((i, "\n".join(text)))
+    docs += [(100, "y " * 60 + "\n" + "same\n" * 90), (101, "same\n" * 60), (102, "\n".join(["z"] * 70)), (103, "\n".join(["z"] * 70))]
+    got = dict(line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == deduped(docs) and any(got[i] != t for i, t in docs)
+
+
+def test_line_dedup_equals_brute_force_on_documents(spark, sf):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = dict(line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    want = deduped([d for d in docs if d[1]])
+    assert {i: t for i, t in got.items() if t} == {i: t for i, t in want.items() if t} and len(got) == len(docs)
+
+
+def test_line_dedup_keeps_short_passages_and_compares_blank_lines(spark):
+    body = " ".join(f"b{i}" for i in range(30))
+    texts = ["Yes.\nNo.", "He said\nYes.\nNo.\nthen left", f"{body}\n  \t \n{body} c", f"{body}\n\n{body} c", f"x\n{body}\n\n{body} c"]
     got = dict(line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
-    assert got == {0: "a b\nc d", 1: "e f", 2: "c d\n\ne f", 3: "", 4: "e f", 5: "head\n\nx 1", 6: "head\n\nx 2", 7: ""}
+    assert got == {**dict(enumerate(texts)), 4: "x"}
 
 
 def _likeness(a, b):
