@@ -9,10 +9,14 @@ min-hashes are candidates as well: with ``BANDS`` bands of ``ROWS``, a pair of s
 verified by the shingles of both texts (as 64-bit hashes), so nothing below the threshold
 links.
 
-A bucket's members are paired with the ``w`` before them in an order of the bucket's
-own, never all with all, so pairs grow with the members.  A first pass, with the
-fingerprints' links and ``w`` 1, connects large groups; a second looks further between
-what is still apart, and its links are followed between the first pass's roots alone.
+A first pass pairs each member of a bucket with the one before it, which with the
+fingerprints' links connects large groups.  A second one looks at buckets whose members are
+still apart, and its links are followed between the first pass's roots alone.  Of a bucket
+of ``WIDE`` members or fewer, all pairs are asked.  The members of larger ones, whatever their
+number, go through an exact join instead: shingles are ordered by rarity among these texts;
+a text's rarest shingles (as many as the similarity leaves to differ) must hold one that a
+similar text has among its own, so only those are joined, and the shorter text of a pair
+gives the fewer of them.  No bucket is cut and no pair above the threshold passed over.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from .simhash import blocks_for, first_rows, hamming_links
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BANDS, ROWS = 16, 4
 RADIUS = 4
-PASSES = (1, 8)
+WIDE = 32
 _PART = 1 << 10
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,6 +135,37 @@ def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
     return named.unionByName(equal).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
 
 
+def _tokens(shingle: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for cls, root, text in zip(pdf["cls"], pdf["root"], pdf["text"]):
+                found = shingles(text, shingle)
+                if digest(found) == cls:  # rows that share an id may bring another text
+                    yield pd.DataFrame({"cls": cls, "root": root, "n": len(found), "token": found.view(np.int64)})
+
+    return run
+
+
+def prefix_pairs(tokens: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)`` among texts of different roots, all that can have the similarity; from ``(cls, root, n, token)``, ``n`` distinct tokens a text.
+
+    Texts of ``n`` and ``m <= n`` tokens need ``s / (1 + s) (n + m)`` in common: ``s n`` at least, as
+    ``m >= s n``, and ``2 s / (1 + s) m``.  So the rarest ``n - s n + 1`` of the longer and
+    ``m - 2 s / (1 + s) m + 1`` of the shorter share one.
+    """
+    often = tokens.groupBy(F.col("token").alias("t_")).agg(F.count(F.lit(1)).alias("df"))
+    # a token of a single text can't be shared, but counts for the order
+    ranked = tokens.join(often, F.col("token") == F.col("t_")).groupBy("cls", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
+    least = lambda share: F.ceil(F.round(F.col("n") * F.lit(share), 6)).cast("int")
+    shared = lambda share: F.explode(F.transform(F.filter(F.slice("all", F.lit(1), F.col("n") - least(share) + 1), lambda x: x["df"] > 1), lambda x: x["token"]))
+    probe = ranked.select("cls", "root", "n", shared(similarity).alias("token"))
+    index = ranked.select(F.col("cls").alias("cls_"), F.col("root").alias("root_"), F.col("n").alias("m"), shared(2 * similarity / (1 + similarity)).alias("token_"))
+    shorter = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("cls_") < F.col("cls")))
+    close = F.col("m") >= F.col("n") * F.lit(similarity) - 1e-6
+    pairs = probe.join(index, (F.col("token") == F.col("token_")) & shorter & close & (F.col("root") != F.col("root_")))
+    return pairs.select(F.least("cls", "cls_").alias("a"), F.greatest("cls", "cls_").alias("b")).distinct()
+
+
 def _linked_on(joined: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, root)`` after more links: only the roots that they connect are gone through."""
     roots = links
@@ -159,23 +194,34 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     dealt = sketches.select("cls", "n", F.explode("keys").alias("key")).distinct()
     shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select("key")
     members = scratch.keep(dealt.join(shared, "key", "left_semi"), "members")
-    joined = None
-    for width in PASSES:
-        rooted, own_root = members, F.col("cls").alias("root")
-        if joined is not None:
-            rooted, own_root = members.join(joined, members.cls == joined.node, "left"), F.coalesce("root", "cls").alias("root")
-        order = rooted.select("key", "cls", "n", own_root).repartition("key").sortWithinPartitions("key", F.xxhash64("key", "cls"))
-        near = order.mapInPandas(_window_pairs(width, similarity), "a string, b string")
-        if joined is None:
-            near = near.unionByName(_fingerprint_pairs(classes))
+
+    def window_pairs(rows: DataFrame, width: int) -> DataFrame:
+        order = rows.select("key", "cls", "n", "root").repartition("key").sortWithinPartitions("key", F.xxhash64("key", "cls"))
+        return order.mapInPandas(_window_pairs(width, similarity), "a string, b string")
+
+    def text_of(some: DataFrame) -> DataFrame:
+        """Texts of classes, by their smallest ids."""
+        return own.join(some.join(classes.select("cls", "rep"), "cls"), F.col("id") == F.col("rep")).drop("id", "rep")
+
+    def verified(near: DataFrame) -> DataFrame:
         pairs = scratch.keep(near.distinct(), "pairs")
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls")
-        texts = scratch.keep(own.join(asked, F.col("id") == F.col("rep")).select("cls", "text"), "texts")
+        texts = scratch.keep(text_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()), "texts")
         left, right = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
         found = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(_verified(similarity, shingle), "a string, b string")
         links = scratch.keep(found.distinct(), "links")
-        joined = scratch.keep(components(links, scratch) if joined is None else _linked_on(joined, links, scratch), "joined")
         scratch.drop(pairs, texts)
+        return links
+
+    first = window_pairs(members.withColumn("root", F.col("cls")), 1).unionByName(_fingerprint_pairs(classes))
+    joined = scratch.keep(components(verified(first), scratch), "joined")
+    rooted = members.join(joined, members.cls == joined.node, "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
+    # buckets whose members are all one by now need no more
+    sizes = scratch.keep(rooted.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key", "c"), "sizes")
+    few = rooted.join(sizes.where(F.col("c") <= WIDE).select("key"), "key", "left_semi")
+    many = rooted.join(sizes.where(F.col("c") > WIDE).select("key"), "key", "left_semi").select("cls", "root").distinct()
+    tokens = scratch.keep(text_of(many).select("cls", "root", "text").mapInPandas(_tokens(shingle), "cls string, root string, n int, token long"), "tokens")
+    near = window_pairs(few, WIDE - 1).unionByName(prefix_pairs(tokens, similarity))
+    joined = scratch.keep(_linked_on(joined, verified(near), scratch), "joined")
     of_class = classes.join(joined, classes.cls == joined.node, "left").select(F.coalesce("root", "cls").alias("root"), "rep")
     stays = of_class.groupBy("root").agg(F.min("rep").alias("stays")).select("stays")
     return first_rows(docs, stays, id_col, text_col)

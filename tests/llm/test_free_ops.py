@@ -65,6 +65,48 @@ def test_pipeline_drops_texts_of_similarity_from_four_fifths(spark):
     assert cp.simhash(spark, docs.limit(0), "").count() == 0
 
 
+def _near_threshold(n, pairs, seed=3):
+    """Texts of 600 common and 100 own words each (similarity 0.73 to 0.75), some with a partner that has most of its own words, too."""
+    rng = np.random.default_rng(seed)
+    common = [f"c{k}" for k in range(600)]
+    texts = [common + [f"o{i}x{k}" for k in range(100)] for i in range(n)]
+    out = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    for i in range(pairs):
+        w = list(texts[i])
+        at = int(rng.integers(600, 640))
+        w[at : at + 55] = [f"p{i}x{k}" for k in range(55)]
+        out.append((10**6 + i, " ".join(w)))
+    return out
+
+
+def test_near_copies_in_large_buckets_are_all_found(spark):
+    rows = _near_threshold(550, 150)
+    own = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    assert 0.8 <= min(len(own[i] & own[10**6 + i]) / len(own[i] | own[10**6 + i]) for i in range(150)) < 0.85
+    assert len(own[200] & own[201]) / len(own[200] | own[201]) < 0.77
+    import corpus_pipeline as cp
+
+    got = {r["doc_id"] for r in cp.simhash(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert got == set(range(550))
+
+
+def test_prefix_pairs_hold_every_similar_pair(spark):
+    from loomgraph.llm import similar
+
+    rng = np.random.default_rng(11)
+    sets = {f"s{i:03d}": set(rng.integers(0, 60, int(rng.integers(1, 45))).tolist()) for i in range(150)}
+    for i in range(60):
+        x = set(sets[f"s{i:03d}"])
+        for _ in range(int(rng.integers(0, 6))):
+            x.symmetric_difference_update({int(rng.integers(0, 60))})
+        sets[f"t{i:03d}"] = x or {1}
+    rows = [(c, c if int(c[1:]) % 7 else "one", len(x), t) for c, x in sets.items() for t in x]
+    got = {(r["a"], r["b"]) for r in similar.prefix_pairs(spark.createDataFrame(rows, "cls string, root string, n int, token long"), 0.8).collect()}
+    root = {r[0]: r[1] for r in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert want and want <= got and len(got) < len(sets) ** 2 / 8
+
+
 def test_simhash_of_few_words():
     from xxhash import xxh64_intdigest
 
