@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from .cases import _cut_edge, _nation_graph, graph
 from .instance import Instance
+from .operators import algebra as A
+from .operators import open as op
 from .operators.constraints import lift, nac
 from .operators.factor import lifts, pull_back
 from .operators.match import match
 from .operators.rewrite import Rule
-from .pattern import Morphism, Pattern, Var, identity
+from .pattern import Morphism, Pattern, Var, identity, inclusion
 from .queries import _cols, _line_pattern, _with_line, pattern, query
 from .schema import Schema
 from .sources.tables import STORE, store
@@ -104,3 +106,65 @@ def view_after_rules(spark, sf_dir):
         view.rewrite(r, r.matches(view.state, {("E", 1): e}))
     return _cols(view.matches(), a="E_1", b="E_2")
 
+
+
+# -- open systems over tables
+
+
+def _small(spark, sf_dir) -> Instance:
+    g = store(spark, sf_dir)
+    return Instance(_SMALL, {o: g[o].select("id", *_SMALL.homs_from(o)) for o in _SMALL.obs})
+
+
+def _leg(rows, foot: str = "id") -> tuple:
+    return "Customer", rows.select(F.col(foot).alias("foot"), "id")
+
+
+@query("select c_custkey from customer where c_nationkey = 3 or exists(select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
+def open_boundary_stays(spark, sf_dir):
+    """Customers without pending orders are deleted, but for those on the boundary (of nation 3)."""
+    g = _small(spark, sf_dir)
+    g = g.replace(Orders=store(spark, sf_dir)["Orders"].where("o_orderstatus = 'P'").select("id", "o_custkey"))
+    c = Pattern(_SMALL, {"Customer": ["c"], "Nation": ["n"], "Region": ["r"]}, {"c_nationkey": {"c": "n"}, "n_regionkey": {"n": "r"}})
+    rest = c.restrict({("Nation", "n"), ("Region", "r")})
+    rule = op.OpenRule(inclusion(rest, c), identity(rest), [])
+    host = op.OpenInstance(g, [_leg(g["Customer"].where("c_nationkey = 3"))])
+    return rule.rewrite_in(host, None).body["Customer"].select(F.col("id").alias("c_custkey"))
+
+
+@query("with b as (select min(o_custkey) a, max(o_custkey) z from orders) select o_orderkey, case when o_custkey = b.z then b.a else o_custkey end c from orders, b where o_orderkey <> (select min(o_orderkey) from orders p, b where p.o_custkey = b.a)")
+def open_rewrite_host(spark, sf_dir):
+    """A host of orders with two boundary customers, one on each leg: the first order of one goes, and both become one."""
+    g = _small(spark, sf_dir)
+    L = Pattern(_SMALL, {"Orders": ["o"], "Customer": ["a", "z"]}, {"o_custkey": {"o": "a"}})
+    keep = L.restrict({e for e in L.elements() if e[0] != "Orders"})
+    R = Pattern(_SMALL, {"Customer": ["a"], "Nation": ["m"], "Region": ["q"]}, {"c_nationkey": {"a": "m"}, "n_regionkey": {"m": "q"}})
+    to = {"Customer": {"a": "a", "z": "a"}, "Nation": dict.fromkeys(keep.parts["Nation"], "m"), "Region": dict.fromkeys(keep.parts["Region"], "q")}
+    rule = op.OpenRule(inclusion(keep, L), Morphism(keep, R, to), [[("Customer", "a")], [("Customer", "z")]])
+    ends = g["Orders"].agg(F.min("o_custkey").alias("a"), F.max("o_custkey").alias("z"))
+    leg = lambda c: ("Customer", ends.select(F.lit(0).alias("foot"), F.col(c).alias("id")))
+    m = rule.rewrite_in(op.OpenInstance(g, [leg("a"), leg("z")]), 0)
+    return m.body["Orders"].select(F.col("id").alias("o_orderkey"), F.col("o_custkey").alias("c"))
+
+
+@query("select case o_orderstatus when 'F' then 2 * o_orderkey else 2 * o_orderkey + 1 end id, 2 * o_custkey c from orders where o_orderstatus in ('F', 'O')")
+def open_compose_hosts(spark, sf_dir):
+    """Finished orders and open ones are two systems with all customers on their boundaries; side by side they share customers."""
+    whole, g = store(spark, sf_dir), _small(spark, sf_dir)
+    part = lambda status: g.replace(Orders=whole["Orders"].where(F.col("o_orderstatus") == status).select("id", "o_custkey"))
+    leg = _leg(g["Customer"])
+    both = op.OpenInstance(part("F"), [leg]).beside(op.OpenInstance(part("O"), [leg]))
+    return both.body["Orders"].select("id", F.col("o_custkey").alias("c"))
+
+
+@query("select 'Customer' ob, 3 * c_custkey src, c_custkey tgt from customer union all select 'Customer', 3 * c_custkey + 1, c_custkey from customer union all select 'Customer', 3 * c_custkey + 2, c_custkey from customer where c_nationkey <> 3 union all select 'Nation', 3 * n_nationkey, n_nationkey from nation union all select 'Nation', 3 * n_nationkey + 2, n_nationkey from nation where n_nationkey not in (select c_nationkey from customer where c_nationkey = 3)")
+def colimit_map(spark, sf_dir):
+    """Three copies of customers and nations, the first two glued along all nations, the last two along the customers of nation 3; the map that goes back to the one table."""
+    g, s = store(spark, sf_dir), Schema(("Nation", "Customer"), {"c_nationkey": ("Customer", "Nation")})
+    own = Instance(s, {"Nation": g["Nation"].select("id"), "Customer": g["Customer"].select("id", "c_nationkey")})
+    same = lambda rows: rows.select(F.col("id").alias("src"), F.col("id").alias("tgt"))
+    nations, some = {"Nation": same(own["Nation"])}, {"Customer": same(own["Customer"].where("c_nationkey = 3"))}
+    _, into = A.colimit([own, own, own], [[(0, nations), (1, nations)], [(1, some), (2, some)]])
+    whole = {o: same(own[o]) for o in s.obs}
+    out = A.universal(into, [whole, whole, whole])
+    return out["Customer"].withColumn("ob", F.lit("Customer")).unionByName(out["Nation"].withColumn("ob", F.lit("Nation")))

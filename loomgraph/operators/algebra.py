@@ -145,6 +145,64 @@ def coproduct(a: Instance, b: Instance) -> Instance:
     return Instance(a.schema, {o: moved(a, o, 0).unionByName(moved(b, o, 1)) for o in a.schema.obs})
 
 
+def coproduct_of(parts: list[Instance]) -> Instance:
+    """Disjoint union of several: of ``k`` instances, ids of the ``j``-th become ``k n + j``."""
+    s, k = parts[0].schema, len(parts)
+
+    def moved(g: Instance, o: str, j: int) -> DataFrame:
+        keys = {"id", *s.homs_from(o)}
+        return g[o].select(*[(F.col(c) * k + j).alias(c) if c in keys else F.col(c) for c in ["id", *s.homs_from(o), *s.attrs_of(o)]])
+
+    return Instance(s, {o: reduce(DataFrame.unionByName, [moved(g, o, j) for j, g in enumerate(parts)]) for o in s.obs})
+
+
+def colimit(parts: list[Instance], relations: list[list[tuple[int, Sub]]], check_attrs: bool = True) -> tuple[Instance, list[Sub]]:
+    """The colimit of a bipartite diagram, and the maps of its parts into it.
+
+    A relation is an instance of pairs (or more): for each part that it goes to, the part's
+    number and a map table -> DataFrame(src, tgt); what has one ``src`` is glued, with what it
+    refers to.  All relations are glued in one run of components.  Ids are those of
+    ``coproduct_of``, of glued ones the smallest; attributes as ``merge`` has them.
+    """
+    s, k = parts[0].schema, len(parts)
+    whole = coproduct_of(parts)
+    pairs: dict[str, DataFrame] = {}
+    for legs in relations:
+        (j, first), *others = legs
+        for i, f in others:
+            for o in set(first) & set(f):
+                a = first[o].select(F.col("src").alias("__s"), (F.col("tgt") * k + j).alias("a"))
+                b = f[o].select(F.col("src").alias("__r"), (F.col("tgt") * k + i).alias("b"))
+                p = a.join(b, F.col("__s") == F.col("__r")).select("a", "b")
+                pairs[o] = pairs[o].union(p) if o in pairs else p
+    roots = merge_roots(whole, pairs) if pairs else {}
+    into = []
+    for j, g in enumerate(parts):
+        maps = {}
+        for o in s.obs:
+            ids = g[o].select(F.col("id").alias("src"), (F.col("id") * k + j).alias("tgt"))
+            if o in roots:
+                ids = ids.join(roots[o], F.col("tgt") == F.col("node"), "left").select("src", F.coalesce("root", "tgt").alias("tgt"))
+            maps[o] = ids
+        into.append(maps)
+    return glue(whole, roots, check_attrs), into
+
+
+def universal(into: list[Sub], cocone: list[Sub]) -> Sub:
+    """The map out of a colimit that its cocone (a map of each part to one instance) induces; ``ValueError`` if the cocone doesn't commute."""
+    out = {}
+    for o in into[0]:
+        rows = []
+        for f, u in zip(into, cocone):
+            if o in u:
+                rows.append(f[o].join(u[o].select(F.col("src").alias("__s"), F.col("tgt").alias("__t")), F.col("src") == F.col("__s")).select(F.col("tgt").alias("src"), F.col("__t").alias("tgt")))
+        if rows:
+            out[o] = cut(reduce(DataFrame.union, rows).distinct())
+            if not out[o].groupBy("src").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+                raise ValueError(f"the maps to {o} differ on what is glued")
+    return out
+
+
 def merge_roots(g: Instance, pairs: dict[str, DataFrame]) -> Sub:
     """``(node, root)`` per table for the rows that gluing the pairs ``(a, b)`` makes one, roots included.
 

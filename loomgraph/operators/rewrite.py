@@ -48,6 +48,7 @@ class Change:
     removed: A.Sub
     added: A.Sub
     touched: A.Sub
+    roots: A.Sub = field(default_factory=dict)  # (node, root) of what was merged
 
     def lost(self) -> A.Sub:
         """Ids whose rows before are no longer there as they were."""
@@ -111,8 +112,8 @@ class Rule:
 
     def candidates(self, g: Instance, initial=None, monic=None) -> DataFrame:
         """Matches of L that satisfy the application conditions; gluing is not checked."""
-        # cloning and co-negation look at all that is matched, the others at named elements
-        m = match(self.L, g, self.monic if monic is None else monic, initial, prune=self.semantics in ("DPO", "SPO"))
+        # cloning, merging and co-negation look at all that is matched, the others at named elements
+        m = match(self.L, g, self.monic if monic is None else monic, initial, prune=self.semantics in ("DPO", "SPO") and not self.right.fibers())
         for c in self.conditions:
             m = c.holds(m, g)
         return m
@@ -121,13 +122,16 @@ class Rule:
         """Acceptable matches: conditions and, for DPO, the gluing condition."""
         monic = True if self.semantics in ("SqPO", "CoNeg") else None
         m = self.candidates(g, initial, monic)
-        if self.semantics == "DPO":
-            m = self.identification(m)
-            v = self.dangling(m, g)
-            if v is not None:
-                keys = _keys(m)
-                bad = v.select(*[F.col(c).alias(f"__{c}") for c in keys]).distinct()
-                m = m.join(bad, reduce(lambda x, y: x & y, [F.col(c) == F.col(f"__{c}") for c in keys]), "left_anti")
+        return self.gluable(m, g) if self.semantics == "DPO" else m
+
+    def gluable(self, m: DataFrame, g: Instance) -> DataFrame:
+        """Matches that identify no deleted element with another and leave no row that refers to one."""
+        m = self.identification(m)
+        v = self.dangling(m, g)
+        if v is not None:
+            keys = _keys(m)
+            bad = v.select(*[F.col(c).alias(f"__{c}") for c in keys]).distinct()
+            m = m.join(bad, reduce(lambda x, y: x & y, [F.col(c) == F.col(f"__{c}") for c in keys]), "left_anti")
         return m
 
     def identification(self, m: DataFrame) -> DataFrame:
@@ -205,7 +209,7 @@ class Rule:
         h = base.replace(**{o: base[o].unionByName(own[o], allowMissingColumns=True) for o in new})
         pairs = self._glue_pairs(placed)
         roots = A.merge_roots(h, pairs) if pairs else {}
-        return Change(g, A.glue(h, roots) if roots else h, placed, removed, {o: own[o].select("id") for o in new}, A.touched_by_merge(h, roots) if roots else {})
+        return Change(g, A.glue(h, roots) if roots else h, placed, removed, {o: own[o].select("id") for o in new}, A.touched_by_merge(h, roots) if roots else {}, roots)
 
     def _back(self, e: Element) -> object:
         """Some element of L that is preserved as ``e`` of R."""
