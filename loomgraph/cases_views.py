@@ -11,8 +11,12 @@ from .operators import open as op
 from .operators.constraints import lift, nac
 from .operators.factor import lifts, pull_back
 from .operators.match import match
+from .operators.pbpo import TypedRule, partial_abstract
+from .operators.program import compile_rule
 from .operators.rewrite import Rule
 from .pattern import Morphism, Pattern, Var, identity, inclusion
+from .plans import schedule as S
+from .plans.mealy import walk
 from .queries import _cols, _line_pattern, _with_line, pattern, query
 from .schema import Schema
 from .sources.tables import STORE, store
@@ -168,3 +172,111 @@ def colimit_map(spark, sf_dir):
     whole = {o: same(own[o]) for o in s.obs}
     out = A.universal(into, [whole, whole, whole])
     return out["Customer"].withColumn("ob", F.lit("Customer")).unionByName(out["Nation"].withColumn("ob", F.lit("Nation")))
+
+
+# -- rules controlled by typings
+
+
+@query("select c_custkey origin, count(*) n, count(distinct c) nations from (select c_custkey, c_nationkey c from customer union all select c_custkey, -1 from customer where c_nationkey = 3) group by 1")
+def pbpo_deep_copy(spark, sf_dir):
+    """A nation is copied with all its customers: a customer's type follows from its nation's, by search."""
+    s = Schema(("Nation", "Customer"), {"c_nationkey": ("Customer", "Nation")}, {"origin": ("Customer", "bigint")})
+    g0 = store(spark, sf_dir)
+    g = Instance(s, {"Nation": g0["Nation"].select("id"), "Customer": g0["Customer"].select("id", "c_nationkey", F.col("id").alias("origin"))})
+    L = Pattern(s, {"Nation": ["x"]})
+    two = Pattern(s, {"Nation": ["x1", "x2"]})
+    types = Pattern(s, {"Nation": ["x", "other"], "Customer": ["deep", "rest"]}, {"c_nationkey": {"deep": "x", "rest": "other"}})
+    copies = Pattern(s, {"Nation": ["x1", "x2", "other"], "Customer": ["deep1", "deep2", "rest"]}, {"c_nationkey": {"deep1": "x1", "deep2": "x2", "rest": "other"}})
+    back = {"Nation": {"x1": "x", "x2": "x", "other": "other"}, "Customer": {"deep1": "deep", "deep2": "deep", "rest": "rest"}}
+    rule = TypedRule(Morphism(two, L, {"Nation": {"x1": "x", "x2": "x"}}), identity(two), Morphism(L, types, {"Nation": {"x": "x"}}), Morphism(two, copies, {"Nation": {"x1": "x1", "x2": "x2"}}), Morphism(copies, types, back))
+    m = match(L, g, initial={("Nation", "x"): 3})
+    out = rule.apply(g, m, rule.typing(g, m))["Customer"]
+    return out.groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c_nationkey").alias("nations"))
+
+
+@query("select r.r_regionkey m, string_agg(k.r_regionkey || ':' || t.t, ',' order by k.r_regionkey) types from region r, region k, (select 0 i union all select 1) b0, (select 0 i union all select 1) b1, (select 0 i union all select 1) b2, (select 0 i union all select 1) b3, (select 0 i union all select 1) b4, (select 'r' t union all select 'a' union all select 'b') t where t.t = case when k.r_regionkey = r.r_regionkey then 'r' when [b0.i, b1.i, b2.i, b3.i, b4.i][k.r_regionkey + 1] = 0 then 'a' else 'b' end and [b0.i, b1.i, b2.i, b3.i, b4.i][r.r_regionkey + 1] = 0 group by r.r_regionkey, b0.i, b1.i, b2.i, b3.i, b4.i having count(*) filter (where t.t = 'b') <= 2")
+def pbpo_typings(spark, sf_dir):
+    """Every region matched in turn; the others are each of one of two types, and nations follow; typings with at most two regions of the second type, all as rows."""
+    s = Schema(("Region", "Nation"), {"n_regionkey": ("Nation", "Region")})
+    g0 = store(spark, sf_dir)
+    g = Instance(s, {"Region": g0["Region"].select("id"), "Nation": g0["Nation"].select("id", "n_regionkey")})
+    L = Pattern(s, {"Region": ["r"]})
+    types = Pattern(s, {"Region": ["r", "a", "b"], "Nation": ["nr", "na", "nb"]}, {"n_regionkey": {"nr": "r", "na": "a", "nb": "b"}})
+    few = lambda t, _: t["Region"].groupBy("b").agg(F.sum((F.col("type") == "b").cast("int")).alias("n")).where("n <= 2")
+    rule = TypedRule(identity(L), identity(L), Morphism(L, types, {"Region": {"r": "r"}}), Morphism(L, types, {"Region": {"r": "r"}}), identity(types), lcs=[few])
+    m, found, kinds = rule.all_typings(g, rule.matches(g))
+    told = kinds["Region"].groupBy("b").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "type"))), lambda x: F.concat(x["id"], F.lit(":"), x["type"])), ",").alias("types"))
+    named = found.join(m.select(F.col("b").alias("of_"), F.col("Region_r").alias("m")), F.col("of") == F.col("of_")).select(F.col("b").alias("b_"), "m")
+    return told.join(named, F.col("b") == F.col("b_")).select("m", "types")
+
+
+@query("select 0 b, c_custkey id, cast(null as double) as value, case when c_custkey = x.i then 'L.bal' else 'Customer.' || c_custkey || '.c_acctbal' end as variable from customer, (select min(c_custkey) i from customer) x")
+def pbpo_partial_abstract(spark, sf_dir):
+    """Customers with balances freed, but for the one that is matched, whose variable is the pattern's."""
+    s = Schema(("Customer",), {}, {"c_acctbal": ("Customer", "double")})
+    g = Instance(s, {"Customer": store(spark, sf_dir)["Customer"].select("id", "c_acctbal")})
+    L = Pattern(s, {"Customer": ["c"]}, attrs={"c_acctbal": {"c": Var("bal")}})
+    first_ = g["Customer"].agg(F.min("id").alias("Customer_c"))
+    return partial_abstract(L, match(L, g, initial=first_).withColumn("b", F.lit(0)), g)["c_acctbal"]
+
+
+# -- compiled rules
+
+
+@query("with x as (select l_orderkey k, count(*) n from lineitem where l_returnflag = 'R' group by 1) select o_orderkey, case when x.k is null then o_orderstatus else 'R' end status, count(*) n, cast(sum(case when l_returnflag = 'R' then 2 * l_quantity + 1 else l_quantity end) as bigint) q from orders join lineitem on l_orderkey = o_orderkey left join x on x.k = o_orderkey group by all")
+def compiled_rule(spark, sf_dir):
+    """A rule compiled once and run on two halves of the orders: a line flagged R gives way to one of twice its quantity and one, and its order gets the status R."""
+    g = store(spark, sf_dir)
+    keys = {"l_orderkey": {"l": "o"}, "l_partkey": {"l": "p"}, "l_suppkey": {"l": "s"}}
+    L = pattern({"LineItem": ["l"], "Orders": ["o"], "Part": ["p"], "Supplier": ["s"]}, keys, {"l_returnflag": {"l": "R"}, "l_quantity": {"l": Var("q")}})
+    keep = L.abstract().restrict({e for e in L.elements() if e[0] != "LineItem"})
+    homs_ = {h: {("z" if k == "l" else k): v for k, v in f.items()} for h, f in L.homs.items()}
+    R = Pattern(STORE, {**keep.parts, "LineItem": ["z"]}, homs_, {"o_orderstatus": {"o": "R"}, "l_returnflag": {"z": "N"}, "l_linestatus": {"z": "N"}, "l_quantity": {"z": Var("more")}})
+    program = compile_rule(Rule(inclusion(keep, L), inclusion(keep, R), exprs={"more": lambda v: v["q"] * 2 + 1}))
+    out = None
+    for half in (0, 1):
+        part = g.replace(Orders=g["Orders"].where(F.col("id") % 2 == half), LineItem=g["LineItem"].where(F.col("l_orderkey") % 2 == half))
+        h = program.run(part)
+        lines = h["LineItem"].select("l_orderkey", "l_quantity")
+        found = h["Orders"].join(lines, F.col("id") == F.col("l_orderkey")).groupBy(F.col("id").alias("o_orderkey"), F.col("o_orderstatus").alias("status"))
+        found = found.agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("long").alias("q"))
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
+# -- agents in batches, weighted trajectories
+
+
+@query("select o_custkey c, count(*) n from (select o_custkey from orders where o_orderstatus = 'P' union all select c_custkey from customer union all select o_custkey from orders where o_orderstatus = 'F' and o_orderkey not in (select min(o_orderkey) from orders where o_orderstatus = 'F' group by o_custkey)) group by 1")
+def schedule_batch(spark, sf_dir):
+    """All customers are agents at once: each gets a new order, and loses its first finished one."""
+    whole = store(spark, sf_dir)
+    s = _SMALL.extend(attrs={"o_orderstatus": ("Orders", "string")})
+    g = Instance(s, {o: whole[o].select("id", *s.homs_from(o), *s.attrs_of(o)) for o in s.obs})
+    g = g.replace(Orders=g["Orders"].where("o_orderstatus in ('F', 'P')"))
+    named = {"Customer": ["c"], "Nation": ["n"], "Region": ["r"]}
+    keys = {"c_nationkey": {"c": "n"}, "n_regionkey": {"n": "r"}}
+    c = Pattern(s, named, keys)
+    order = lambda status: Pattern(s, {**named, "Orders": ["o"]}, {**keys, "o_custkey": {"o": "c"}}, {"o_orderstatus": {"o": status}})
+    add = Rule(identity(c), inclusion(c, order("N")))
+    drop = Rule(inclusion(c, order("F")), identity(c))
+    here = {("Customer", "c"): ("Customer", "c")}
+    batch = S.AgentBatch("customers", c, [S.RuleApp("add", add, c, here), S.RuleApp("drop", drop, c, here)])
+    world, *_ = S.singleton(batch).run(g)
+    return world["Orders"].groupBy(F.col("o_custkey").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_MOVES = "with e as (select user_id, event_type a, lead(event_type) over (partition by user_id order by ts, event_id) b from events), t as (select user_id, a, b, count(*) num, (sum(count(*)) over (partition by user_id, a))::bigint den from e where b is not null group by 1, 2, 3), s as (select user_id, arg_min(event_type, (ts, event_id)) event_type from events group by 1)"
+
+
+@query(f"{_MOVES}, w as (select user_id, event_type, 1::bigint num, 1::bigint den, '' path, 0 k, false done from s), w1 as (select w.user_id, coalesce(t.b, event_type) event_type, w.num * coalesce(t.num, 1) num, w.den * coalesce(t.den, 1) den, coalesce(t.b, '') path, t.b is null done from w left join t on w.user_id = t.user_id and w.event_type = t.a), w2 as (select w1.user_id, coalesce(t.b, event_type) event_type, w1.num * coalesce(t.num, 1) num, w1.den * coalesce(t.den, 1) den, case when t.b is null then path when path = '' then t.b else path || ',' || t.b end path, t.b is null done from w1 left join t on not w1.done and w1.user_id = t.user_id and w1.event_type = t.a) select * from w2")
+def weighted_walk(spark, sf_dir):
+    """Two steps on from each user's first event, along the moves between event types that this user has made, with exact chances; the way is written down."""
+    from pyspark.sql import Window
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "ts", "event_id")
+    turn = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    pairs = e.withColumn("to_event_type", F.lead("event_type").over(turn)).where("to_event_type is not null").groupBy("user_id", "event_type", "to_event_type").agg(F.count(F.lit(1)).alias("num"))
+    moves = pairs.withColumn("den", F.sum("num").over(Window.partitionBy("user_id", "event_type"))).withColumn("note", F.col("to_event_type"))
+    start = e.groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
+    return walk(start, moves, 2, ["user_id", "event_type"], "writer")

@@ -206,10 +206,15 @@ class Rule:
         if self.semantics == "SPO" and removed and new:
             # deletion wins: added rows that refer to deleted ones go, too
             own = A.remove(own, A._deleted_closure(own, removed))
-        h = base.replace(**{o: base[o].unionByName(own[o], allowMissingColumns=True) for o in new})
+        changed = self._changed(placed)
+        h = self._set(base, changed)
+        h = h.replace(**{o: h[o].unionByName(own[o], allowMissingColumns=True) for o in new})
         pairs = self._glue_pairs(placed)
         roots = A.merge_roots(h, pairs) if pairs else {}
-        return Change(g, A.glue(h, roots) if roots else h, placed, removed, {o: own[o].select("id") for o in new}, A.touched_by_merge(h, roots) if roots else {}, roots)
+        touched = A.touched_by_merge(h, roots) if roots else {}
+        for o, p in changed.items():
+            touched[o] = touched[o].union(p.select("id")).distinct() if o in touched else p.select("id")
+        return Change(g, A.glue(h, roots) if roots else h, placed, removed, {o: own[o].select("id") for o in new}, touched, roots)
 
     def _back(self, e: Element) -> object:
         """Some element of L that is preserved as ``e`` of R."""
@@ -239,6 +244,42 @@ class Rule:
             return self.exprs[v.name](have).cast(kind)
         return have[str(v.name)].cast(kind) if str(v.name) in have else F.lit(None).cast(kind)
 
+    def updates(self) -> dict[Element, dict[str, Element]]:
+        """Attributes that R changes on what is preserved: element of L -> attribute -> element of R that has the new value.
+
+        R changes a value if it has another constant than L there, a variable with an
+        expression, or another variable of L.
+        """
+        out: dict[Element, dict[str, Element]] = {}
+        known = self.L.vars()
+        for o, k in self.I.elements():
+            x, y = self.left(o, k), self.right(o, k)
+            for a in self.R.schema.attrs_of(o):
+                old, new = self.L.attrs[a][x], self.R.attrs[a][y]
+                if new != old and (not isinstance(new, Var) or new.name in self.exprs or new in known):
+                    out.setdefault((o, x), {})[a] = (o, y)
+        return out
+
+    def _changed(self, m: DataFrame) -> dict[str, DataFrame]:
+        """``(id, <attribute>, <attribute>__set)`` per table: new values of preserved rows, a row for each."""
+        out: dict[str, DataFrame] = {}
+        for e, values in self.updates().items():
+            attrs = self.R.schema.attrs_of(e[0])
+            cols = [(self._value(a, values[a], m) if a in values else F.lit(None).cast(self.R.schema.attrs[a][1])).alias(a) for a in attrs]
+            p = m.select(F.col(column_of(e)).alias("id"), *cols, *[F.lit(a in values).alias(f"{a}__set") for a in attrs])
+            out[e[0]] = out[e[0]].unionAll(p) if e[0] in out else p
+        # matches that share a row must agree on what becomes of it; so the largest value is any of them
+        return {o: p.groupBy("id").agg(*[F.max(c).alias(c) for c in p.columns if c != "id"]) for o, p in out.items()}
+
+    def _set(self, g: Instance, changed: dict[str, DataFrame]) -> Instance:
+        tables = {}
+        for o, p in changed.items():
+            attrs = g.schema.attrs_of(o)
+            p = p.select(F.col("id").alias("__p"), *[F.col(c).alias(f"__new_{c}") for c in p.columns if c != "id"])
+            t = g[o].join(p, F.col("id") == F.col("__p"), "left")
+            tables[o] = t.select(*[F.when(F.col(f"__new_{c}__set"), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in attrs else F.col(c) for c in g[o].columns])
+        return g.replace(**tables)
+
     def _add(self, base: Instance, m: DataFrame, image: dict[Element, Column]) -> Instance:
         s, tables = base.schema, {}
         for e in self.added():

@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 EFFECTS = ("maybe", "many", "dist")
 
@@ -83,6 +85,42 @@ def explore(machines: list[Machine], wires: dict[tuple[int, int], tuple[int, int
     return ended + [t for t, *_ in front]
 
 
+def walk(start: DataFrame, moves: DataFrame, steps: int, on: list[str], effect: str = "dist") -> DataFrame:
+    """Trajectories as rows: a frontier joined with a table of moves, step by step.
+
+    ``start``: columns ``on`` (the state) and any others that come along; ``moves``: ``on``,
+    ``to_<c>`` for states' columns that change, ``num`` and ``den`` (an exact weight; 1 where
+    absent) and ``note`` (text; the step's number where absent).  The result has the columns
+    of ``start`` at the place reached, ``num`` and ``den`` (products), ``path`` (the notes, for
+    ``writer``) and ``done``: no move leads on.  A trajectory that ends stays as it is.
+
+    ``effect``: ``many`` and ``dist`` follow every move, ``writer`` writes the notes down;
+    ``maybe`` raises ``ValueError`` where a state has several moves.  Weights are products of
+    64-bit integers: an overflow is an error.
+    """
+    if effect not in (*EFFECTS, "writer"):
+        raise ValueError(f"unknown effect {effect}")
+    from ..functions.ids import cut
+
+    one = F.lit(1).cast("long")
+    own = [F.col(c).alias(f"__{c}") for c in on]
+    to = [c for c in on if f"to_{c}" in moves.columns]
+    table = cut(moves.select(*own, *[F.col(f"to_{c}").alias(f"__to_{c}") for c in to], *[(F.col(c).cast("long") if c in moves.columns else one).alias(f"__{c}") for c in ("num", "den")], (F.col("note") if "note" in moves.columns else F.lit("*")).cast("string").alias("__note")))
+    if effect == "maybe" and not table.groupBy(*[f"__{c}" for c in on]).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise ValueError("a state has several moves")
+    front, ended = start.withColumns({"num": one, "den": one, "path": F.lit("")}), None
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on])
+    for _ in range(steps):
+        both = front.join(table, same, "left")
+        stuck = both.where(F.col("__num").isNull()).select(*front.columns, F.lit(True).alias("done"))
+        ended = cut(stuck) if ended is None else cut(ended.unionByName(stuck))
+        path = F.concat_ws(",", F.when(F.col("path") != "", F.col("path")), F.col("__note")) if effect == "writer" else F.col("path")
+        moved = {"num": F.col("num") * F.col("__num"), "den": F.col("den") * F.col("__den"), "path": path, **{c: F.col(f"__to_{c}") for c in to}}
+        front = cut(both.where(F.col("__num").isNotNull()).select(*[moved.get(c, F.col(c)).alias(c) for c in front.columns]))
+    last = front.withColumn("done", F.lit(False))
+    return last if ended is None else ended.unionByName(last)
+
+
 def as_table(spark: SparkSession, found: list[Trajectory]) -> DataFrame:
     """``(traj, step, box, port, value, num, den)``: weights as exact fractions."""
     rows = [(i, k, b, p, repr(v), t.weight.numerator, t.weight.denominator) for i, t in enumerate(found) for k, (b, p, v) in enumerate(t.steps)]
@@ -95,8 +133,6 @@ def fold_by_key(events: DataFrame, key: str, order: list[str], step, init, out:
     The state after the last event of each key.  A key's events are gathered, so this is
     for keys with a bounded number of events (streams: ``transformWithStateInPandas``).
     """
-    from pyspark.sql import functions as F
-
     cols = [F.col(c) for c in [*order, *[c for c in events.columns if c not in order and c != key]]]
     gathered = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("__e"))
     return gathered.select(key, F.aggregate("__e", init, step).alias(out))

@@ -140,6 +140,78 @@ class Query(Box):
         return None, 0, world, outer, "done"
 
 
+@dataclass
+class AgentBatch(Box):
+    """All agents at once: rules applied set-at-a-time, agents never leave their DataFrame.
+
+    The agents are the matches of ``shape`` (that extend the incoming agent by ``take``)
+    which satisfy ``condition``.  Each of ``steps`` is applied for every agent that is
+    still there: an agent's match is its first by ids; those of several agents that conflict
+    take turns, in rounds of maximal independent sets.  An agent without a match passes on
+    to the next step.  Exit 0 with the agent that came in; exit 1 with none if that one has
+    died meanwhile.  As one after another, if no agent's step makes a match for another's.
+    """
+
+    name: str
+    shape: Pattern
+    steps: list[RuleApp]
+    outer: Pattern | None = None
+    take: dict[Element, Element] = field(default_factory=dict)
+    condition: object = None
+
+    def __post_init__(self):
+        self.inputs, self.outputs = [self.outer], [self.outer, None]
+        for step in self.steps:
+            if step.give is not None:
+                raise ValueError(f"{step.name} gives another agent: agents of a batch stay what they are")
+
+    def agents(self, world: Instance, agent: Agent) -> DataFrame:
+        initial = agent.select(*[F.col(column_of(a)).alias(column_of(e)) for a, e in self.take.items()]) if agent is not None and self.take else None
+        found = match(self.shape, world, initial=initial)
+        if self.condition is not None:
+            found = self.condition.holds(found, world)
+        return found.select(*[c for c in agent_columns(self.shape) if c in found.columns])
+
+    def living(self, world: Instance, agents: DataFrame) -> DataFrame:
+        for e in self.shape.elements():
+            if column_of(e) in agents.columns:
+                agents = agents.join(world[e[0]].select(F.col("id").alias("__i")), F.col(column_of(e)) == F.col("__i"), "left_semi")
+        return agents
+
+    def apply_step(self, step: RuleApp, world: Instance, agents: DataFrame) -> tuple[Instance, int]:
+        """The world after one step for all agents, and how many rounds it took."""
+        key = {column_of(a): column_of(e) for a, e in step.take.items()}
+        left, rounds = cut(agents), 0
+        while True:
+            initial = self.living(world, left).select(*[F.col(a).alias(e) for a, e in key.items()]).distinct()
+            m = step.rule.matches(world, initial)
+            ids = [c for c in m.columns if not c.startswith("var_")]
+            own = list(key.values())
+            best = m.groupBy(*own).agg(F.min(F.struct(*ids)).alias("__best")).select("__best.*")
+            same = F.lit(True)
+            for c in ids:
+                same = same & (F.col(c) == F.col(f"__{c}"))
+            m = m.join(best.select(*[F.col(c).alias(f"__{c}") for c in ids]), same, "left_semi")
+            chosen = cut(step.rule.independent(cut(m)))
+            if chosen.isEmpty():
+                return world, rounds
+            world, rounds = step.rule.apply(world, chosen).cut(), rounds + 1
+            done = chosen.select(*[F.col(e).alias(f"__{e}") for e in own]).distinct()
+            took = F.lit(True)
+            for a, e in key.items():
+                took = took & (F.col(a) == F.col(f"__{e}"))
+            left = cut(left.join(done, took, "left_anti"))
+
+    def update(self, state, port, world, agent, step):
+        found, rounds = cut(self.agents(world, agent)), 0
+        for s in self.steps:
+            world, n = self.apply_step(s, world, found)
+            rounds += n
+        if agent is not None and self.outer is not None and not alive(world, self.outer, agent):
+            return state, 1, world, None, f"{rounds} rounds, agent died"
+        return state, 0, world, agent, f"{rounds} rounds"
+
+
 @dataclass
 class Weaken(Box):
     """Keeps part of the agent: ``f: smaller -> larger`` shape."""
