@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from .instance import Instance
 from .operators import algebra as A
-from .operators import open as op
 from .operators.components import components
 from .operators.constraints import Commutes, Const, Exists, lift, nac
 from .operators.match import first, match
@@ -16,9 +15,8 @@ from .operators.migrate import Migrate, typed_pattern
 from .operators.pbpo import TypedRule
 from .operators.process import dependencies, step_events
 from .operators.rewrite import Rule
-from .pattern import Morphism, Pattern, Var, homs, identity, inclusion, is_isomorphic, product_pattern, pushout, quotients, subobject_classifier, terminal
+from .pattern import Morphism, Pattern, Var, identity, inclusion
 from .plans import schedule as S
-from .plans.mealy import Machine, explore
 from .queries import LI, _cols, _with_line, one, pattern, query
 from .schema import GRAPH, Schema
 from .sources.tables import STORE, read, store, write
@@ -119,15 +117,6 @@ def hom_several_bound(spark, sf_dir):
     return m.select(F.col("Customer_c").alias("c_custkey"), F.col("Nation_n").alias("n")).distinct()
 
 
-@query("select 'path' p, 4 n union all select 'loop', 1 union all select 'two', 6")
-def hom_small(spark, sf_dir):
-    """Backtracking over patterns alone: edges, loops and paths of two edges in 1 -> 2 -> 3 -> 3 -> 1."""
-    host = graph(3, (1, 2), (2, 3), (3, 3), (3, 1))
-    found = {"path": graph(2, (1, 2)), "loop": graph(1, (1, 1)), "two": graph(3, (1, 2), (2, 3))}
-    # paths of two edges: 12-23, 23-33, 23-31, 33-33, 33-31, 31-12
-    return _facts(spark, [(k, len(list(homs(p, host)))) for k, p in found.items()], "p string, n int")
-
-
 # -- limits and colimits
 
 
@@ -214,19 +203,6 @@ def subobj_conot_whole(spark, sf_dir):
     return A.conegate(g, A.down(g, A.subobject(g, {"Nation": spark.createDataFrame([(3,)], "id long")})))["Nation"].select(F.col("id").alias("n_nationkey"))
 
 
-@query("select * from (values ('subobjects of a path', 5), ('quotients of 3 points', 5), ('quotients of 4 points', 15), ('classifier V', 2), ('classifier E', 5), ('product E', 1), ('product V', 4), ('glued path V', 3), ('terminal V', 1), ('isomorphic', 1)) t(what, n)")
-def pattern_algebra(spark, sf_dir):
-    edge, omega = graph(2, (1, 2)), subobject_classifier(GRAPH)
-    both, point = product_pattern(edge, edge), graph(1)
-    f, _ = pushout(Morphism(point, edge, {"V": {1: 2}}), Morphism(point, edge, {"V": {1: 1}}))
-    rows = {
-        "subobjects of a path": len(list(edge.subobjects())), "quotients of 3 points": len(quotients(graph(3))), "quotients of 4 points": len(quotients(graph(4))),
-        "classifier V": omega.nparts("V"), "classifier E": omega.nparts("E"), "product E": both.nparts("E"), "product V": both.nparts("V"),
-        "glued path V": f.cod.nparts("V"), "terminal V": terminal(GRAPH).nparts("V"), "isomorphic": int(is_isomorphic(f.cod, graph(3, (2, 1), (3, 2)))),
-    }
-    return _facts(spark, list(rows.items()), "what string, n int")
-
-
 # -- conditions
 
 
@@ -277,23 +253,6 @@ def migrate_rule(spark, sf_dir):
 # -- rules
 
 
-@query("select 'V' ob, cast(0 as bigint) n union all select 'E', 0")
-def spo_conflict(spark, sf_dir):
-    """One vertex matched as kept and as deleted: deletion wins, also over the loop that is added to it."""
-    g, _ = Instance.of_pattern(spark, graph(1))
-    r = Rule(Morphism(graph(1), graph(2), {"V": {1: 1}}), Morphism(graph(1), graph(1, (1, 1)), {"V": {1: 1}}), semantics="SPO")
-    h = r.apply(g, r.matches(g))
-    return _facts(spark, [(o, h.nparts(o)) for o in ("V", "E")], "ob string, n long")
-
-
-@query("select * from (values ('DPO', 1), ('SPO', 4)) t(s, n)")
-def dpo_and_spo_matches(spark, sf_dir):
-    """Contracting the end of an edge of a path of four: once without dangling edges, four times with cascades."""
-    g, _ = Instance.of_pattern(spark, graph(5, (1, 2), (2, 3), (3, 4), (4, 5)))
-    span = lambda s: Rule(Morphism(graph(1), graph(2, (1, 2)), {"V": {1: 1}}), Morphism(graph(1), graph(1, (1, 1)), {"V": {1: 1}}), semantics=s)
-    return _facts(spark, [(s, span(s).matches(g).count()) for s in ("DPO", "SPO")], "s string, n int")
-
-
 @query("select r_regionkey x, 'Region_y' element, 'Region_x' other from region")
 def identification(spark, sf_dir):
     """Matches that identify a deleted region with the kept one."""
@@ -395,21 +354,6 @@ def slice_hom(spark, sf_dir):
 # -- open systems, schedules, machines, histories, incremental matching
 
 
-@query("select * from (values ('composed V', 3), ('composed E', 2), ('composed legs', 2), ('beside E', 2), ('beside right V', 3), ('rewritten E', 1), ('after', 1), ('identity', 1)) t(what, n)")
-def open_systems(spark, sf_dir):
-    edge, two = graph(2, (1, 2)), graph(2)
-    ends = [[("V", 1)], [("V", 2)]]
-    whole, *_ = op.compose(op.Open(edge, ends), op.Open(edge, ends))
-    cut = op.OpenRule(Morphism(two, edge, {"V": {1: 1, 2: 2}}), identity(two), ends)
-    undo = op.OpenRule(identity(two), Morphism(two, edge, {"V": {1: 1, 2: 2}}), ends)
-    both, out = cut.beside(cut), cut.rewrite(op.Open(graph(3, (1, 2), (2, 3)), [[("V", 1)]]), 0)
-    rows = {
-        "composed V": whole.body.nparts("V"), "composed E": whole.body.nparts("E"), "composed legs": len(whole.legs), "beside E": both.left.cod.nparts("E"), "beside right V": both.right.cod.nparts("V"),
-        "rewritten E": out.body.nparts("E"), "after": int(is_isomorphic(cut.after(undo).right.cod, edge)), "identity": int(op.identity_rule(edge, ends).left.is_monic()),
-    }
-    return _facts(spark, list(rows.items()), "what string, n int")
-
-
 def _cut_edge() -> Rule:
     return Rule(Morphism(graph(2), graph(2, (1, 2)), {"V": {1: 1, 2: 2}}), identity(graph(2)))
 
@@ -438,15 +382,6 @@ def schedule_agents(spark, sf_dir):
     return world["E"].where("src = tgt").groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select * from (values (-2, true, 0.25), (2, true, 0.25), (-1, false, 0.25), (1, false, 0.25)) t(v, done, w)".replace("0.25)", "0.25::double)"))
-def dist_weights(spark, sf_dir):
-    """A walk from 0 that ends at 2 or -2, after three steps: weights of where it stands."""
-    walk = Machine("walk", lambda s, p, v: [(0.5, s, 0, v - 1), (0.5, s, 0, v + 1)] if abs(v) < 2 else [(1, s, 1, v)], effect="dist")
-    found = explore([walk], {(0, 0): (0, 0), (0, 1): (-1, 0)}, 0, 3)
-    rows = _facts(spark, [(t.value, t.done, float(t.weight)) for t in found], "v int, done boolean, w double")
-    return rows.groupBy("v", "done").agg(F.sum("w").alias("w"))
-
-
 @query("select * from (values (0, 1), (0, 2), (1, 2), (0, 3)) t(i, j)")
 def process_steps(spark, sf_dir):
     """A history of rule applications: a nation is made, a customer in it, an order of that (all of which it is in are used), and another customer in the nation."""
@@ -483,15 +418,34 @@ def view_after_changes(spark, sf_dir):
     return _cols(view.matches(), a="LineItem_a", b="LineItem_b")
 
 
-@query("with c as (select a.i x, b.i y, (a.i * 7 + b.i * 3 + a.i * b.i) % 5 < 2 live from range(0, 12) a(i), range(0, 12) b(i)), n as (select c.x, c.y, c.live, count(*) filter (where d.live) k from c left join c d on abs(c.x - d.x) <= 1 and abs(c.y - d.y) <= 1 and (c.x, c.y) <> (d.x, d.y) group by 1, 2, 3) select cast(12 * x + y as bigint) id from n where k = 3 or (live and k = 2)")
+@query("select 'V' ob, c_custkey id from customer where c_custkey % 2 = 1")
+def spo_conflict(spark, sf_dir):
+    """Customers as vertices; each even one is matched as kept and as deleted: deletion wins, also over the loop that is added to it."""
+    g = Instance(GRAPH, {"V": store(spark, sf_dir)["Customer"].select("id"), "E": spark.createDataFrame([], GRAPH.ddl("E"))})
+    r = Rule(Morphism(graph(1), graph(2), {"V": {1: 1}}), Morphism(graph(1), graph(1, (1, 1)), {"V": {1: 1}}), semantics="SPO")
+    even = g["V"].where("id % 2 = 0").select(F.col("id").alias("V_1"), F.col("id").alias("V_2"))
+    h = r.apply(g, r.candidates(g, even, monic=()))
+    return h["V"].select(F.lit("V").alias("ob"), "id").union(h["E"].select(F.lit("E"), "id"))
+
+
+@query("select 'DPO' s, max(n_nationkey) - 1 e from nation union all select 'SPO', n_nationkey from nation where n_nationkey < (select max(n_nationkey) from nation)")
+def dpo_and_spo_matches(spark, sf_dir):
+    """Contracting the end of an edge of the nations' path: at the last one alone without dangling edges, at all with cascades."""
+    g = _nation_graph(spark, sf_dir)
+    span = lambda s: Rule(Morphism(graph(1), graph(2, (1, 2)), {"V": {1: 1}}), Morphism(graph(1), graph(1, (1, 1)), {"V": {1: 1}}), semantics=s)
+    found = {s: span(s).matches(g).select(F.lit(s).alias("s"), F.col("E_1").alias("e")) for s in ("DPO", "SPO")}
+    return found["DPO"].union(found["SPO"])
+
+
+@query("with c as (select c_custkey id, c_custkey // 12 x, c_custkey % 12 y, c_custkey * 7 % 5 < 2 live from customer), n as (select c.id, c.live, count(*) filter (where d.live) k from c left join c d on abs(c.x - d.x) <= 1 and abs(c.y - d.y) <= 1 and c.id <> d.id group by 1, 2) select id from n where k = 3 or (live and k = 2)")
 def game_of_life(spark, sf_dir):
-    """A generation on a 12 x 12 board: who lives next is asked by conditions on numbers of living neighbours."""
+    """A generation on a board of customers, twelve a row: who lives next is asked by conditions on numbers of living neighbours."""
     s = Schema(("Cell", "Near", "Live"), {"of": ("Near", "Cell"), "to": ("Near", "Cell"), "at": ("Live", "Cell")})
-    cells = spark.range(144).select("id", F.floor(F.col("id") / 12).alias("x"), (F.col("id") % 12).alias("y"))
-    other = cells.select(F.col("id").alias("to"), F.col("x").alias("u"), F.col("y").alias("v"))
-    near = cells.join(other, (F.abs(F.col("x") - F.col("u")) <= 1) & (F.abs(F.col("y") - F.col("v")) <= 1) & (F.col("id") != F.col("to")))
-    live = cells.where((F.col("x") * 7 + F.col("y") * 3 + F.col("x") * F.col("y")) % 5 < 2)
-    g = Instance(s, {"Cell": cells.select("id"), "Near": near.select((F.col("id") * 144 + F.col("to")).alias("id"), F.col("id").alias("of"), "to"), "Live": live.select("id", F.col("id").alias("at"))}).cut()
+    cells = store(spark, sf_dir)["Customer"].select("id")
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
+    near = cells.select("id", F.posexplode(steps).alias("k", "d")).where((F.col("id") % 12 + F.col("d.b")).between(0, 11)).select((F.col("id") * 8 + F.col("k")).alias("n"), F.col("id").alias("of"), (F.col("id") + F.col("d.a") * 12 + F.col("d.b")).alias("to"))
+    near = near.join(cells, F.col("to") == F.col("id"), "left_semi").withColumnRenamed("n", "id")
+    g = Instance(s, {"Cell": cells, "Near": near, "Live": cells.where("id * 7 % 5 < 2").select("id", F.col("id").alias("at"))}).cut()
     cell = Pattern(s, {"Cell": ["c"]})
 
     def neighbours(k: int) -> Exists:

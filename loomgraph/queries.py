@@ -217,12 +217,12 @@ def _natural(g, h) -> DataFrame:
     return lines.join(orders, F.col("l_orderkey") == F.col("id")).join(suppliers, F.col("l_suppkey") == F.col("sid")).groupBy("ok", "sk").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select n_nationkey from nation where n_nationkey<>3")
+@query("select s_suppkey from supplier where s_nationkey <> 3 or s_suppkey in (select l_suppkey from lineitem)")
 def subobj_conot(spark, sf_dir):
+    """What together with the suppliers of nation 3 (and what they refer to) makes up everything: suppliers of others, and any that a line refers to."""
     g = store(spark, sf_dir)
-    a = A.subobject(g, {"Nation": spark.createDataFrame([(3,)], "id long")})
-    only = A.Instance(STORE, {o: t if o in ("Nation", "Region") else t.where(F.lit(False)) for o, t in g.tables.items()})
-    return A.conegate(only, A.meet(A.full(only), A.join_(a, A.none(only))))["Nation"].select(F.col("id").alias("n_nationkey"))
+    a = A.down(g, A.subobject(g, {"Supplier": g["Supplier"].where("s_nationkey = 3")}))
+    return A.conegate(g, a)["Supplier"].select(F.col("id").alias("s_suppkey"))
 
 
 def _half(g, low: int, high: int):
@@ -328,18 +328,16 @@ def coproduct_sum(spark, sf_dir):
     return A.coproduct(g, g.where("Customer", F.col("c_mktsegment") == "BUILDING"))["Customer"].select("id", F.col("c_nationkey").alias("n"))
 
 
-@query("select o_orderkey, cast(round(v) as bigint) v from (select l_orderkey o_orderkey, sum(l_quantity) v from lineitem where l_returnflag='R' group by 1 having count(*)=1)")
+@query("select l_orderkey o_orderkey, cast(round(2 * l_quantity) as bigint) v from lineitem where l_returnflag = 'R'")
 def expr_attr(spark, sf_dir):
-    """A rule with an expression: an order with exactly one returned line gets a line of that quantity (as part 0)."""
-    g, f = store(spark, sf_dir), _with_line(l_returnflag="R")
-    n = pattern(f.cod.parts, f.cod.homs, {"l_returnflag": {"l": "R"}, "l_quantity": {"l": Var("q")}})
-    n.filled = set(f.cod.filled)
-    more = pattern({**n.parts, "LineItem": ["l", "z"]}, {h: {**m, "z": m["l"]} if h in ("l_orderkey", "l_partkey", "l_suppkey") else m for h, m in n.homs.items()}, {"l_returnflag": {"z": "X"}, "l_quantity": {"z": Var("twice")}, "l_linestatus": {"z": "N"}})
-    keep = n.abstract()
-    r = Rule(Morphism(keep, n, {o: {k: k for k in ks} for o, ks in n.parts.items()}), Morphism(keep, more, {o: {k: k for k in ks} for o, ks in n.parts.items()}), exprs={"twice": lambda v: v["q"] * 1})
-    m = ExistsUnique(f).holds(match(f.dom, g), g).select("Orders_x")
-    out = r.apply(g, r.matches(g, m))
-    return out["LineItem"].where("l_returnflag = 'X'").select(F.col("l_orderkey").alias("o_orderkey"), F.round("l_quantity").cast("long").alias("v"))
+    """A rule that changes rows in place: lines flagged R get twice their quantity and the flag X."""
+    g = store(spark, sf_dir)
+    line = lambda flag, v: one("LineItem", l_returnflag=flag, l_quantity=Var(v))
+    L, R = line("R", "q"), line("X", "twice")
+    keep = L.abstract()
+    r = Rule(inclusion(keep, L), inclusion(keep, R), exprs={"twice": lambda v: v["q"] * 2})
+    out = r.apply(g, r.matches(g))["LineItem"].where("l_returnflag = 'X'")
+    return out.select(F.col("l_orderkey").alias("o_orderkey"), F.round("l_quantity").cast("long").alias("v"))
 
 
 @query("select user_id, cast(sum(case when event_type='purchase' then 1 else 0 end) as bigint) state from events group by user_id")
