@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .decontamination import _in, token_bitmap
 from .graph import components
 from .simhash import blocks_for, first_rows, hamming_links
 
@@ -135,31 +136,59 @@ def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
     return named.unionByName(equal).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
 
 
-def _tokens(shingle: int):
+def _own(pdf: pd.DataFrame, shingle: int) -> Iterator[tuple[str, str, np.ndarray]]:
+    """Shingles of the texts that are those of their classes: rows that share an id may bring another one."""
+    for cls, root, text in zip(pdf["cls"], pdf["root"], pdf["text"]):
+        found = shingles(text, shingle)
+        if digest(found) == cls:
+            yield cls, root, found
+
+
+def _counted(shingle: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for cls, root, text in zip(pdf["cls"], pdf["root"], pdf["text"]):
-                found = shingles(text, shingle)
-                if digest(found) == cls:  # rows that share an id may bring another text
-                    yield pd.DataFrame({"cls": cls, "root": root, "n": len(found), "token": found.view(np.int64)})
+            token, n = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(x for *_, x in _own(pdf, shingle))]), return_counts=True)
+            yield pd.DataFrame({"token": token.view(np.int64), "df": n})
 
     return run
 
 
-def prefix_pairs(tokens: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b)`` among texts of different roots, all that can have the similarity; from ``(cls, root, n, token)``, ``n`` distinct tokens a text.
+def _prefixes(levels, similarity: float, shingle: int):
+    """The rarest shingles of each text that others have as well; ``index`` tells the fewer ones."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        least = lambda share, n: int(np.ceil(round(share * n, 6)))
+        for pdf in batches:
+            for cls, root, found in _own(pdf, shingle):
+                n, often = len(found), sum(_in(b, found).astype(np.int8) for b in levels.value)
+                first = np.lexsort((found, often))[: n - least(similarity, n) + 1]
+                index = np.arange(len(first)) < n - least(2 * similarity / (1 + similarity), n) + 1
+                some = often[first] > 0
+                yield pd.DataFrame({"cls": cls, "root": root, "n": n, "token": found[first][some].view(np.int64), "index": index[some]})
+
+    return run
+
+
+#: Shingles are ordered by how many of these numbers of texts they are in.
+OFTEN = (2, 4, 16, 128, 1024)
+
+
+def prefix_pairs(texts: DataFrame, similarity: float, shingle: int, scratch: Scratch) -> DataFrame:
+    """``(a, b)`` among ``texts(cls, root, text)`` of different roots: all that can have the similarity.
 
-    Texts of ``n`` and ``m <= n`` tokens need ``s / (1 + s) (n + m)`` in common: ``s n`` at least, as
-    ``m >= s n``, and ``2 s / (1 + s) m``.  So the rarest ``n - s n + 1`` of the longer and
-    ``m - 2 s / (1 + s) m + 1`` of the shorter share one.
+    Texts of ``n`` and ``m <= n`` shingles need ``s / (1 + s) (n + m)`` in common: ``s n`` at least, as
+    ``m >= s n``, and ``2 s / (1 + s) m``.  So, in any order that is the same for all, the first
+    ``n - s n + 1`` of the longer and ``m - 2 s / (1 + s) m + 1`` of the shorter share one.  The
+    order is by rarity, in steps that bitmaps of a bounded size tell (a shingle that they
+    take for a more frequent one is so for all texts), so the prefixes are cut where the texts are read
+    and nothing but them is shuffled.
     """
-    often = tokens.groupBy(F.col("token").alias("t_")).agg(F.count(F.lit(1)).alias("df"))
-    # a token of a single text can't be shared, but counts for the order
-    ranked = tokens.join(often, F.col("token") == F.col("t_")).groupBy("cls", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
-    least = lambda share: F.ceil(F.round(F.col("n") * F.lit(share), 6)).cast("int")
-    shared = lambda share: F.explode(F.transform(F.filter(F.slice("all", F.lit(1), F.col("n") - least(share) + 1), lambda x: x["df"] > 1), lambda x: x["token"]))
-    probe = ranked.select("cls", "root", "n", shared(similarity).alias("token"))
-    index = ranked.select(F.col("cls").alias("cls_"), F.col("root").alias("root_"), F.col("n").alias("m"), shared(2 * similarity / (1 + similarity)).alias("token_"))
+    spark = texts.sparkSession
+    counts = scratch.keep(texts.mapInPandas(_counted(shingle), "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= OFTEN[0]), "often")
+    levels = spark.sparkContext.broadcast([token_bitmap(counts.where(F.col("df") >= k), 1 << 26) for k in OFTEN])
+    cut = scratch.keep(texts.mapInPandas(_prefixes(levels, similarity, shingle), "cls string, root string, n int, token long, index boolean"), "prefixes")
+    probe = cut.select("cls", "root", "n", "token")
+    index = cut.where("index").select(F.col("cls").alias("cls_"), F.col("root").alias("root_"), F.col("n").alias("m"), F.col("token").alias("token_"))
     shorter = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("cls_") < F.col("cls")))
     close = F.col("m") >= F.col("n") * F.lit(similarity) - 1e-6
     pairs = probe.join(index, (F.col("token") == F.col("token_")) & shorter & close & (F.col("root") != F.col("root_")))
@@ -219,8 +248,8 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sizes = scratch.keep(rooted.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key", "c"), "sizes")
     few = rooted.join(sizes.where(F.col("c") <= WIDE).select("key"), "key", "left_semi")
     many = rooted.join(sizes.where(F.col("c") > WIDE).select("key"), "key", "left_semi").select("cls", "root").distinct()
-    tokens = scratch.keep(text_of(many).select("cls", "root", "text").mapInPandas(_tokens(shingle), "cls string, root string, n int, token long"), "tokens")
-    near = window_pairs(few, WIDE - 1).unionByName(prefix_pairs(tokens, similarity))
+    asked = scratch.keep(text_of(many).select("cls", "root", "text"), "asked")
+    near = window_pairs(few, WIDE - 1).unionByName(prefix_pairs(asked, similarity, shingle, scratch))
     joined = scratch.keep(_linked_on(joined, verified(near), scratch), "joined")
     of_class = classes.join(joined, classes.cls == joined.node, "left").select(F.coalesce("root", "cls").alias("root"), "rep")
     stays = of_class.groupBy("root").agg(F.min("rep").alias("stays")).select("stays")

@@ -92,6 +92,7 @@ def test_near_copies_in_large_buckets_are_all_found(spark):
 
 def test_prefix_pairs_hold_every_similar_pair(spark):
     from loomgraph.llm import similar
+    from loomgraph.llm.common import Scratch
 
     rng = np.random.default_rng(11)
     sets = {f"s{i:03d}": set(rng.integers(0, 60, int(rng.integers(1, 45))).tolist()) for i in range(150)}
@@ -100,9 +101,12 @@ def test_prefix_pairs_hold_every_similar_pair(spark):
         for _ in range(int(rng.integers(0, 6))):
             x.symmetric_difference_update({int(rng.integers(0, 60))})
         sets[f"t{i:03d}"] = x or {1}
-    rows = [(c, c if int(c[1:]) % 7 else "one", len(x), t) for c, x in sets.items() for t in x]
-    got = {(r["a"], r["b"]) for r in similar.prefix_pairs(spark.createDataFrame(rows, "cls string, root string, n int, token long"), 0.8).collect()}
-    root = {r[0]: r[1] for r in rows}
+    texts = {c: " ".join(f"w{t}" for t in sorted(x)) for c, x in sets.items()}
+    cls = {c: similar.digest(similar.shingles(t, 1)) for c, t in texts.items()}
+    sets = {cls[c]: x for c, x in sets.items()}
+    root = {cls[c]: c if int(c[1:]) % 7 else "one" for c in texts}
+    rows = [(k, root[k], " ".join(f"w{t}" for t in sorted(x))) for k, x in sets.items()] + [("other", "two", "w1 w2")]
+    got = {(r["a"], r["b"]) for r in similar.prefix_pairs(spark.createDataFrame(rows, "cls string, root string, text string"), 0.8, 1, Scratch(spark, "test")).collect()}
     want = {(a, b) for a in sets for b in sets if a < b and root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
     assert want and want <= got and len(got) < len(sets) ** 2 / 8
 
