@@ -8,13 +8,13 @@ from .cases import _cut_edge, _nation_graph, graph
 from .instance import Instance
 from .operators import algebra as A
 from .operators import open as op
-from .operators.constraints import lift, nac
+from .operators.constraints import Exists, ExistsUnique, Forall, evaluate, lift, nac
 from .operators.factor import lifts, pull_back
 from .operators.match import match
 from .operators.pbpo import TypedRule, partial_abstract
 from .operators.program import compile_rule
 from .operators.rewrite import Rule
-from .pattern import Morphism, Pattern, Var, identity, inclusion
+from .pattern import Morphism, Pattern, Var, from_generators, identity, inclusion
 from .plans import schedule as S
 from .plans.mealy import walk
 from .queries import _cols, _line_pattern, _with_line, pattern, query
@@ -280,3 +280,32 @@ def weighted_walk(spark, sf_dir):
     moves = pairs.withColumn("den", F.sum("num").over(Window.partitionBy("user_id", "event_type"))).withColumn("note", F.col("to_event_type"))
     start = e.groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
     return walk(start, moves, 2, ["user_id", "event_type"], "writer")
+
+
+# -- conditions that share extensions, patterns from equations
+
+
+@query("select o_orderkey from orders where exists(select 1 from lineitem where l_orderkey = o_orderkey and l_linestatus = 'F') and ((select count(*) from lineitem where l_orderkey = o_orderkey and l_linestatus = 'F') > 1 or not exists(select 1 from lineitem where l_orderkey = o_orderkey and l_linestatus = 'O')) and not exists(select 1 from lineitem where l_orderkey = o_orderkey and l_linestatus = 'F' and l_returnflag = 'N')")
+def shared_extensions(spark, sf_dir):
+    """Conditions that mention an order's finished lines three times, which are found once."""
+    g, done = store(spark, sf_dir), _with_line(l_linestatus="F")
+    flagged = Morphism(done.cod, pattern(done.cod.parts, done.cod.homs, {"l_linestatus": {"l": "F"}, "l_returnflag": {"l": "N"}}), {o: {k: k for k in ks} for o, ks in done.cod.parts.items()})
+    told, shared = evaluate([Exists(done), ~ExistsUnique(done) | nac(_with_line(l_linestatus="O")), Forall(done, ~Exists(flagged))], match(done.dom, g), g)
+    if shared.stored() != 3:
+        raise AssertionError(f"{shared.stored()} extensions")
+    return _cols(told, o_orderkey="Orders_x")
+
+
+@query("select li, c_nationkey n from {LI} l, orders, customer, supplier where l_orderkey = o_orderkey and o_custkey = c_custkey and l_suppkey = s_suppkey and c_nationkey = s_nationkey")
+def generated_cycle(spark, sf_dir):
+    """Lines whose customer and supplier are of one nation: the pattern is one line and one equation."""
+    p = from_generators(STORE, {"l": "LineItem"}, [(("l", "l_orderkey", "o_custkey", "c_nationkey"), ("l", "l_suppkey", "s_nationkey"))])
+    return _cols(match(p, store(spark, sf_dir)), li="LineItem_l", n="Nation_l_l_suppkey_s_nationkey")
+
+
+@query("select a.li a, b.li b from {LI} a, {LI} b where a.l_orderkey = b.l_orderkey and a.l_partkey = b.l_partkey and a.li <> b.li and a.l_returnflag = b.l_returnflag")
+def generated_wedge(spark, sf_dir):
+    """Two lines of one order and one part with the same flag, from two generators and two equations."""
+    flag = {("a", "l_returnflag"): Var("flag"), ("b", "l_returnflag"): Var("flag")}
+    p = from_generators(STORE, {"a": "LineItem", "b": "LineItem"}, [(("a", "l_orderkey"), ("b", "l_orderkey")), (("a", "l_partkey"), ("b", "l_partkey"))], flag)
+    return _cols(match(p, store(spark, sf_dir), ["LineItem"]), a="LineItem_a", b="LineItem_b")

@@ -13,8 +13,9 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import cut
 from ..instance import Instance
-from ..pattern import Morphism
+from ..pattern import Morphism, Pattern
 from .match import column_of, match
 
 _FLAG = "__ok"
@@ -148,6 +149,11 @@ class _Quantified(Condition):
 
     def extensions(self, rows: DataFrame, g: Instance) -> DataFrame:
         """Extensions, with the assignment's own columns prefixed ``__k_``."""
+        if isinstance(g, Sharing):
+            return g.extension(self, rows)
+        return self._extended(rows, g)
+
+    def _extended(self, rows: DataFrame, g: Instance) -> DataFrame:
         pairs: dict[str, list[str]] = {}
         for o, k in self.along.dom.elements():
             if column_of((o, k)) in rows.columns:
@@ -164,9 +170,18 @@ class _Quantified(Condition):
         # nothing ties them to the assignment: if nothing more is asked, whether there are none, one or more is all that counts
         return (found if self.then or self.such else found.limit(2)).crossJoin(start)
 
+    def key(self) -> tuple:
+        """Equal for quantifiers over the same extensions."""
+        f = self.along
+        return repr((f.dom, f.cod, sorted((o, sorted(m.items(), key=repr)) for o, m in f.maps.items()))), repr(self.monic)
+
     def found(self, rows: DataFrame, g: Instance) -> DataFrame:
         ext = self.extensions(rows, g)
-        return self.such.holds(ext, g) if self.such else ext
+        return self.inside(self.such.holds, ext, g) if self.such else ext
+
+    def inside(self, ask, ext: DataFrame, g: Instance) -> DataFrame:
+        """``ask(ext, g)`` for a condition on extensions."""
+        return g.within(self.key(), lambda: ask(ext, g)) if isinstance(g, Sharing) else ask(ext, g)
 
     @staticmethod
     def back(ext: DataFrame, rows: DataFrame) -> DataFrame:
@@ -189,19 +204,19 @@ class _Quantified(Condition):
 class Exists(_Quantified):
     def witness(self, rows, g):
         ext = self.found(rows, g)
-        return self.back(self.then.holds(ext, g) if self.then else ext, rows), True
+        return self.back(self.inside(self.then.holds, ext, g) if self.then else ext, rows), True
 
 
 class Forall(_Quantified):
     def witness(self, rows, g):
         ext = self.found(rows, g)
-        return self.back(Not(self.then).holds(ext, g) if self.then else ext, rows), False
+        return self.back(self.inside(Not(self.then).holds, ext, g) if self.then else ext, rows), False
 
 
 class ExistsUnique(_Quantified):
     def witness(self, rows, g):
         ext = self.found(rows, g)
-        ext = self.back(self.then.holds(ext, g) if self.then else ext, rows)
+        ext = self.back(self.inside(self.then.holds, ext, g) if self.then else ext, rows)
         return ext.groupBy(*ext.columns).agg(F.count(F.lit(1)).alias("__n")).where("__n = 1").drop("__n"), True
 
 
@@ -228,3 +243,118 @@ class Where(Condition):
 
     def mark(self, rows, g, flag):
         return rows.withColumn(flag, F.coalesce(self.condition, F.lit(False)))
+
+
+class Sharing(Instance):
+    """An instance that remembers the extensions of one set of assignments, each stored once.
+
+    Extensions are known by the quantifiers that they lie under and by their own pattern, so
+    whatever mentions the same one gets the same table.
+    """
+
+    def __init__(self, g: Instance):
+        super().__init__(g.schema, g.tables)
+        self._plain, self._stored, self._path = g, {}, ()
+
+    def extension(self, c: _Quantified, rows: DataFrame) -> DataFrame:
+        key = (*self._path, c.key())
+        if key not in self._stored:
+            self._stored[key] = cut(c._extended(rows, self._plain))
+        return self._stored[key]
+
+    def within(self, key: tuple, ask):
+        before, self._path = self._path, (*self._path, key)
+        try:
+            return ask()
+        finally:
+            self._path = before
+
+    def stored(self) -> int:
+        """How many different extensions were made."""
+        return len(self._stored)
+
+
+def evaluate(conditions: list[Condition], rows: DataFrame, g: Instance) -> tuple[DataFrame, Sharing]:
+    """The assignments that satisfy all conditions; an extension that several parts of them ask for is found once.
+
+    Conditions are all evaluated on all of ``rows`` (a condition that is asked after
+    another would otherwise see fewer, and have extensions of its own).
+    """
+    shared, flags, out = Sharing(g), [], rows
+    for c in conditions:
+        flags.append(_flag())
+        out = c.mark(out, shared, flags[-1])
+    for flag in flags:
+        out = out.where(F.col(flag))
+    return out.drop(*flags), shared
+
+
+@dataclass
+class ConditionGraph:
+    """The patterns that conditions speak of (the first is that of the match), and the maps between them, each once."""
+
+    patterns: list[Pattern]
+    edges: list[tuple[int, int, Morphism]]
+
+    def scope(self, e: int) -> Pattern:
+        """The pattern in which an edge's extensions lie."""
+        return self.patterns[self.edges[e][1]]
+
+    def dot(self) -> str:
+        lines = ["digraph conditions {"]
+        for i, p in enumerate(self.patterns):
+            inside = ", ".join(f"{o}: {len(ks)}" for o, ks in p.parts.items() if ks)
+            lines.append(f'  p{i} [label="{inside or "empty"}"];')
+        lines += [f'  p{a} -> p{b} [label="{i}"];' for i, (a, b, _) in enumerate(self.edges)]
+        return "\n".join([*lines, "}"])
+
+
+def graph_of(pattern: Pattern, *conditions: Condition) -> ConditionGraph:
+    """The graph of conditions on matches of ``pattern``, equal extensions merged.
+
+    ``ValueError`` where a condition can't be asked: a quantifier that starts at elements
+    which its place doesn't have, a map that isn't one, a path that doesn't start at an element or
+    doesn't compose.
+    """
+    out, known = ConditionGraph([pattern], []), {}
+
+    def visit(c: Condition, at: int) -> None:
+        here = out.patterns[at]
+        if isinstance(c, _Both):
+            visit(c.left, at)
+            visit(c.right, at)
+        elif isinstance(c, Not):
+            visit(c.inner, at)
+        elif isinstance(c, Commutes):
+            columns = {column_of(e): e[0] for e in here.elements()}
+            ends = []
+            for pair in c.pairs:
+                for start, *path in pair:
+                    if start not in columns:
+                        raise ValueError(f"{start} is not bound here")
+                    ob = columns[start]
+                    for h in path:
+                        if here.schema.homs.get(h, (None,))[0] != ob:
+                            raise ValueError(f"{h} doesn't start at {ob}")
+                        ob = here.schema.homs[h][1]
+                    ends.append(ob)
+                if ends[-1] != ends[-2]:
+                    raise ValueError(f"{pair} end in different tables")
+        elif isinstance(c, _Quantified):
+            missing = set(c.along.dom.elements()) - set(here.elements())
+            if missing:
+                raise ValueError(f"{sorted(map(column_of, missing))} are not bound here")
+            if bad := [x for x in c.along.failures() if x[0] in here.schema.homs]:
+                raise ValueError(f"the map to extend along is not natural at {bad}")
+            key = (at, c.key())
+            if key not in known:
+                out.patterns.append(c.along.cod)
+                known[key] = len(out.patterns) - 1
+                out.edges.append((at, known[key], c.along))
+            for inner in (c.such, c.then):
+                if inner is not None:
+                    visit(inner, known[key])
+
+    for c in conditions:
+        visit(c, 0)
+    return out
