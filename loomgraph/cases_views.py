@@ -309,3 +309,26 @@ def generated_wedge(spark, sf_dir):
     flag = {("a", "l_returnflag"): Var("flag"), ("b", "l_returnflag"): Var("flag")}
     p = from_generators(STORE, {"a": "LineItem", "b": "LineItem"}, [(("a", "l_orderkey"), ("b", "l_orderkey")), (("a", "l_partkey"), ("b", "l_partkey"))], flag)
     return _cols(match(p, store(spark, sf_dir), ["LineItem"]), a="LineItem_a", b="LineItem_b")
+
+
+# -- why not, and what happened
+
+
+@query("select o_orderkey o, reason, detail from (select o_orderkey, 'condition' reason, '0' detail from orders where o_orderstatus <> 'F' union all select o_orderkey, 'dangling', 'l_orderkey of ' || min(li) from orders, {LI} l where l_orderkey = o_orderkey group by o_orderkey)")
+def match_reasons(spark, sf_dir):
+    """Why an order can't be deleted: it isn't finished, or lines refer to it (the first is told)."""
+    from .operators.constraints import Where
+
+    g = store(spark, sf_dir)
+    L = pattern({"Orders": ["o"], "Customer": ["c"]}, {"o_custkey": {"o": "c"}}, {"o_orderstatus": {"o": Var("status")}})
+    keep = L.abstract().restrict({e for e in L.elements() if e[0] != "Orders"})
+    r = Rule(inclusion(keep, L), identity(keep), conditions=[Where(F.col("var_status") == "F")])
+    return r.reasons(g).select(F.col("Orders_o").alias("o"), "reason", "detail")
+
+
+@query("select n_nationkey + 1 world, n_nationkey id from nation where n_nationkey < 3")
+def kept_worlds(spark, sf_dir):
+    """Three turns of deleting the first edge of the nations' path, with all worlds kept: what each turn took away."""
+    seen = S.Trajectory()
+    S.for_schedule(3, S.tryrule(S.RuleApp("cut", _cut_edge()))).run(_nation_graph(spark, sf_dir), keep=seen)
+    return seen.changes("E").where("change = 'removed'").select("world", "id")

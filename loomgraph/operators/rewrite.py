@@ -28,7 +28,7 @@ from ..functions.ids import cut, number_rows
 from ..instance import Instance
 from ..pattern import Element, Morphism, Pattern, Var, inclusion
 from . import algebra as A
-from .constraints import Condition
+from .constraints import Condition, Not
 from .match import column_of, first, match, shuffled, var_column
 
 SEMANTICS = ("DPO", "SPO", "SqPO", "CoNeg")
@@ -134,6 +134,39 @@ class Rule:
             m = m.join(bad, reduce(lambda x, y: x & y, [F.col(c) == F.col(f"__{c}") for c in keys]), "left_anti")
         return m
 
+    def reasons(self, g: Instance, m: DataFrame | None = None) -> DataFrame:
+        """``(<columns of m>, reason, detail)``: why each of ``m`` (by default every match of L) is no match of the rule.
+
+        One row for each reason: ``monic`` (two elements of a table that must differ),
+        ``condition`` (its number), ``identification`` (the deleted element and the other
+        one), ``dangling`` (the key and a row that refers to what would be deleted, the
+        smallest of those of the key).  Acceptable matches have no row.
+        """
+        strict = True if self.semantics in ("SqPO", "CoNeg") else self.monic
+        obs = set(g.schema.obs) if strict is True else set(strict or ())
+        m = match(self.L, g, (), prune=False) if m is None else m
+        keys, none, out = m.columns, F.lit(None).cast("string"), []
+
+        def told(rows: DataFrame, reason: str, detail: Column) -> None:
+            out.append(rows.select(*[F.col(c) for c in keys], F.lit(reason).alias("reason"), detail.alias("detail")))
+
+        named = [e for e in self.L.elements() if column_of(e) in keys]
+        for i, e in enumerate(named):
+            for x in named[:i]:
+                if e[0] == x[0] and e[0] in obs:
+                    told(m.where(F.col(column_of(e)) == F.col(column_of(x))), "monic", F.lit(f"{column_of(x)}, {column_of(e)}"))
+        for i, c in enumerate(self.conditions):
+            told(Not(c).holds(m, g), "condition", F.lit(str(i)))
+        if self.semantics == "DPO":
+            told(self.identification_violations(m), "identification", F.concat_ws(", ", "element", "other"))
+            bad = self.dangling(m, g)
+            if bad is not None:
+                least = bad.groupBy(*keys, "hom").agg(F.min("row").alias("row"))
+                told(least, "dangling", F.concat_ws(" of ", "hom", F.col("row").cast("string")))
+        if not out:
+            return m.select("*", none.alias("reason"), none.alias("detail")).where(F.lit(False))
+        return reduce(DataFrame.unionAll, out)
+
     def identification(self, m: DataFrame) -> DataFrame:
         """Matches that identify no deleted element with another one."""
         gone = self.deleted()
@@ -370,17 +403,19 @@ class Rule:
         m = cut(first(m) if seed is None else shuffled(m, seed).limit(1))
         return None if m.isEmpty() else self.apply(g, m)
 
-    def independent(self, m: DataFrame) -> DataFrame:
+    def independent(self, m: DataFrame, spread: bool = False) -> DataFrame:
         """A maximal set of matches none of which deletes what another binds.
 
-        Rounds: a match is taken when no match before it (by ids) that is still open
-        conflicts with it; what conflicts with a taken one is closed.
+        Rounds: a match is taken when no match before it that is still open conflicts with
+        it; what conflicts with a taken one is closed.  Matches go by their ids, so the set is
+        that of taking them one by one; with ``spread`` by a hash of their ids, so that a long
+        chain of conflicts takes few rounds (a logarithm of its length is expected).
         """
         gone = self.deleted()
         if not gone:
             return m
         keys = _keys(m)
-        rows = cut(number_rows(m, keys, "__m"))
+        rows = cut(number_rows(m.withColumn("__h", F.xxhash64(*keys)), ["__h", *keys], "__m").drop("__h") if spread else number_rows(m, keys, "__m"))
         uses = reduce(DataFrame.union, [rows.select("__m", F.lit(e[0]).alias("o"), F.col(column_of(e)).alias("i"), F.lit(e in gone).alias("d")) for e in self.L.elements() if column_of(e) in keys])
         uses = uses.groupBy("__m", "o", "i").agg(F.max("d").alias("d"))
         open_ = uses
@@ -409,7 +444,7 @@ class Rule:
     def exhaust(self, g: Instance, rounds: int = 1000) -> Instance:
         """Until no match is left."""
         for _ in range(rounds):
-            m = cut(self.independent(self.matches(g)))
+            m = cut(self.independent(self.matches(g), spread=True))
             if m.isEmpty():
                 return g
             g = self.apply(g, m).cut()

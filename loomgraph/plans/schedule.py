@@ -45,6 +45,40 @@ def alive(world: Instance, shape: Pattern, agent: DataFrame) -> bool:
     return True
 
 
+@dataclass
+class Trajectory:
+    """Worlds and agents of a run, step by step; a world is kept once however many steps leave it as it is.
+
+    Worlds share the tables that a step doesn't touch, and are checkpointed by the boxes
+    that change them, so keeping them costs no more than their changes.
+    """
+
+    worlds: list[Instance] = field(default_factory=list)
+    steps: list[tuple[int, str, int, Agent]] = field(default_factory=list)  # step, box, number of the world after it, agent
+
+    def add(self, step: int, box: str, before: Instance, after: Instance, agent: Agent) -> None:
+        if not self.worlds:
+            self.worlds.append(before)
+        if after is not before:
+            self.worlds.append(after)
+        self.steps.append((step, box, len(self.worlds) - 1, agent))
+
+    def at(self, step: int) -> Instance:
+        """The world after a step."""
+        return self.worlds[next(w for s, _, w, _ in self.steps if s == step)]
+
+    def changes(self, ob: str) -> DataFrame:
+        """``(world, change, <row>)``: rows that each world has beyond the one before it (``added``), and those that it lacks (``removed``); changed rows are both."""
+        out = None
+        for i, (a, b) in enumerate(zip(self.worlds, self.worlds[1:]), 1):
+            columns = ["id", *a.schema.homs_from(ob), *a.schema.attrs_of(ob)]
+            x, y = a[ob].select(*columns), b[ob].select(*columns)
+            for name, rows in (("removed", x.exceptAll(y)), ("added", y.exceptAll(x))):
+                rows = rows.select(F.lit(i).alias("world"), F.lit(name).alias("change"), "*")
+                out = rows if out is None else out.unionAll(rows)
+        return out
+
+
 class Box:
     """``inputs`` and ``outputs``: agent shapes of the ports (None: the empty agent)."""
 
@@ -365,8 +399,8 @@ class Schedule:
         wires = {k: (EXIT, 0) if t[0] == EXIT else t for k, t in self.wires.items()}
         return Schedule(self.boxes, wires, self.start, self.exits[:1])
 
-    def run(self, world: Instance, agent: Agent = None, maxstep: int = 1000, on_change: Callable | None = None):
-        """``(world, agent, exit, trajectory)``; the trajectory lists ``(step, box, port, message)``."""
+    def run(self, world: Instance, agent: Agent = None, maxstep: int = 1000, on_change: Callable | None = None, keep: Trajectory | None = None):
+        """``(world, agent, exit, trajectory)``; the trajectory lists ``(step, box, port, message)``.  ``keep`` gets the worlds, too."""
         self.typecheck()
         state, (at, port), log = [b.fresh_state() for b in self.boxes], self.start, []
         for step in range(maxstep):
@@ -374,6 +408,8 @@ class Schedule:
             state[at], out, after, agent, said = box.update(state[at], port, world, agent, step)
             if after is not world and on_change:
                 on_change(step, after)
+            if keep is not None:
+                keep.add(step, box.name, world, after, agent)
             world = after
             log.append((step, box.name, out, said))
             at, port = self.wires[(at, out)]
