@@ -1 +1 @@
-from .ids import cut, number_rows, shared_dir, stable_random  # noqa: F401
+from .ids import cut, number_rows, shared_dir  # noqa: F401

@@ -1,10 +1,10 @@
-"""Ids, lineage and randomness that survive retries."""
+"""Ids and lineage that survive retries."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -40,8 +40,3 @@ def number_rows(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     before = sizes.select(F.col("__p").alias("__q"), (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__b"))
     w = Window.partitionBy("__p").orderBy(*order)
     return dealt.join(F.broadcast(before), F.col("__p") == F.col("__q")).withColumn(name, F.row_number().over(w) - 1 + F.col("__b")).drop("__p", "__q", "__b")
-
-
-def stable_random(seed: int, *of: Column) -> Column:
-    """A number in [0, 1) that depends on its arguments alone, not on the partition."""
-    return F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 30)) / F.lit(float(1 << 30))
