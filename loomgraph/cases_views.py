@@ -332,3 +332,19 @@ def kept_worlds(spark, sf_dir):
     seen = S.Trajectory()
     S.for_schedule(3, S.tryrule(S.RuleApp("cut", _cut_edge()))).run(_nation_graph(spark, sf_dir), keep=seen)
     return seen.changes("E").where("change = 'removed'").select("world", "id")
+
+
+@query("select n_nationkey id from nation where n_nationkey >= 3 and n_nationkey < (select max(n_nationkey) from nation)")
+def migrated_schedule(spark, sf_dir):
+    """A schedule over graphs (delete the first edge, as long as the edge 2 is there) carried over to nations and steps between them."""
+    from .operators.migrate import Migrate
+    from .plans.migrate import migrate_schedule
+    from .schema import GRAPH
+
+    steps = Schema(("Nation", "Step"), {"from": ("Step", "Nation"), "to": ("Step", "Nation")}, {"n_name": ("Nation", "string")})
+    f = Migrate(GRAPH, steps, {"V": "Nation", "E": "Step"}, {"src": "from", "tgt": "to"})
+    body = S.tryrule(S.RuleApp("cut", _cut_edge()))
+    plan = migrate_schedule(f, S.while_schedule(lambda w, _: not w["E"].where("id = 2").isEmpty(), body))
+    g, n = _nation_graph(spark, sf_dir), store(spark, sf_dir)["Nation"]
+    world = Instance(steps, {"Nation": n.select("id", "n_name"), "Step": g["E"].select("id", F.col("src").alias("from"), F.col("tgt").alias("to"))})
+    return plan.run(world)[0]["Step"].select("id")
