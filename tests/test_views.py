@@ -31,7 +31,7 @@ def conditions():
     back = Morphism(EDGE, graph(2, (1, 2), (2, 1)), SAME)
     on = Morphism(EDGE, graph(3, (1, 2), (2, 3)), SAME)
     closed = Morphism(on.cod, graph(3, (1, 2), (2, 3), (3, 1)), {"V": {1: 1, 2: 2, 3: 3}, "E": {1: 1, 2: 2}})
-    return {"nac": nac(back), "pac": pac(on), "unique": ExistsUnique(on), "nested": Forall(on, Exists(closed)), "either": nac(on) | pac(back)}
+    return {"unique": ExistsUnique(on), "nested": Forall(on, Exists(closed)), "either": nac(on) | pac(back)}
 
 
 @pytest.mark.parametrize("name", list(conditions()))
@@ -40,7 +40,7 @@ def test_views_under_conditions_equal_recompute(spark, name):
     view = MatchView([EDGE], world(spark, 8, some_edges(rng, 8, 0, 9)), conditions=[conditions()[name]])
     assert view.validate()
     sizes = [view.nmatches()]
-    for step in range(2):
+    for step in range(1):
         view.insert({"E": spark.createDataFrame(some_edges(rng, 8, 100 * step + 100, 4), "id long, src long, tgt long")})
         ids = [r[0] for r in view.state["E"].select("id").collect()]
         view.delete({"E": spark.createDataFrame([(i,) for i in rng.sample(sorted(ids), 4)], "id long")})
@@ -78,11 +78,10 @@ def test_what_a_change_affects_follows_the_change(spark):
 RULES = {
     "add": Rule(identity(EDGE), Morphism(EDGE, graph(3, (1, 2), (2, 3), (3, 1)), SAME)),
     "delete": Rule(Morphism(TWO, EDGE, {"V": {1: 1, 2: 2}}), identity(TWO)),
-    "merge": Rule(identity(EDGE), Morphism(EDGE, LOOP, {"V": {1: 1, 2: 1}, "E": {1: 1}})),
+    "merge_and_add": Rule(identity(EDGE), Morphism(EDGE, graph(2, (1, 1), (1, 2)), {"V": {1: 1, 2: 1}, "E": {1: 1}})),
     "cascade": Rule(Morphism(Pattern(GRAPH), graph(1), {}), identity(Pattern(GRAPH)), semantics="SPO"),
     "coneg": Rule(Morphism(TWO, EDGE, {"V": {1: 1, 2: 2}}), identity(TWO), semantics="CoNeg"),
     "clone": Rule(Morphism(TWO, graph(1), {"V": {1: 1, 2: 1}}), identity(TWO), semantics="SqPO"),
-    "merge_and_add": Rule(identity(EDGE), Morphism(EDGE, graph(2, (1, 1), (1, 2)), {"V": {1: 1, 2: 1}, "E": {1: 1}})),
 }
 
 
