@@ -10,10 +10,11 @@ verified by the shingles of both texts (as 64-bit hashes), so nothing below the
 links.
 
 A first pass pairs each member of a bucket with the one before it, which with the
-fingerprints' links connects large groups.  A second one looks at buckets whose members are
-still apart, and its links are followed between the first pass's roots alone.  Of a bucket
-of ``WIDE`` members or fewer, all pairs are asked.  The members of larger ones, whatever their
-number, go through an exact join instead: shingles are ordered by rarity among these texts;
+fingerprints' links connects large groups.  Further ones look at buckets whose members are
+still apart, and their links are followed between the roots so far alone.  Of a bucket
+of ``WIDE`` members or fewer, all pairs are asked; in larger ones, a member meets the ``NEAR``
+before it.  Those that are in large buckets of several components even then, whatever their
+number, go through an exact join: shingles are ordered by rarity among these texts;
 a text's rarest shingles (as many as the similarity leaves to differ) must hold one that a
 similar text has among its own, so only those are joined, and the shorter text of a pair
 gives the fewer of them.  No bucket is cut and no pair above the threshold passed over.
@@ -37,7 +38,7 @@ from .simhash import blocks_for, first_rows, hamming_links
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BANDS, ROWS = 16, 4
 RADIUS = 4
-WIDE = 32
+WIDE, NEAR = 32, 8
 _PART = 1 << 10
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -162,9 +163,10 @@ def _prefixes(levels, similarity: float, shingle: int):
             for cls, root, found in _own(pdf, shingle):
                 n, often = len(found), sum(_in(b, found).astype(np.int8) for b in levels.value)
                 first = np.lexsort((found, often))[: n - least(similarity, n) + 1]
-                index = np.arange(len(first)) < n - least(2 * similarity / (1 + similarity), n) + 1
+                place = np.arange(len(first))
+                index = place < n - least(2 * similarity / (1 + similarity), n) + 1
                 some = often[first] > 0
-                yield pd.DataFrame({"cls": cls, "root": root, "n": n, "token": found[first][some].view(np.int64), "index": index[some]})
+                yield pd.DataFrame({"cls": cls, "root": root, "n": n, "token": found[first][some].view(np.int64), "place": place[some], "index": index[some]})
 
     return run
 
@@ -186,12 +188,14 @@ def prefix_pairs(texts: DataFrame, similarity: float, shingle: int, scratch: Scr
     spark = texts.sparkSession
     counts = scratch.keep(texts.mapInPandas(_counted(shingle), "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= OFTEN[0]), "often")
     levels = spark.sparkContext.broadcast([token_bitmap(counts.where(F.col("df") >= k), 1 << 26) for k in OFTEN])
-    cut = scratch.keep(texts.mapInPandas(_prefixes(levels, similarity, shingle), "cls string, root string, n int, token long, index boolean"), "prefixes")
-    probe = cut.select("cls", "root", "n", "token")
-    index = cut.where("index").select(F.col("cls").alias("cls_"), F.col("root").alias("root_"), F.col("n").alias("m"), F.col("token").alias("token_"))
+    cut = scratch.keep(texts.mapInPandas(_prefixes(levels, similarity, shingle), "cls string, root string, n int, token long, place int, index boolean"), "prefixes")
+    probe = cut.select("cls", "root", "n", "token", "place")
+    index = cut.where("index").select(F.col("cls").alias("cls_"), F.col("root").alias("root_"), F.col("n").alias("m"), F.col("token").alias("token_"), F.col("place").alias("place_"))
     shorter = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("cls_") < F.col("cls")))
     close = F.col("m") >= F.col("n") * F.lit(similarity) - 1e-6
-    pairs = probe.join(index, (F.col("token") == F.col("token_")) & shorter & close & (F.col("root") != F.col("root_")))
+    # from the first shingle that two texts share on, both must have as many left as they need in common
+    left = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("place_")) >= (F.col("n") + F.col("m")) * F.lit(similarity / (1 + similarity)) - 1e-6
+    pairs = probe.join(index, (F.col("token") == F.col("token_")) & shorter & close & left & (F.col("root") != F.col("root_")))
     return pairs.select(F.least("cls", "cls_").alias("a"), F.greatest("cls", "cls_").alias("b")).distinct()
 
 
@@ -243,14 +247,19 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     first = window_pairs(members.withColumn("root", F.col("cls")), 1).unionByName(_fingerprint_pairs(classes))
     joined = scratch.keep(components(verified(first), scratch), "joined")
-    rooted = members.join(joined, members.cls == joined.node, "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    # buckets whose members are all one by now need no more
-    sizes = scratch.keep(rooted.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key", "c"), "sizes")
-    few = rooted.join(sizes.where(F.col("c") <= WIDE).select("key"), "key", "left_semi")
-    many = rooted.join(sizes.where(F.col("c") > WIDE).select("key"), "key", "left_semi").select("cls", "root").distinct()
-    asked = scratch.keep(text_of(many).select("cls", "root", "text"), "asked")
-    near = window_pairs(few, WIDE - 1).unionByName(prefix_pairs(asked, similarity, shingle, scratch))
-    joined = scratch.keep(_linked_on(joined, verified(near), scratch), "joined")
+
+    def apart_still(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of buckets that hold more than one component yet, of small buckets and of large ones."""
+        rooted = members.join(joined, members.cls == joined.node, "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
+        sizes = scratch.keep(rooted.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key", "c"), "sizes")
+        of = lambda some: rooted.join(sizes.where(some).select("key"), "key", "left_semi")
+        return of(F.col("c") <= WIDE), of(F.col("c") > WIDE)
+
+    few, many = apart_still(joined)
+    joined = scratch.keep(_linked_on(joined, verified(window_pairs(few, WIDE - 1).unionByName(window_pairs(many, NEAR))), scratch), "joined")
+    _, many = apart_still(joined)
+    asked = scratch.keep(text_of(many.select("cls", "root").distinct()).select("cls", "root", "text"), "asked")
+    joined = scratch.keep(_linked_on(joined, verified(prefix_pairs(asked, similarity, shingle, scratch)), scratch), "joined")
     of_class = classes.join(joined, classes.cls == joined.node, "left").select(F.coalesce("root", "cls").alias("root"), "rep")
     stays = of_class.groupBy("root").agg(F.min("rep").alias("stays")).select("stays")
     return first_rows(docs, stays, id_col, text_col)
