@@ -22,7 +22,6 @@ import base64
 import heapq
 import json
 import sys
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,18 +109,18 @@ class Words:
         # white space is Unicode's property here, whatever an engine takes for it
         self.of = regex.compile(pattern.replace("\\s", "\\p{White_Space}").replace("\\S", "\\P{White_Space}")).findall
         self.by_space = pattern == SPLIT
-        self.number: dict[str, int] = {}
+        self.number: dict[str, bytes] = {}  # unsigned 32-bit integers
         self.counts = np.zeros(0, dtype=np.int64)
-        self.chunks: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}  # of several words
 
     def forget(self) -> np.ndarray:
         """Keeps the words that came more than once, the most frequent ones if those are many; their numbers so far, in the order of the new ones."""
         keep = np.flatnonzero(self.counts > 1)
         keep = np.sort(keep[np.argsort(-self.counts[keep], kind="stable")[: HELD // 2]])
         words = list(self.number)
-        self.number = {words[i]: k for k, i in enumerate(keep.tolist())}
+        self.number = {words[i]: k.to_bytes(4, sys.byteorder) for k, i in enumerate(keep.tolist())}
         self.counts = self.counts[keep] // 2
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = {}
         return keep.astype(np.uint32)
 
     def seen(self, numbers: list[bytes]) -> None:
@@ -129,36 +128,39 @@ class Words:
         found[: len(self.counts)] += self.counts
         self.counts = found
 
+    def one(self, word: str, new: list[str]) -> bytes:
+        number = self.number.get(word)
+        if number is None:
+            number = self.number[word] = len(self.number).to_bytes(4, sys.byteorder)
+            new.append(word)
+        return number
+
     def numbers(self, words: list[str], new: list[str]) -> bytes:
-        number = self.number
-        for w in words:
-            if w not in number:
-                number[w] = len(number)
-                new.append(w)
-        return array("I", map(number.__getitem__, words)).tobytes()
+        return b"".join([self.one(w, new) for w in words])
 
     def text(self, text: str, new: list[str]) -> bytes:
-        """The numbers of a text's words as unsigned 32-bit integers; words met first are added to ``new``."""
+        """The numbers of a text's words; words met first are added to ``new``."""
         if not self.by_space or AWKWARD.search(text):
             return self.numbers(self.of(text), new)
         # such texts have a word boundary before each space: a chunk between spaces is split once
         first, *rest = text.split(" ")
-        chunks, number = self.chunks, self.number
         head = self.numbers(self.of(first), new)
-        found = list(map(chunks.get, rest))
-        if None not in found:
-            return head + b"".join(found)
-        for c in [c for c, x in zip(rest, found) if x is None]:
-            w = " " + c
-            if not c.isalpha():
-                chunks[c] = self.numbers(self.of(w), new)
-                continue
-            n = number.get(w)  # letters alone are one word
-            if n is None:
-                n = number[w] = len(number)
-                new.append(w)
-            chunks[c] = n.to_bytes(4, sys.byteorder)
-        return head + b"".join(map(chunks.__getitem__, rest))
+        rest = [" " + c for c in rest]
+        found = list(map(self.number.get, rest))
+        if None in found:
+            for i, number in enumerate(found):
+                if number is None:
+                    w = rest[i]
+                    found[i] = self.one(w, new) if w[1:].isalpha() else self.several(w, new)  # letters alone are one word
+        return head + b"".join(found)
+
+    def several(self, chunk: str, new: list[str]) -> bytes:
+        numbers = self.chunks.get(chunk)
+        if numbers is None:
+            numbers = self.numbers(self.of(chunk), new)
+            if len(numbers) > 4:  # a chunk that is one word is found as that
+                self.chunks[chunk] = numbers
+        return numbers
 
 
 def _splitter(ranks: dict[bytes, int], pattern: str):
