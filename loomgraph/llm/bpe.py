@@ -2,9 +2,9 @@ r"""Byte-level BPE encoding and decoding.
 
 A text is split by the tokenizer's pattern.  A word is encoded by folding ranked merges
 over its array of bytes, in Spark higher-order functions: the leftmost pair of least rank
-becomes one part, until no pair has a rank.  Ranks are a literal map in the plan: by the
-left part's id, then by the right part's.  A part is one number, the rank of the pair that
-it starts and its own id, so that the least number of the array is the next merge.
+becomes one part, until no pair has a rank.  Ranks are a literal map in the plan, by
+the ids of both parts.  A part is one number, the rank of the pair that it starts and its
+own id, so that the least number of the array is the next merge.
 
 Each task folds its distinct words once.  The splitter numbers the words of its partition
 and hands on the byte array of a word with the first document that has it; the fold turns
@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 import sys
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, table
-from .tokens import AWKWARD, SPLIT
+from .tokens import SPLIT
 
 HELD = 400_000
 LONGEST = 256
@@ -40,6 +41,8 @@ TASK_BYTES = 128 << 20
 #: A part: the id of the pair that it starts (from 1; ``NONE`` where that pair has no rank) above ``BITS``, its own id (from 1; 0: beyond the ends) below.
 BITS = 20
 NONE = 1 << 42
+#: A space beside other white space, or at the end.
+SPACES = re.compile(r" (?:(?=\s)|(?<=\s )|\Z)")
 
 
 def let(value: Column, use) -> Column:
@@ -57,22 +60,17 @@ def _literal(value, kind: str) -> Column:
 
 
 def pair_parts(ranks: dict[bytes, int]) -> list[dict[int, int]]:
-    """By the left part's id (from 1), then the right part's: the left part as a number."""
-    pairs: list[dict[int, int]] = [{} for _ in range(max(ranks.values(), default=-1) + 2)]
+    """The left part as a number, by its own id and the right part's, in as many buckets as there are pairs: Spark searches a map literal from end to end."""
+    pairs: dict[int, int] = {}
     for piece, rank in ranks.items():
         for i in range(1, len(piece)):
             left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
             if left is not None and right is not None:
-                pairs[left + 1][right + 1] = ((rank + 1) << BITS) + left + 1
-    return pairs
-
-
-def _bucketed(rights: dict[int, int]) -> list[dict[int, int]]:
-    """As many buckets as there are entries: Spark searches a map literal from end to end."""
-    out: list[dict[int, int]] = [{} for _ in range(max(1, len(rights)))]
-    for right, part in rights.items():
-        out[right % len(out)][right] = part
-    return out
+                pairs[((left + 1) << BITS) + right + 1] = ((rank + 1) << BITS) + left + 1
+    buckets: list[dict[int, int]] = [{} for _ in range(len(pairs) | 1)]
+    for pair, part in pairs.items():
+        buckets[pair % len(buckets)][pair] = part
+    return buckets
 
 
 def merge_long(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -109,59 +107,54 @@ class Words:
         # white space is Unicode's property here, whatever an engine takes for it
         self.of = regex.compile(pattern.replace("\\s", "\\p{White_Space}").replace("\\S", "\\P{White_Space}")).findall
         self.by_space = pattern == SPLIT
-        self.number: dict[str, bytes] = {}  # unsigned 32-bit integers
+        self.words: list[str] = []
+        self.known: dict[str, bytes] = {}  # numbers, unsigned 32-bit integers, of words and of chunks of several words
         self.counts = np.zeros(0, dtype=np.int64)
-        self.chunks: dict[str, bytes] = {}  # of several words
 
     def forget(self) -> np.ndarray:
         """Keeps the words that came more than once, the most frequent ones if those are many; their numbers so far, in the order of the new ones."""
         keep = np.flatnonzero(self.counts > 1)
         keep = np.sort(keep[np.argsort(-self.counts[keep], kind="stable")[: HELD // 2]])
-        words = list(self.number)
-        self.number = {words[i]: k.to_bytes(4, sys.byteorder) for k, i in enumerate(keep.tolist())}
+        self.words = [self.words[i] for i in keep.tolist()]
+        self.known = {w: k.to_bytes(4, sys.byteorder) for k, w in enumerate(self.words)}
         self.counts = self.counts[keep] // 2
-        self.chunks = {}
         return keep.astype(np.uint32)
 
     def seen(self, numbers: list[bytes]) -> None:
-        found = np.bincount(np.frombuffer(b"".join(numbers), dtype=np.uint32), minlength=len(self.number))
+        found = np.bincount(np.frombuffer(b"".join(numbers), dtype=np.uint32), minlength=len(self.words))
         found[: len(self.counts)] += self.counts
         self.counts = found
 
     def one(self, word: str, new: list[str]) -> bytes:
-        number = self.number.get(word)
+        number = self.known.get(word)
         if number is None:
-            number = self.number[word] = len(self.number).to_bytes(4, sys.byteorder)
+            number = self.known[word] = len(self.words).to_bytes(4, sys.byteorder)
+            self.words.append(word)
             new.append(word)
         return number
 
-    def numbers(self, words: list[str], new: list[str]) -> bytes:
-        return b"".join([self.one(w, new) for w in words])
+    def chunk(self, chunk: str, new: list[str]) -> bytes:
+        """A space and what stands up to the next one."""
+        if chunk[1:].isalpha():  # letters alone are one word
+            return self.one(chunk, new)
+        numbers = self.known.get(chunk)
+        if numbers is None:
+            numbers = self.known[chunk] = b"".join([self.one(w, new) for w in self.of(chunk)])
+        return numbers
 
     def text(self, text: str, new: list[str]) -> bytes:
         """The numbers of a text's words; words met first are added to ``new``."""
-        if not self.by_space or AWKWARD.search(text):
-            return self.numbers(self.of(text), new)
-        # such texts have a word boundary before each space: a chunk between spaces is split once
+        if not self.by_space or text.startswith(" ") or SPACES.search(text):
+            return b"".join([self.one(w, new) for w in self.of(text)])
+        # such texts have a word boundary before each space: a chunk between spaces is split once; no chunk of several words is equal to a word
         first, *rest = text.split(" ")
-        head = self.numbers(self.of(first), new)
+        head = b"".join([self.one(w, new) for w in self.of(first)])
         rest = [" " + c for c in rest]
-        found = list(map(self.number.get, rest))
+        found = list(map(self.known.get, rest))
         if None in found:
-            for i, number in enumerate(found):
-                if number is None:
-                    w = rest[i]
-                    found[i] = self.one(w, new) if w[1:].isalpha() else self.several(w, new)  # letters alone are one word
+            found = [self.chunk(c, new) if n is None else n for c, n in zip(rest, found)]
         return head + b"".join(found)
 
-    def several(self, chunk: str, new: list[str]) -> bytes:
-        numbers = self.chunks.get(chunk)
-        if numbers is None:
-            numbers = self.numbers(self.of(chunk), new)
-            if len(numbers) > 4:  # a chunk that is one word is found as that
-                self.chunks[chunk] = numbers
-        return numbers
-
 
 def _splitter(ranks: dict[bytes, int], pattern: str):
     one = [ranks[bytes([b])] + 1 for b in range(256)]
@@ -194,7 +187,7 @@ def _splitter(ranks: dict[bytes, int], pattern: str):
             for begin in range(0, len(whole), ROWS):
                 batch = whole.slice(begin, ROWS)
                 kept: list[bytes | None] = [None] * len(batch)
-                if len(words.number) > HELD or len(words.chunks) > HELD:
+                if len(words.words) > HELD or len(words.known) > 2 * HELD:
                     kept[0] = words.forget().tobytes()
                 numbers, counts, new = [], [], []
                 for text in batch.column("text").to_pylist():
@@ -240,7 +233,9 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, pattern
-        self._pairs = _literal([_bucketed(p) for p in pair_parts(ranks)], "array<array<map<string,bigint>>>").cast("array<array<map<bigint,bigint>>>")
+        buckets = pair_parts(ranks)
+        self._n_buckets = len(buckets)
+        self._pairs = _literal(buckets, "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
         pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece
@@ -250,16 +245,15 @@ class Codec:
         """An array of words, each an array of its parts between two ends, after all merges."""
         return let(self._pairs, lambda pairs: F.transform(words, lambda w: F.aggregate(F.slice(w, F.lit(4), F.size(w)), w, lambda q, _: self._merged(pairs, q))))
 
-    @staticmethod
-    def _merged(pairs: Column, q: Column) -> Column:
+    def _merged(self, pairs: Column, q: Column) -> Column:
         """One merge: of the leftmost part with the least pair, and the part after it; parts whose pair changes are looked up."""
 
         def own(x: Column) -> Column:
             return x.bitwiseAND(F.lit((1 << BITS) - 1))
 
         def part(a: Column, b: Column) -> Column:
-            rights = F.get(pairs, a.cast("int"))
-            return F.coalesce(F.try_element_at(F.get(rights, F.pmod(b, F.size(rights)).cast("int")), b), a + F.lit(NONE))
+            pair = F.shiftleft(a, BITS) + b
+            return F.coalesce(F.try_element_at(F.get(pairs, F.pmod(pair, F.lit(self._n_buckets)).cast("int")), pair), a + F.lit(NONE))
 
         def join(least: Column, k: Column) -> Column:
             one = F.shiftright(least, BITS)
