@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import ship, table
 from .tokens import SPLIT
 
-HELD = 250_000
+HELD = 300_000
 LONGEST = 256
 ROWS = 512
 #: A task reads about so much, where splits are smaller.
