@@ -10,7 +10,7 @@ from .operators import algebra as A
 from .operators import open as op
 from .operators.constraints import Exists, ExistsUnique, Forall, evaluate, lift, nac
 from .operators.factor import lifts, pull_back
-from .operators.match import match
+from .operators.match import match, take
 from .operators.pbpo import TypedRule, partial_abstract
 from .operators.program import compile_rule
 from .operators.rewrite import Rule
@@ -348,3 +348,11 @@ def migrated_schedule(spark, sf_dir):
     g, n = _nation_graph(spark, sf_dir), store(spark, sf_dir)["Nation"]
     world = Instance(steps, {"Nation": n.select("id", "n_name"), "Step": g["E"].select("id", F.col("src").alias("from"), F.col("tgt").alias("to"))})
     return plan.run(world)[0]["Step"].select("id")
+
+
+@query("select li, l_orderkey o, c_custkey c from {LI} l, orders, customer where l_orderkey = o_orderkey and o_custkey = c_custkey and l_returnflag = 'R' order by c, o, li limit 20")
+def hom_take(spark, sf_dir):
+    """The first 20 returned lines by customer, order and line."""
+    p = pattern({"Customer": ["c"], "Orders": ["o"], "LineItem": ["l"]}, {"o_custkey": {"o": "c"}, "l_orderkey": {"l": "o"}}, {"l_returnflag": {"l": "R"}})
+    found = _cols(match(p, store(spark, sf_dir)), c="Customer_c", o="Orders_o", li="LineItem_l")
+    return take(found, 20)

@@ -216,17 +216,28 @@ def match(
     return out.where(where) if where is not None else out
 
 
+def take(matches: DataFrame, n: int) -> DataFrame:
+    """The ``n`` smallest matches by ids, all if there are fewer: each task keeps its own ``n`` smallest, so nothing is sorted whole."""
+    if n < 0:
+        raise ValueError("can't take fewer than no matches")
+    return matches.orderBy(*[c for c in matches.columns if not c.startswith("var_")]).limit(n)
+
+
 def first(matches: DataFrame) -> DataFrame:
     """The smallest match by ids: a deterministic choice of one."""
-    return matches.orderBy(*[c for c in matches.columns if not c.startswith("var_")]).limit(1)
+    return take(matches, 1)
+
+
+def at_most(matches: DataFrame, n: int) -> DataFrame:
+    """The matches, if there are no more than ``n``; ``ValueError`` if there are.  The count stops after ``n + 1``."""
+    if matches.limit(n + 1).count() > n:
+        raise ValueError(f"more than {n} matches")
+    return matches
 
 
 def only(matches: DataFrame) -> DataFrame:
     """The match, if there is exactly one; ``ValueError`` if there are several."""
-    two = matches.limit(2).count()
-    if two > 1:
-        raise ValueError("more than one match")
-    return matches
+    return at_most(matches, 1)
 
 
 def shuffled(matches: DataFrame, seed: int) -> DataFrame:

@@ -10,7 +10,7 @@ from loomgraph.catalogue import QUERIES, SQL
 
 NAMES = [n for n, f in QUERIES.items() if f.__module__ in (cases.__name__, cases_views.__name__) and n in SQL]
 #: Small, and between them through most modules; all of them run in the driver's comparison.
-SOME = ["set_subpart", "hom_iso", "merge_values", "pullback_attrs", "ac_nested", "lift_monic", "commutes_paths", "migrate_rule", "spo_conflict", "pbpo_typed", "pbpo_values", "slice_hom", "merge_rule", "view_after_changes", "pull_back_lines", "view_under_nac", "view_after_merge", "open_rewrite_host", "colimit_map", "compiled_rule", "schedule_batch", "weighted_walk", "pbpo_partial_abstract"]
+SOME = ["set_subpart", "hom_iso", "merge_values", "pullback_attrs", "ac_nested", "lift_monic", "commutes_paths", "migrate_rule", "spo_conflict", "pbpo_typed", "pbpo_values", "slice_hom", "merge_rule", "view_after_changes", "pull_back_lines", "view_under_nac", "view_after_merge", "open_rewrite_host", "colimit_map", "compiled_rule", "schedule_batch", "weighted_walk", "pbpo_partial_abstract", "hom_take"]
 
 
 @pytest.mark.parametrize("name", SOME)
