@@ -113,8 +113,8 @@ def hom_several_bound(spark, sf_dir):
     """Customers with two different suppliers in their nation, from customers that are given."""
     g = store(spark, sf_dir)
     p = pattern({"Customer": ["c"], "Supplier": ["s", "t"], "Nation": ["n"]}, {"c_nationkey": {"c": "n"}, "s_nationkey": {"s": "n", "t": "n"}})
-    m = match(p, g, ["Supplier"], g["Customer"].select(F.col("id").alias("Customer_c")))
-    return m.select(F.col("Customer_c").alias("c_custkey"), F.col("Nation_n").alias("n")).distinct()
+    m = match(p, g, ["Supplier"], g["Customer"].select(F.col("id").alias("Customer_c")), keep={("Customer", "c"), ("Nation", "n")})
+    return _cols(m, c_custkey="Customer_c", n="Nation_n")
 
 
 # -- limits and colimits
