@@ -26,17 +26,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, order: list[str], *columns) -> DataFrame:
+    """Rows dealt by range, in order inside each: ``columns`` (default: all), the range ``__p`` and the place there ``__i``."""
+    # the id that Spark gives a row is its partition's number and, in the low 33 bits, its place there
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).select(*(columns or ["*"]), F.monotonically_increasing_id().alias("__i"))
+    return rows.withColumn("__p", F.shiftright("__i", 33)).withColumn("__i", F.col("__i").bitwiseAND((1 << 33) - 1))
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``dealt`` rows that are stored, with ``name`` for their number over all ranges: each adds the number of rows in those before it."""
+    sizes = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
+    # a row per partition
+    before = sizes.select(F.col("__p").alias("__q"), (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__b"))
+    return rows.join(F.broadcast(before), F.col("__p") == F.col("__q")).withColumn(name, F.col("__i") + F.col("__b")).drop("__p", "__q", "__b", "__i")
+
+
 def number_rows(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     """Adds 0, 1, 2, ... in the order of the columns, without ordering all rows in one task.
 
-    Rows are dealt by range, the dealing is checkpointed (so that a retry cannot deal
-    otherwise), and each range adds the number of rows in the ranges before it.
+    Rows are dealt by range, and the dealing is checkpointed (so that a retry cannot deal
+    otherwise); they move once.
     """
     if not order:
         return df.withColumn(name, F.lit(0).cast("long"))
-    dealt = cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
-    sizes = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
-    # a row per partition
-    before = sizes.select(F.col("__p").alias("__q"), (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__b"))
-    w = Window.partitionBy("__p").orderBy(*order)
-    return dealt.join(F.broadcast(before), F.col("__p") == F.col("__q")).withColumn(name, F.row_number().over(w) - 1 + F.col("__b")).drop("__p", "__q", "__b")
+    return numbered(cut(dealt(df, order)), name)

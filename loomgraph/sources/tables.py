@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import number_rows, shared_dir
+from ..functions.ids import dealt, numbered, shared_dir
 from ..instance import Deferred, Instance
 from ..schema import Schema
 
@@ -61,7 +61,9 @@ def _numbered(spark: SparkSession, path: str, df: DataFrame, columns: list[Colum
     key = (spark.sparkContext.applicationId, path, _version(df), wanted.simpleString())
     if key not in _NUMBERED:
         to = f"{shared_dir(spark).rstrip('/')}/numbered-{uuid.uuid4().hex}"
-        number_rows(df, df.columns, "__number").select(F.col("__number").cast("long").alias("id"), *columns).write.parquet(to)
+        # what only the order needs is moved once, and not stored
+        dealt(df, df.columns, *columns).write.parquet(f"{to}-dealt")
+        numbered(spark.read.parquet(f"{to}-dealt"), "id").select(*wanted.names).write.parquet(to)
         _NUMBERED[key] = to
     return spark.read.schema(wanted).parquet(_NUMBERED[key])
 

@@ -34,3 +34,15 @@ def test_elements_that_need_only_exist_make_no_pairs(spark):
     """Three different suppliers of one nation for each of its customers: 8e12 matches, 2,000 customers."""
     g = _shop(spark, [0] * 2000, [0] * 2000)
     assert match(_pattern(["s", "t", "u"]), g, ["P"], g["C"].selectExpr("id as C_c"), keep={("C", "c")}).count() == 2000
+
+
+def test_numbering_moves_rows_once(spark):
+    from loomgraph.functions.ids import number_rows
+
+    rows = [(a, b) for a in (None, 5, 1, 3, 1, None, 5, 2, 4, 0) for b in (2, None, 1, 1)]
+    df = number_rows(spark.createDataFrame(rows, "a long, b long").repartition(7), ["a", "b"], "k")
+    got = sorted(((r["k"], r["a"], r["b"]) for r in df.collect()), key=lambda r: r[0])
+    low = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert [r[0] for r in got] == list(range(len(rows))) and [r[1:] for r in got] == sorted(rows, key=low)
+    plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    assert "row_number" not in plan, "ranges would be gathered and sorted again"
