@@ -46,3 +46,13 @@ def test_numbering_moves_rows_once(spark):
     assert [r[0] for r in got] == list(range(len(rows))) and [r[1:] for r in got] == sorted(rows, key=low)
     plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
     assert "row_number" not in plan, "ranges would be gathered and sorted again"
+
+
+def test_asking_about_one_key_reads_no_other_table(spark):
+    from loomgraph.instance import Deferred
+
+    def unread():
+        raise AssertionError("read")
+
+    g = Instance(S, {**_shop(spark, [0, 7, None], []).tables._held, "P": Deferred(unread)})
+    assert sorted(r["id"] for r in g.dangling(["c"]).collect()) == [1, 2]
