@@ -56,3 +56,20 @@ def test_asking_about_one_key_reads_no_other_table(spark):
 
     g = Instance(S, {**_shop(spark, [0, 7, None], []).tables._held, "P": Deferred(unread)})
     assert sorted(r["id"] for r in g.dangling(["c"]).collect()) == [1, 2]
+
+
+def test_pullback_numbers_pairs_without_storing_them(spark):
+    from loomgraph.operators import algebra as A
+
+    dot = Schema(("X",))
+    left, right = [(5, 1), (2, 1), (9, 2), (4, None), (7, 3)], [(8, 1), (3, 1), (6, 2), (1, None), (0, 4)]
+    table = lambda rows: spark.createDataFrame(rows, "src long, tgt long")
+    own = lambda rows: Instance(dot, {"X": table(rows).selectExpr("src as id")})
+    df = A.pullback({"X": table(left)}, {"X": table(right)}, own(left), own(right))["X"]
+    want = sorted((a, b) for a, x in left for b, y in right if x is not None and x == y)
+    assert sorted((r["id"], r["left"], r["right"]) for r in df.collect()) == [(i, a, b) for i, (a, b) in enumerate(want)]
+    # the pairs are made by the plan's last join; what is stored before are rows of the sides
+    big = [(i, 0) for i in range(6000)]
+    before = A.pullback({"X": table(big)}, {"X": table(big)}, own(big), own(big))["X"]
+    assert before.selectExpr("count(*)", "count(distinct id % 65537)", "max(id)").first()[:] == (36_000_000, 65537, 35_999_999)
+    assert "ExistingRDD" in (plan := spark._jvm.PythonSQLUtils.explainString(before._jdf.queryExecution(), "simple")) and "SortMergeJoin" in plan
