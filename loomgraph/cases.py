@@ -348,7 +348,7 @@ def slice_hom(spark, sf_dir):
     over = Instance(s, {"Customer": g["Customer"].select("id", "c_nationkey", kind.alias("Customer_type")), "Nation": g["Nation"].select("id", F.lit(0).cast("long").alias("Nation_type"))})
     p = Pattern(s, {"Customer": ["a", "b"], "Nation": ["n"]}, {"c_nationkey": {"a": "n", "b": "n"}})
     typed = typed_pattern(p, Morphism(p, base, {"Customer": {"a": "BUILDING", "b": "MACHINERY"}, "Nation": {"n": "any"}}), ids)
-    return _cols(match(typed, Instance(typed.schema, over.tables)), a="Customer_a", b="Customer_b")
+    return _cols(match(typed, Instance(typed.schema, over.tables), spread=True), a="Customer_a", b="Customer_b")
 
 
 # -- open systems, schedules, machines, histories, incremental matching

@@ -73,3 +73,13 @@ def test_pullback_numbers_pairs_without_storing_them(spark):
     before = A.pullback({"X": table(big)}, {"X": table(big)}, own(big), own(big))["X"]
     assert before.selectExpr("count(*)", "count(distinct id % 65537)", "max(id)").first()[:] == (36_000_000, 65537, 35_999_999)
     assert "ExistingRDD" in (plan := spark._jvm.PythonSQLUtils.explainString(before._jdf.queryExecution(), "simple")) and "SortMergeJoin" in plan
+
+
+def test_spread_matches_are_the_same_and_large_groups_are_dealt(spark, monkeypatch):
+    from loomgraph.functions import ids
+
+    monkeypatch.setattr(ids, "TILE", 3)
+    g = _shop(spark, [0] * 11 + [1, 1, 2, None], [0] * 7 + [1] * 8 + [2, None])
+    p = _pattern(["s", "t"])
+    rows = lambda **how: sorted(map(tuple, match(p, g, ["P"], **how).select("C_c", "N_n", "P_s", "P_t").collect()))
+    assert rows(spread=True) == rows() and len(rows()) == 11 * 42 + 2 * 56
