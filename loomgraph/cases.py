@@ -97,7 +97,7 @@ def hom_iso(spark, sf_dir):
 @query("select c_custkey, s_suppkey from customer, supplier where c_nationkey = s_nationkey and (c_custkey + s_suppkey) % 7 = 0")
 def hom_filter(spark, sf_dir):
     p = pattern({"Customer": ["c"], "Supplier": ["s"], "Nation": ["n"]}, {"c_nationkey": {"c": "n"}, "s_nationkey": {"s": "n"}})
-    return _cols(match(p, store(spark, sf_dir), where=(F.col("Customer_c") + F.col("Supplier_s")) % 7 == 0), c_custkey="Customer_c", s_suppkey="Supplier_s")
+    return _cols(match(p, store(spark, sf_dir), where=(F.col("Customer_c") + F.col("Supplier_s")) % 7 == 0, spread=True), c_custkey="Customer_c", s_suppkey="Supplier_s")
 
 
 @query("select o_orderkey, o_custkey from orders, customer where o_custkey = c_custkey and c_mktsegment = 'BUILDING' order by o_custkey, o_orderkey limit 1")
