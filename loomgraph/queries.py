@@ -71,7 +71,7 @@ def hom_concrete_attr(spark, sf_dir):
 def hom_shared_var(spark, sf_dir):
     v = {"p_brand": Var("brand"), "p_type": Var("type"), "p_size": Var("size")}
     p = pattern({"Part": ["a", "b"]}, attrs={a: {"a": x, "b": x} for a, x in v.items()})
-    return _cols(match(p, store(spark, sf_dir), ["Part"]), a="Part_a", b="Part_b")
+    return _cols(match(p, store(spark, sf_dir), ["Part"], spread=True), a="Part_a", b="Part_b")
 
 
 @query("select r_regionkey,n_nationkey from region,nation")
