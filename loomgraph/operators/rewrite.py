@@ -366,12 +366,14 @@ class Rule:
                     c = clones[t].select(F.col("tag").alias("__t"), F.col("new").alias(h))
                     row = row.join(c, F.concat(F.lit(f"i{self.I.homs[h][k]}:"), F.col("__m").cast("string")) == F.col("__t")).drop("__t")
                 copies = copies.unionByName(row.drop("__m"))
-            # the first copy of a row keeps its id, the others get fresh ones
-            first_tag = copies.groupBy(F.col("old").alias("__o")).agg(F.min("tag").alias("__f"))
-            both = copies.join(first_tag, F.col("old") == F.col("__o"))
+            copies = cut(copies)
+            # a row without a tag has no other copy; of others the first keeps its id, the rest get fresh ones
+            plain, some = copies.where("tag = ''").withColumn("new", F.col("old")), copies.where("tag <> ''")
+            first_tag = some.groupBy(F.col("old").alias("__o")).agg(F.min("tag").alias("__f"))
+            both = some.join(first_tag, F.col("old") == F.col("__o"))
             kept = both.where("tag = __f").withColumn("new", F.col("old")).drop("__o", "__f")
             fresh = number_rows(both.where("tag <> __f").drop("__o", "__f"), ["old", "tag"], "__n").join(F.broadcast(A.next_ids(g, o))).withColumn("new", F.col("__base") + F.col("__n")).drop("__n", "__base")
-            clones[o] = cut(kept.unionByName(fresh))
+            clones[o] = plain.unionByName(cut(kept.unionByName(fresh)))
             attrs = g[o].select(F.col("id").alias("__i"), *s.attrs_of(o))
             tables[o] = clones[o].join(attrs, F.col("old") == F.col("__i")).select(F.col("new").alias("id"), *keys, *s.attrs_of(o), F.col("old").alias("origin"))
         k = Instance(s, tables)

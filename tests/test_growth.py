@@ -83,3 +83,18 @@ def test_spread_matches_are_the_same_and_large_groups_are_dealt(spark, monkeypat
     p = _pattern(["s", "t"])
     rows = lambda **how: sorted(map(tuple, match(p, g, ["P"], **how).select("C_c", "N_n", "P_s", "P_t").collect()))
     assert rows(spread=True) == rows() and len(rows()) == 11 * 42 + 2 * 56
+
+
+def test_cloning_moves_only_what_has_copies_beside_it(spark):
+    from loomgraph.operators.rewrite import Rule
+    from loomgraph.pattern import Morphism, identity
+
+    g = _shop(spark, [0, 1, 1, 2], [1, 2])
+    L, two = Pattern(S, {"N": ["x"]}), Pattern(S, {"N": ["x", "y"]})
+    r = Rule(Morphism(two, L, {"N": {"x": "x", "y": "x"}}), identity(two), semantics="SqPO")
+    h, _ = r.apply_with_maps(g, r.matches(g, {("N", "x"): 1}))
+    assert sorted(x["origin"] for x in h["C"].collect()) == [0, 1, 1, 2, 2, 3] and h["C"].select("id").distinct().count() == 6
+    assert {(x["origin"], x["c"]) for x in h["C"].collect()} == {(0, 0), (1, 1), (1, 3), (2, 1), (2, 3), (3, 2)}
+    # rows that have one copy are read as they were stored: no smallest tag is looked up for them
+    plan = spark._jvm.PythonSQLUtils.explainString(h["C"]._jdf.queryExecution(), "simple")
+    assert "Union" in plan
