@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import cut
 from ..instance import Instance
-from ..pattern import Morphism, Pattern
-from .match import column_of, match
+from ..pattern import Element, Morphism, Pattern, Var
+from .match import column_of, match, without_implied
 
 _FLAG = "__ok"
 _NUMBERS = count()
@@ -51,8 +51,8 @@ class Condition:
 
 
 def _same(rows: DataFrame, other: DataFrame, kind: str, flag: str | None = None) -> DataFrame:
-    """Joins with the distinct assignments of ``other``; a left join tells in ``flag`` whether it has the row's."""
-    keys = _own(rows)
+    """Joins with the distinct assignments of ``other`` (or parts of them that tell); a left join tells in ``flag`` whether it has the row's."""
+    keys = [c for c in _own(rows) if c in other.columns]
     o = other.select(*[F.col(c).alias(f"__{c}") for c in keys]).distinct()
     on = F.lit(True)
     for c in keys:
@@ -170,6 +170,37 @@ class _Quantified(Condition):
         # nothing ties them to the assignment: if nothing more is asked, whether there are none, one or more is all that counts
         return (found if self.then or self.such else found.limit(2)).crossJoin(start)
 
+    def ties(self, rows: DataFrame) -> dict[Element, str] | None:
+        """The elements of N, with their columns in ``rows``, on which it depends whether a match of L extends; None where all may."""
+        p, s = self.along.cod, self.along.cod.schema
+        own: dict[Element, list[Element]] = {}
+        for o, k in self.along.dom.elements():
+            if column_of((o, k)) in rows.columns:
+                own.setdefault((o, self.along(o, k)), []).append((o, k))
+        if any(len(es) > 1 for es in own.values()):
+            return None
+        monic = set(s.obs) if self.monic is True else set(self.monic or ())
+        left = without_implied(p, p.elements(), set(own) | {e for e in p.elements() if e[0] in monic})
+        fresh = {e for e in left if e not in own}
+        uses = [v for f in p.attrs.values() for v in f.values() if isinstance(v, Var)]
+        to = lambda e: {(s.homs[h][1], p.homs[h][e[1]]) for h in s.homs_from(e[0])}
+        tied = set().union(*[to(e) for e in fresh])
+
+        def counts(e: Element) -> bool:
+            (o, k), = own[e]
+            asked = any(uses.count(v) > 1 if isinstance(v, Var) else v != self.along.dom.attrs[a][k] for a in s.attrs_of(o) for v in [p.attrs[a][e[1]]])
+            return asked or e in tied or bool(to(e) & fresh) or e[0] in monic
+        return {e: column_of(own[e][0]) for e in own if counts(e)} or None
+
+    def told(self, rows: DataFrame, g: Instance) -> DataFrame | None:
+        """Parts of the assignments that extend, if no more is asked of extensions: just the columns that tell."""
+        at = None if self.then or self.such or isinstance(g, Sharing) else self.ties(rows)
+        if at is None:
+            return None
+        start = rows.select(*[F.col(c).alias(column_of(e)) for e, c in at.items()]).distinct()
+        found = match(self.along.cod, g, self.monic, start, keep=set(at))
+        return found.select(*[F.col(column_of(e)).alias(c) for e, c in at.items()])
+
     def key(self) -> tuple:
         """Equal for quantifiers over the same extensions."""
         f = self.along
@@ -203,6 +234,8 @@ class _Quantified(Condition):
 
 class Exists(_Quantified):
     def witness(self, rows, g):
+        if (told := self.told(rows, g)) is not None:
+            return told, True
         ext = self.found(rows, g)
         return self.back(self.inside(self.then.holds, ext, g) if self.then else ext, rows), True
 

@@ -98,3 +98,19 @@ def test_cloning_moves_only_what_has_copies_beside_it(spark):
     # rows that have one copy are read as they were stored: no smallest tag is looked up for them
     plan = spark._jvm.PythonSQLUtils.explainString(h["C"]._jdf.queryExecution(), "simple")
     assert "Union" in plan
+
+
+def test_conditions_are_told_by_the_columns_that_tie_their_extensions(spark):
+    from loomgraph.operators.constraints import Exists, lift
+    from loomgraph.pattern import Morphism
+
+    g = _shop(spark, [0, 0, 1, 2], [1, 1, 2])
+    base, more, two = Pattern(S, {"C": ["c"], "N": ["n"]}, {"c": {"c": "n"}}), _pattern(["s"]), _pattern(["s", "t"])
+    same = lambda p: {o: {k: k for k in ks} for o, ks in p.parts.items()}
+    rows = match(base, g)
+    f = Morphism(base, more, same(base))
+    found, true = Exists(f).witness(rows, g)
+    assert true and found.columns == ["N_n"] and sorted(r[0] for r in found.collect()) == [1, 2]
+    assert sorted(r["C_c"] for r in Exists(f).holds(rows, g).collect()) == [2, 3]
+    assert sorted(r["C_c"] for r in (~Exists(f)).holds(rows, g).collect()) == [0, 1]
+    assert sorted(r["C_c"] for r in lift(f, Morphism(more, two, same(more)), monic_exists=["P"]).holds(rows, g).collect()) == [0, 1, 2]
