@@ -26,6 +26,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def by_key(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt by the columns to as many tasks as ``spark.sql.shuffle.partitions`` says, however small they are.
+
+    A join with them is dealt alike.  Left to itself, Spark makes few tasks where a shuffle is
+    small in bytes; sorted ids shrink to a byte a row there, and take a hundred when a task sorts them.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def dealt(df: DataFrame, order: list[str], *columns) -> DataFrame:
     """Rows dealt by range, in order inside each: ``columns`` (default: all), the range ``__p`` and the place there ``__i``."""
     # the id that Spark gives a row is its partition's number and, in the low 33 bits, its place there

@@ -381,7 +381,7 @@ class Rule:
             ob = s.path_ends(left)[0]
             a, b = k.subpart(ob, *left), k.subpart(ob, *right).select(F.col("id").alias("__i"), F.col("value").alias("__v"))
             good = a.join(b, F.col("id") == F.col("__i")).where(F.col("value") == F.col("__v")).select("id")
-            k = A.restrict(k, A.cascade(k, {**A.full(k), ob: good})).cut()  # else plans nest
+            k = A.largest(k, {**A.full(k), ob: good}).cut()  # else plans nest
         out, columns = m, {}
         for o, key in self.I.elements():
             c = clones[o].select(F.col("tag").alias("__t"), F.col("new").alias(f"kept_{column_of((o, key))}"))

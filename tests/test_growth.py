@@ -114,3 +114,21 @@ def test_conditions_are_told_by_the_columns_that_tie_their_extensions(spark):
     assert sorted(r["C_c"] for r in Exists(f).holds(rows, g).collect()) == [2, 3]
     assert sorted(r["C_c"] for r in (~Exists(f)).holds(rows, g).collect()) == [0, 1]
     assert sorted(r["C_c"] for r in lift(f, Morphism(more, two, same(more)), monic_exists=["P"]).holds(rows, g).collect()) == [0, 1, 2]
+
+
+def test_cascades_look_through_a_tables_rows_once(spark):
+    from loomgraph.operators import algebra as A
+
+    g = _shop(spark, [0, 1, 1, 2, None, 7], [0, 1, 2, None, 9])
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    keep = {**A.full(g), "N": g["N"].where("id <> 1"), "P": g["P"].where("id <> 2").select("id")}
+    sub = A.cascade(g, keep)
+    # what refers to no row, or to nothing, stays
+    assert {o: ids(sub[o]) for o in sub} == {"N": [0, 2], "C": [0, 3, 4, 5], "P": [0, 3, 4]}
+    h = A.restrict(g, sub)
+    assert {o: ids(h[o]) for o in sub} == {o: ids(sub[o]) for o in sub} and h["C"].columns == g["C"].columns
+    plan = spark._jvm.PythonSQLUtils.explainString(A.cascade(g, keep)["C"]._jdf.queryExecution(), "simple")
+    # nothing is taken from C itself: its rows are joined with the nations that go (two joins tell them), and with nothing else
+    assert plan.count("Join") == 3 and "REPARTITION_BY_NUM" in plan, plan
+    assert A.minus(A.full(g), A.none(g))["C"].sameSemantics(g.parts("C"))
+    assert A.minus(A.full(g), A.full(g))["C"].isEmpty()
