@@ -182,3 +182,9 @@ def test_pairs_of_a_pullback_take_little_disk(spark, tmp_path):
     side = lambda n: ({"X": spark.range(n).selectExpr("id as src", "0L as tgt")}, Instance(dot, {"X": spark.range(n)}))
     (f, a), (h, b) = side(1500), side(3001)
     assert _bytes_a_pair(A.pullback(f, h, a, b)["X"].select("left", "right"), tmp_path / "pairs") < 0.4
+
+
+def test_spread_matches_take_little_disk(spark, tmp_path):
+    """As those of a pullback: 1.5 bytes a pair in runs of 3,001."""
+    g = _shop(spark, [0] * 1500, [0] * 3001)
+    assert _bytes_a_pair(match(_pattern(["s"]), g, spread=True).select("C_c", "P_s"), tmp_path / "pairs") < 0.4
